@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,5 +27,9 @@ parts as (select *, case when source_size > 0 then floor(floor(target) / source_
 select doc_id, source, size, source_size, target, (e * size + greatest(0, least(size, floor(target)::bigint - e * source_size - before)))::bigint as taken from parts
 """
 
-QUERIES = {"op1_mix": op1_mix}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_mix": op1_mix, "op9_secrets": op9_secrets}
 ORACLE_SQL = {"op1_mix": OP1_SQL}
