@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets
+from . import audio, mixing, packing, rans, secrets, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,9 +27,32 @@ parts as (select *, case when source_size > 0 then floor(floor(target) / source_
 select doc_id, source, size, source_size, target, (e * size + greatest(0, least(size, floor(target)::bigint - e * source_size - before)))::bigint as taken from parts
 """
 
+def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(_read(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
+OP3_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+q as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first from p)
+select page_id, payload_bytes, payload_digest, case when page_id > first then 'revisit' else 'response' end as record_type, case when page_id > first then first end as refers_to from q
+"""
+
+
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), with_ids=False).drop("row")
+
+
+def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.media_digests(_read(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op9_secrets": op9_secrets}
-ORACLE_SQL = {"op1_mix": OP1_SQL}
+QUERIES = {"op1_mix": op1_mix, "op2_rans": op2_rans, "op3_warc": op3_warc, "op4_pack": op4_pack, "op7_audio": op7_audio, "op9_secrets": op9_secrets}
+ORACLE_SQL = {"op1_mix": OP1_SQL, "op3_warc": OP3_SQL}
