@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, mixing, packing, rans, secrets, warc
+from . import audio, language, mixing, neardup, packing, rans, repeats, secrets, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,13 +46,48 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), with_ids=False).drop("row")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal(_read(spark, sf_dir, "documents"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+with v as (select vec_id, min(list_transform(embedding, lambda x: floor(256 * x::double))) as v from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 group by vec_id),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_digests(_read(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_read(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_rans": op2_rans, "op3_warc": op3_warc, "op4_pack": op4_pack, "op7_audio": op7_audio, "op9_secrets": op9_secrets}
-ORACLE_SQL = {"op1_mix": OP1_SQL, "op3_warc": OP3_SQL}
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.dedup_components(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_mix": op1_mix,
+    "op2_rans": op2_rans,
+    "op3_warc": op3_warc,
+    "op4_pack": op4_pack,
+    "op5_repeats": op5_repeats,
+    "op6_topk": op6_topk,
+    "op7_audio": op7_audio,
+    "op8_language": op8_language,
+    "op9_secrets": op9_secrets,
+    "op10_neardup": op10_neardup,
+}
+ORACLE_SQL = {"op1_mix": OP1_SQL, "op3_warc": OP3_SQL, "op6_topk": OP6_SQL}
