@@ -1,13 +1,65 @@
-"""The corpus pipeline: language ID, near-dedup, secret scan, mix and packing, one after the other."""
+"""The corpus pipeline: language ID, near-dedup, secret scan, mix and packing, one after the other.
+
+Each stage works on all documents that its predecessor kept. A stage may be given documents whose ids repeat (the mix repeats
+documents): every row stands for itself.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import language, mixing, neardup, packing, secrets
+
+#: Documents whose language is less certain than this are rejected, as are those without any letter.
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose language can't be told; the others are unchanged."""
+    scored = language.predict(docs, language.learn(docs), keep=tuple(docs.columns))
+    kept = scored.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, that with the smallest id."""
+    found = neardup.near_duplicates(docs, keep=tuple(docs.columns))
+    return found.where("kept_row").select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets in the texts; all documents stay. ``n_chars`` follows the text."""
+    return _counted(secrets.redact(docs), docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources by weight: documents are repeated, left out or cut as their source's target asks."""
+    return _counted(mixing.mix(docs), docs)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences: a row a piece with its place and its ids. ``row`` tells the repeats of a document apart."""
+    return packing.pack(docs)
+
+
+def _counted(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else changed
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("secret scans", redact_secrets),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack_documents),
+]
 
+#: SQL can express neither the language model nor the tokenizer; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
