@@ -30,10 +30,9 @@ from .workspace import Workspace
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
-#: Nodes of the search beyond which the best packing so far is taken.
-NODES = 20_000
-#: Combinations that are tried for the fillings of one bin.
-TRIES = 4_000
+#: Combinations of lengths that the search tries before it takes the best packing so far, and those for the fillings of one bin.
+EFFORT = 60_000
+TRIES = 1_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it), longest first
 
@@ -72,17 +71,29 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> dict[Pattern,
 
 
 def least_bins(counts: dict[int, int], capacity: int) -> int:
-    """A lower bound: all tokens, or the lengths over half the capacity with what surely cannot go beside them."""
-    total = sum(k * n for k, n in counts.items())
-    bound = -(-total // capacity)
-    large = sum(n for k, n in counts.items() if 2 * k > capacity)
-    return max(bound, large)
+    """A lower bound. For each limit: lengths over half the capacity need bins of their own; those of at least the limit that are
+    not, need what room is left beside the former, where it is large enough to hold them at all, and bins beyond it."""
+    if not counts:
+        return 0
+    n = np.zeros(capacity + 2, np.int64)
+    for k, c in counts.items():
+        n[k] += c
+    size = n * np.arange(capacity + 2)
+    n_to, size_to = (np.concatenate([[0], np.cumsum(x)]) for x in (n, size))  # totals of lengths below
+    half = capacity // 2 + 1  # the least length over half
+    limits = np.arange(1, capacity // 2 + 1)
+    alone = n_to[-1] - n_to[capacity - limits + 1]
+    pairs, pair_size = n_to[capacity - limits + 1] - n_to[half], size_to[capacity - limits + 1] - size_to[half]
+    small = size_to[half] - size_to[limits]
+    bounds = alone + pairs + np.maximum(0, -(-(small - (pairs * capacity - pair_size)) // capacity))
+    return int(max(bounds.max(initial=0), n_to[-1] - n_to[half], -(-int(size.sum()) // capacity)))
 
 
 class _Search:
     def __init__(self, counts: dict[int, int], capacity: int):
         self.capacity = capacity
         self.counts = dict(counts)
+        self.effort = EFFORT
         self.lengths = sorted(k for k, n in counts.items() if n)
 
     def take(self, pattern: Pattern, uses: int) -> None:
@@ -121,9 +132,10 @@ class _Search:
         if self._below(stack[0][0]) == 0 or (self.counts[first] == 1 and self._below(self.capacity - first) == first and len(self.lengths) == 1):
             yield ((first, 1),)
             return
-        while stack and tries < TRIES:
+        while stack and tries < TRIES and self.effort > 0:
             room, most, chosen = stack.pop()
             tries += 1
+            self.effort -= 1
             used = lambda k: chosen.count(k) + (k == first)  # noqa: B023, E731
             if room <= most and self.counts.get(room, 0) > used(room):
                 filling = [*chosen, room]
@@ -162,7 +174,7 @@ class _Search:
         return tuple((k, every.count(k)) for k in sorted(set(every), reverse=True))
 
 
-def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
+def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
     """Patterns and uses that pack ``counts`` (length: how many) into as few bins as the search finds."""
     counts = {k: n for k, n in counts.items() if n}
     if not counts:
@@ -176,8 +188,8 @@ def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
     search = _Search(counts, capacity)
     path: list[tuple[Pattern, int, int]] = []
     options = [search.fillings()]
-    wasted = visited = 0
-    while options and visited < nodes:
+    wasted, full = 0, False
+    while options and (search.effort > 0 or not full):
         pattern = next(options[-1], None)
         if pattern is None:
             options.pop()
@@ -186,10 +198,10 @@ def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
                 search.give(last, uses)
                 wasted -= waste
             continue
-        visited += 1
         uses = min(search.counts[k] // n for k, n in pattern)
         waste = uses * (capacity - sum(k * n for k, n in pattern))
         if wasted + waste > (bins - 1) * capacity - total:
+            full = full or search.effort <= 0  # no packing this way is better than the incumbent
             continue
         search.take(pattern, uses)
         path.append((pattern, uses, waste))
@@ -197,7 +209,7 @@ def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
         if search.lengths:
             options.append(search.fillings())
             continue
-        bins, best = sum(u for _, u, _ in path), {}
+        full, bins, best = True, sum(u for _, u, _ in path), {}
         for p, u, _ in path:
             best[p] = best.get(p, 0) + u
         if bins == bound:
@@ -286,7 +298,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     plan = spark.sparkContext.broadcast(Plan(pack_lengths(histogram, capacity)))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("part", "length", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
-    ranked = cut.join(starts, ["part", "length"])
+    ranked = cut.join(starts.hint("merge"), ["part", "length"])  # a row for each task and length: not to be broadcast
     columns = ["doc_id", "row", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,10 +11,42 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core a task
 
 #: White space of the byte-level vocabulary's splitting rule, as fixed by Unicode.
-_BLANK = r"\t-\r \x85\xa0  -     　"
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]")
-_CACHE_WORDS = 300_000
-_BATCH_CHARS = 2_000_000
+# The vocabularies' rules for splitting, spelled out for Latin-1: letters, numbers and blanks there.
+_L, _N, _B = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+_RULES = {
+    True: re.compile(f"{_SHORT}| ?[{_L}]+| ?[{_N}]+| ?[^{_B}{_L}{_N}]+|[{_B}]+(?![^{_B}])|[{_B}]+"),
+    False: re.compile(f"{_SHORT}|[{_L}]+|[{_N}]|[^{_B}{_L}{_N}]+"),
+}
+_CACHE_PARTS = 600_000
+
+
+#: Blanks that are neither a space nor a line end.
+_OTHER_BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+
+
+def _byte_names() -> list[str]:
+    """The characters by which byte-level vocabularies name bytes: printable ones their own, others from 256 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + others.index(b)) for b in range(256)]
+
+
+_BYTE_NAMES = _byte_names()
+
+
+class _Table(dict):
+    """Values are made when they are asked for first."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
 
 
 def vocabulary(name: str) -> str:
@@ -26,13 +58,24 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _latin1(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Ids of texts as the library gives them for each text alone, without special tokens.
 
     Both vocabularies split a text before they merge anything, and never across the boundaries used here, so the ids of a text
-    are those of its parts, one after the other. Words of byte-level vocabularies hold the blank before them; where blanks are
-    anything but single spaces and line ends, the vocabulary's own rule for blanks is applied. Other vocabularies drop blanks.
-    Parts are kept in a table that is emptied when it is full.
+    are those of its parts, one after the other. Parts of byte-level vocabularies hold the blank before them; where blanks are
+    anything but single spaces and line ends, the vocabulary's own rule for blanks is applied. Other vocabularies drop blanks
+    and case. A part of Latin-1 characters is split by the same rule as in the library, and its words go straight to the
+    library's model; others go through the whole library. Parts and words are kept in tables that are emptied when full.
     """
 
     def __init__(self, name: str):
@@ -43,13 +86,22 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.keeps_blanks = self.tokenizer.normalizer is None
-        self.cache: dict[str, bytes] = {}
+        self.rule, self.tokenize = _RULES[self.keeps_blanks], self.tokenizer.model.tokenize
+        self.id_bytes = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.size)]
+        self.parts, self.words = _Table(self._part), _Table(self._word)
+
+    def _even(self, text: str) -> bool:
+        """Whether all blanks are single spaces and line ends between words."""
+        if not _latin1(text):
+            return " ".join(text.split()) == text.replace("\n", " ")
+        ends = text[:1] + text[-1:]
+        return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or " " in ends or "\n" in ends or any(b in text for b in _OTHER_BLANKS))
 
     def _parts(self, text: str) -> list[str]:
         """Keys of a text's parts. Marks: \\0 no space before it, \\1 taken as it is."""
         if not self.keeps_blanks:
-            return text.replace("\n", " ").split(" ")
-        if " ".join(text.split()) != text.replace("\n", " ") or "\0" in text or "\1" in text:
+            return (text.lower() if _latin1(text) else text).replace("\n", " ").split(" ")
+        if not self._even(text) or "\0" in text or "\1" in text:
             return [f"\1{p}" for p in _PIECES.findall(text)]
         if not text:
             return []
@@ -61,27 +113,21 @@ class Encoder:
             return key
         return key[1:] if key[0] in "\0\1" else f" {key}"
 
+    def _part(self, key: str) -> bytes:
+        string = self._string(key)
+        if _latin1(string) and (self.keeps_blanks or string == string.lower()):
+            return b"".join(map(self.words.__getitem__, self.rule.findall(string)))
+        return b"".join(map(self.id_bytes.__getitem__, self.tokenizer.encode(string, add_special_tokens=False).ids))
+
+    def _word(self, word: str) -> bytes:
+        named = "".join(map(_BYTE_NAMES.__getitem__, word.encode()))
+        return b"".join([self.id_bytes[t.id] for t in self.tokenize(named)])
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text (null: none), little-endian in ``dtype``."""
-        todo: list[str] = []
-        chars = 0
-        for t in texts:
-            todo.append(t or "")
-            chars += len(todo[-1])
-            if chars >= _BATCH_CHARS:
-                yield from self._batch(todo)
-                todo, chars = [], 0
-        yield from self._batch(todo)
-
-    def _batch(self, texts: list[str]) -> Iterator[bytes]:
-        parts = [self._parts(t) for t in texts]
-        if len(self.cache) > _CACHE_WORDS:
-            self.cache.clear()
-        new = list(set().union(*parts).difference(self.cache))
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            for key, got in zip(some, self.tokenizer.encode_batch([self._string(k) for k in some], add_special_tokens=False), strict=True):
-                self.cache[key] = np.array(got.ids, self.dtype).tobytes()
-        get = self.cache.__getitem__
-        for p in parts:
-            yield b"".join(map(get, p))
+        get = self.parts.__getitem__
+        for text in texts:
+            for table in (self.parts, self.words):
+                if len(table) > _CACHE_PARTS:
+                    table.clear()
+            yield b"".join(map(get, self._parts(text or "")))

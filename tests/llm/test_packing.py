@@ -62,7 +62,7 @@ def test_search_at_scale_meets_the_bound():
     assert sum(u for _, u in got) <= 1.001 * packing.least_bins(counts, 2048)
 
 
-TEXTS = ["", None, "a b", "word " * 3000, "x\n\n  y\tz ", "The don't stop", "é" * 50, "same text here", "same text here", "A" * 9000, " lead", "trail \n", " odd blanks\x1c", "one\n\n\ntwo", "<|endoftext|> <|startoftext|>", "\0zero", "\1one two"]
+TEXTS = ["", None, "a b", "word " * 3000, "x\n\n  y\tz ", "The don't stop", "é" * 50, "same text here", "same text here", "A" * 9000, " lead", "trail \n", " odd blanks\x1c", "one\n\n\ntwo", "<|endoftext|> <|startoftext|>", "\0zero", "\1one two", "it's I'LL ŵ¼12 x² \x85\xa0y"]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -71,7 +71,7 @@ def test_encoder_equals_the_library(name):
     plain.encode_special_tokens = True
     encoder = Encoder(name)
     random.seed(3)
-    texts = TEXTS + ["".join(random.choices(["a", "B", " ", "\n", "'s", "1", "é", "!", "\t", " the", " ", "́", "Σ", "\r\n"], k=random.randint(0, 25))) for _ in range(2000)]
+    texts = TEXTS + ["".join(random.choices(["a", "B", " ", "\n", "'s", "1", "é", "!", "\t", " the", " ", "́", "Σ", "\r\n", "İ", "ß", "µ", "Ǆ", "²", "½", "\x85", "\xa0", "Å", "'LL", "!?"], k=random.randint(0, 25))) for _ in range(2000)]
     for text, got in zip(texts, encoder.encode(texts), strict=True):
         assert np.frombuffer(got, encoder.dtype).tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
 
