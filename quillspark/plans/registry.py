@@ -1,4 +1,310 @@
-"""Queries over the driver's tables, by name, and their SQL."""
+"""Queries over the driver's tables, by name, and their SQL. A book is a document: author = source, title = doc_id."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as f
+from ..operators import annotate, cards, chunking, metrics, translate
+from ..schemas import LEVELS
+from ..sinks import html, jsonl
+from ..sources import books as b
+from ..sources import lexicon
+
+KEYS = ["title", "author", "lang"]
+MOST = 70
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.books_of(_table(spark, sf_dir, "documents"), "text", "doc_id", "source", "lang")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.lines_of(_books(spark, sf_dir))
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = b.lines_of(b.books_of(_table(spark, sf_dir, "benchmark"), "text", "item_id", "item_id"))
+    return metrics.token_counts(lines, ["title"]).select("word").distinct()
+
+
+def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = metrics.token_counts(_lines(spark, sf_dir), ["lang"]).where(annotate.is_word(F.col("word")))
+    return lexicon.rank_words(counts.groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n")))
+
+
+def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as books of cards: a turn is a card."""
+    t = _table(spark, sf_dir, "conversations")
+    return t.select(F.col("role").alias("author"), F.col("conv_id").cast("string").alias("title"), F.col("turn").alias("ord"), (F.col("turn") * 1000).alias("start"), (F.col("turn") * 1000 + F.length("text")).alias("end"), "text", F.when(F.col("turn") % 2 == 0, "done").otherwise("").alias("translation"))
+
+
+def token_counts(spark, sf_dir):
+    return metrics.token_counts(_lines(spark, sf_dir), KEYS)
+
+
+def complexity_by_document(spark, sf_dir):
+    books = _books(spark, sf_dir)
+    return metrics.complexity(books, b.lines_of(books), KEYS, depth=False)
+
+
+def complexity_by_author(spark, sf_dir):
+    books = _books(spark, sf_dir)
+    return metrics.complexity(books, b.lines_of(books), ["author"], depth=False)
+
+
+def complexity_by_lang(spark, sf_dir):
+    books = _books(spark, sf_dir)
+    return metrics.complexity(books, b.lines_of(books), ["lang"], depth=False)
+
+
+def complexity_full(spark, sf_dir):
+    books = _books(spark, sf_dir)
+    return metrics.complexity(books, b.lines_of(books), KEYS, _known(spark, sf_dir), _frequencies(spark, sf_dir))
+
+
+def words_known(spark, sf_dir):
+    return metrics.words_known(metrics.token_counts(_lines(spark, sf_dir), KEYS), KEYS, _known(spark, sf_dir))
+
+
+def frequency_ranks(spark, sf_dir):
+    return _frequencies(spark, sf_dir)
+
+
+def vocab_histogram(spark, sf_dir):
+    return metrics.histogram(metrics.token_counts(_lines(spark, sf_dir), KEYS), KEYS, _frequencies(spark, sf_dir))
+
+
+def vocab_level(spark, sf_dir):
+    return metrics.percentile_level(vocab_histogram(spark, sf_dir), KEYS, "vocab_level")
+
+
+def vocab_level_strict(spark, sf_dir):
+    levels = metrics.histogram(metrics.token_counts(_lines(spark, sf_dir), KEYS), KEYS, _frequencies(spark, sf_dir), ranked_only=True)
+    return metrics.percentile_level(levels, KEYS, "vocab_level_strict")
+
+
+def grammar_depth(spark, sf_dir):
+    return chunking.depths(_lines(spark, sf_dir).select(*KEYS, "line")).groupBy(*KEYS).agg(F.sum("depth").cast("long").alias("grammar_depth"))
+
+
+def line_tokens(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    return lines.select(*KEYS, "line_no", F.flatten(F.transform(annotate.sentences(F.col("line")), annotate.tokens)).alias("tokens"))
+
+
+def tidy_punctuation(spark, sf_dir):
+    return line_tokens(spark, sf_dir).select(*KEYS, "line_no", F.posexplode(annotate.tidy(F.col("tokens"))).alias("i", "token"))
+
+
+def line_offsets(spark, sf_dir):
+    return chunking.line_offsets(b.lines_of(_books(spark, sf_dir), keep_ends=True), *KEYS).select(*KEYS, "line_no", "start", F.length("line").alias("n"))
+
+
+def chunk_lines(spark, sf_dir):
+    return chunking.chunks(_books(spark, sf_dir), MOST, parsed=False, across=False)
+
+
+def chunk_text(spark, sf_dir):
+    return chunking.chunks(_books(spark, sf_dir), MOST, parsed=False)
+
+
+def tree_chunks(spark, sf_dir):
+    return chunking.chunks(_books(spark, sf_dir), MOST)
+
+
+def cards_from_books(spark, sf_dir):
+    return cards.cards_of(_books(spark, sf_dir), MOST)
+
+
+def cards_prev_next(spark, sf_dir):
+    return cards.with_context(_talk(spark, sf_dir)).select("author", "title", "ord", "prev", "text", "next")
+
+
+def cards_skip_author_line(spark, sf_dir):
+    talk = _talk(spark, sf_dir)
+    led = talk.withColumn("text", F.when(F.col("ord") % 3 == 0, F.concat("author", F.lit("\n"), "text")).when(F.col("ord") % 3 == 1, F.col("author")).otherwise(F.col("text")))
+    return cards.skip_author_line(led).select("author", "title", "ord", "start", "end", "text")
+
+
+def title_trim(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", f.trim_title(F.col("url"), "/").alias("trimmed"), f.trim_title(F.col("url"), "").alias("same"), f.trim_title(F.col("url"), "://x").alias("absent"))
+
+
+def deck_ids(spark, sf_dir):
+    name = f.deck_name(F.col("source"), F.col("doc_id").cast("string"))
+    return _table(spark, sf_dir, "documents").select("doc_id", name.alias("deck_name"), f.deck_id(name).alias("deck_id"))
+
+
+def note_fields_escaped(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", f.html_escape(F.col("html")).alias("escaped"))
+
+
+def note_guid(spark, sf_dir):
+    return _talk(spark, sf_dir).select("title", "ord", f.note_guid(F.col("author"), F.col("title"), F.col("end")).alias("guid"))
+
+
+def card_notes(spark, sf_dir):
+    return cards.notes(cards.with_context(_talk(spark, sf_dir)))
+
+
+def dummy_translate(spark, sf_dir):
+    return translate.dummy_translate(_talk(spark, sf_dir), force=True).select("title", "ord", "author", "translation")
+
+
+def translate_missing_only(spark, sf_dir):
+    return translate.dummy_translate(_talk(spark, sf_dir)).select("title", "ord", "author", "translation")
+
+
+class Backwards:
+    """A translator as ``translate`` takes them."""
+
+    def translate_text(self, texts: list[str], target_lang: str) -> list[str]:
+        return [t[::-1] for t in texts]
+
+
+def translate_in_batches(spark, sf_dir):
+    return translate.translate(_talk(spark, sf_dir), Backwards, "xx").select("title", "ord", "author", "translation")
+
+
+def cards_as_json(spark, sf_dir):
+    return jsonl.as_json(_talk(spark, sf_dir)).select("title", "ord", "author", "value")
+
+
+def side_by_side_html(spark, sf_dir):
+    return html.side_by_side(translate.dummy_translate(_talk(spark, sf_dir)))
+
+
+def union_books(spark, sf_dir):
+    talk = _talk(spark, sf_dir).select("author", "title", "text")
+    return b.union_books(_books(spark, sf_dir).select("author", "title", "text"), talk)
+
+
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_BLANKS = _q(f"^[{f.BLANK}]+$")
+def _filled(template: str):
+    return lambda x: template.replace("@", x)
+
+
+_IS_WORD = _filled("not regexp_matches(@, " + _q(rf"^(?:\p{{P}}+|{annotate.DIGITS}|[{f.BLANK}]*) ?$") + ")")
+_IS_DIGIT = _filled("regexp_matches(@, " + _q(rf"^{annotate.DIGITS} ?$") + ")")
+_IS_PUNCT = _filled("regexp_matches(@, " + _q(r"^\p{P}+ ?$") + ")")
+_SENTENCES = _filled("list_filter(string_split(regexp_replace(@, " + _q(f"({annotate.SENTENCE_END})") + r", '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')")
+_TOKENS = _filled("regexp_extract_all(@, " + _q(annotate.TOKEN) + ")")
+
+
+def _lines_sql(source: str, name: str) -> str:
+    """CTEs from books (author, title, lang, text) to stripped lines and tokens."""
+    parts = "string_split(text, chr(10))"
+    return f"""{name}_books as ({source}),
+{name}_raw as (select author, title, lang, unnest({parts}) as line, unnest(range(len({parts})))::int as line_no, len({parts}) - 1 as ends from {name}_books),
+{name}_lines as (select author, title, lang, line_no, regexp_replace(line, {_q(f"^[{f.BLANK}]+|[{f.BLANK}]+$")}, '', 'g') as line from {name}_raw where line_no < ends or line <> ''),
+{name}_sentences as (select author, title, lang, line_no, unnest({_SENTENCES('line')}) as sentence from {name}_lines),
+{name}_tokens as (select author, title, lang, unnest({_TOKENS('sentence')}) as token from {name}_sentences),
+{name}_words as (select author, title, lang, case when regexp_matches(token, {_BLANKS}) then token else rtrim(token, ' ') end as word from {name}_tokens)"""
+
+
+_DOCS = _lines_sql(r"select source as author, doc_id::varchar as title, lang, regexp_replace(text, '\r\n?', chr(10), 'g') as text from documents", "d")
+_KNOWN = _lines_sql(r"select item_id::varchar as author, item_id::varchar as title, '' as lang, regexp_replace(text, '\r\n?', chr(10), 'g') as text from benchmark", "b")
+_RANKS = f"ranks as (select word, (row_number() over (order by n desc, word) + 1)::bigint as rank from (select lower(word) as word, count(*) as n from d_words where {_IS_WORD('word')} group by 1))"
+_LEVEL = "case " + " ".join(f"when rank >= {lo} and rank < {hi} then {i}" for i, (lo, hi) in enumerate(LEVELS)) + " else 0 end::int"
+_LEVELS = f"levels as (select title, author, lang, {_LEVEL} as level, count(*)::bigint as n from d_words left join ranks on lower(d_words.word) = ranks.word group by all)"
+
+
+def _ratio_sql(n: str, d: str) -> str:
+    q, r = f"(10 * {n} // {d})", f"(10 * {n} % {d})"
+    return f"case when {d} > 0 then ({q} + case when 2 * {r} > {d} or (2 * {r} = {d} and {q} % 2 = 1) then 1 else 0 end) / 10.0::double else 0.0 end::double"
+
+
+def _complexity_sql(keys: str) -> str:
+    on = " and ".join(f"x.{k} is not distinct from k.{k}" for k in keys.split(", "))
+    return f"""with {_DOCS},
+k as (select distinct {keys} from d_books),
+s as (select {keys}, count(*)::bigint as sentence_count from d_sentences group by all),
+w as (select {keys}, count(*)::bigint as word_count, sum(length(word))::bigint as word_length from d_words where {_IS_WORD('word')} group by all),
+x as (select k.*, coalesce((select sentence_count from s x where {on}), 0) as sentence_count, coalesce((select word_count from w x where {on}), 0) as word_count, coalesce((select word_length from w x where {on}), 0) as word_length from k)
+select {keys}, word_count, sentence_count, {_ratio_sql('word_count', 'sentence_count')} as mean_words_per_sentence, {_ratio_sql('word_length', 'word_count')} as mean_word_length from x"""
+
+
+_PERCENTILE = "select title, author, lang, min(level) as {0} from (select *, sum(n) over (partition by title, author, lang order by level) as upto, sum(n) over (partition by title, author, lang) as total from {1}) where upto * 100 > total * 95 group by all"
+_TALK = "t as (select role as author, conv_id::varchar as title, turn as ord, turn * 1000 as start, turn * 1000 + length(text) as \"end\", text, case when turn % 2 = 0 then 'done' else '' end as translation from conversations)"
+_REVERSED = "array_to_string(list_reverse(string_split(text, '')), '')"
+
+
+def _escaped(x: str) -> str:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        x = f"replace({x}, '{raw}', '{safe}')"
+    return x
+
+
+_GUID = f"sha256({_escaped('author')} || '__' || {_escaped('title')} || '__' || \"end\"::varchar)"
+_DECK = "('0x' || right(sha1(deck), 8))::bigint"
+_JSON = "'{\"author\":' || to_json(author) || ',\"title\":' || to_json(title) || ',\"start\":' || start || ',\"end\":' || \"end\" || ',\"text\":' || to_json(text) || ',\"translation\":' || to_json(translation) || '}'"
+
+_GREEDY = _filled(rf"string_split(list_reduce(@, lambda acc, x: case when acc <> '' and length(acc) - length(regexp_replace(acc, '[^\x01]*$', '')) + length(x) > {MOST} then acc || chr(1) || x else acc || x end), chr(1))")
+#: Lines with their ends as tokens by sentence, folded within each sentence, then within the line.
+_SPANS = rf"""with recursive books as (select source as author, doc_id::varchar as title, lang, regexp_replace(text, '\r\n?', chr(10), 'g') as text from documents),
+raw as (select author, title, lang, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10)))))::int as line_no, len(string_split(text, chr(10))) - 1 as ends from books),
+lines as (select author, title, lang, line_no, line || case when line_no < ends then chr(10) else '' end as line from raw where line_no < ends or line <> ''),
+folded as (select author, title, lang, line_no, length(line) as n, {_GREEDY("flatten(list_transform(" + _SENTENCES("line") + ", lambda s: " + _GREEDY(_TOKENS("s")) + "))")} as spans from lines),
+based as (select *, coalesce(sum(n) over (partition by author, title, lang order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint as base from folded),
+placed as (select author, title, lang, line_no, base, unnest(spans) as text, unnest(range(len(spans))) as i from based),
+started as (select author, title, lang, row_number() over (partition by author, title, lang order by line_no, i) - 1 as ord, (base + coalesce(sum(length(text)) over (partition by author, title, lang, line_no order by i rows between unbounded preceding and 1 preceding), 0))::bigint as start, text from placed),
+spans as (select *, (start + length(text) - case when regexp_matches(text, {_q(f'[^{f.BLANK}] $')}) then 1 else 0 end)::bigint as "end" from started)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "token_counts": f"with {_DOCS} select title, author, lang, word, count(*)::bigint as n from d_words group by all",
+    "complexity_by_document": _complexity_sql("title, author, lang"),
+    "complexity_by_author": _complexity_sql("author"),
+    "complexity_by_lang": _complexity_sql("lang"),
+    "words_known": f"with {_DOCS}, {_KNOWN} select title, author, lang, count_if(word in (select word from b_words) or {_IS_DIGIT('word')})::bigint as words_known from d_words group by all",
+    "frequency_ranks": f"with {_DOCS}, {_RANKS} select word, rank from ranks",
+    "vocab_histogram": f"with {_DOCS}, {_RANKS}, {_LEVELS} select * from levels",
+    "vocab_level": f"with {_DOCS}, {_RANKS}, {_LEVELS} " + _PERCENTILE.format("vocab_level", "levels"),
+    "vocab_level_strict": f"with {_DOCS}, {_RANKS}, {_LEVELS.replace('left join', 'join')} " + _PERCENTILE.format("vocab_level_strict", "levels"),
+    "line_offsets": _SPANS + " select title, author, lang, line_no, base as start, n::int as n from based",
+    "chunk_lines": _SPANS + " select author, title, lang, ord, start, \"end\", text from spans",
+    "chunk_text": _SPANS
+    + f""", steps as (select author, title, lang, ord, start, "end", text, 0::bigint as chunk from spans where ord = 0
+union all select s.author, s.title, s.lang, s.ord, case when j.joins then p.start else s.start end, s."end", case when j.joins then p.text || s.text else s.text end, case when j.joins then p.chunk else p.chunk + 1 end
+from steps p join spans s on s.author = p.author and s.title = p.title and s.ord = p.ord + 1, lateral (select p.start < s.start and p."end" = s.start and length(p.text) + length(s.text) <= {MOST} as joins) j)
+select author, title, lang, chunk as ord, max(start) as start, max("end") as "end", max_by(text, ord) as text from steps group by author, title, lang, chunk""",
+    "cards_prev_next": f"with {_TALK} select author, title, ord, coalesce(lag(text) over w, '') as prev, text, coalesce(lead(text) over w, '') as next from t window w as (partition by author, title order by ord)",
+    "cards_skip_author_line": f"""with {_TALK}, led as (select author, title, ord, start, "end", case ord % 3 when 0 then author || chr(10) || text when 1 then author else text end as text, ord = min(ord) over (partition by author, title) as here from t),
+cut as (select *, here and (text = author or starts_with(text, author || chr(10))) as cut, rtrim(substr(text, length(author) + 2), chr(10)) as rest from led)
+select author, title, ord, case when cut then start + length(author) + 1 else start end as start, "end", case when cut then rest else text end as text from cut where not (here and text = '') and not (cut and text in (author, author || chr(10)))""",
+    "title_trim": "select page_id, case when contains(url, '/') then regexp_extract(url, '^(.*)/', 1) else '' end as trimmed, url as same, case when contains(url, '://x') then regexp_extract(url, '^(.*)://x', 1) else '' end as absent from pages",
+    "deck_ids": f"with d as (select doc_id, 'books::' || source || '::' || doc_id as deck from documents) select doc_id, deck as deck_name, {_DECK} as deck_id from d",
+    "note_fields_escaped": f"select page_id, {_escaped('html')} as escaped from pages",
+    "note_guid": f"with {_TALK} select title, ord, {_GUID} as guid from t",
+    "card_notes": f"""with {_TALK}, n as (select *, 'books::' || author || '::' || title as deck, coalesce(lag(text) over w, '') as prev, coalesce(lead(text) over w, '') as next from t window w as (partition by author, title order by ord))
+select {_DECK} as deck_id, {_escaped('deck')} as deck_name, ord, {', '.join(f'{_escaped(c)} as {c}' for c in ('author', 'title', 'prev', 'text', 'next', 'translation'))}, start::varchar as start, "end"::varchar as "end", {_GUID} as guid from n""",
+    "dummy_translate": f"with {_TALK} select title, ord, author, {_REVERSED} as translation from t",
+    "translate_missing_only": f"with {_TALK} select title, ord, author, case when translation = '' then {_REVERSED} else translation end as translation from t",
+    "translate_in_batches": f"with {_TALK} select title, ord, author, case when translation = '' then {_REVERSED} else translation end as translation from t",
+    "cards_as_json": f"with {_TALK} select title, ord, author, {_JSON} as value from t",
+    "side_by_side_html": f"""with {_TALK}, n as (select author, title, ord, '<tr><td>' || {_escaped('text')} || '</td><td>' || {_escaped(f"case when translation = '' then {_REVERSED} else translation end")} || '</td></tr>' as r from t)
+select author, title, '<html><head><meta charset="utf-8"><title>' || {_escaped('title')} || '</title></head><body style="font-size:30px"><table>' || string_agg(r, chr(10) order by ord) || '</table></body></html>' as html from n group by author, title""",
+    "union_books": rf"with {_TALK} select source as author, doc_id::varchar as title, regexp_replace(text, '\r\n?', chr(10), 'g') as text from documents union all select author, title, text from t",
+    "tidy_punctuation": rf"""with {_DOCS},
+l as (select title, author, lang, line_no, flatten(list_transform({_SENTENCES('line')}, lambda s: {_TOKENS('s')})) as tokens from d_lines),
+f as (select *, coalesce(list_position(list_transform(tokens, lambda t: {_IS_PUNCT('t')}), false), len(tokens) + 1) as first from l),
+g as (select title, author, lang, line_no, tokens, list_filter(range(1, len(tokens) + 1), lambda i: i < first or not {_IS_PUNCT('tokens[i]')}) as starts from f),
+u as (select title, author, lang, line_no, tokens, starts, unnest(range(len(starts)))::int as i from g)
+select title, author, lang, line_no, i, array_to_string(tokens[starts[i + 1]:coalesce(starts[i + 2], len(tokens) + 1) - 1], '') as token from u""",
+}
+
+QUERIES = {
+    name: globals()[name]
+    for name in (
+        "token_counts", "complexity_by_document", "complexity_by_author", "complexity_by_lang", "complexity_full", "words_known", "frequency_ranks", "vocab_histogram", "vocab_level", "vocab_level_strict", "grammar_depth", "tidy_punctuation", "line_offsets", "chunk_lines", "chunk_text", "tree_chunks", "cards_from_books", "cards_prev_next", "cards_skip_author_line", "title_trim", "deck_ids", "note_fields_escaped", "note_guid", "card_notes", "dummy_translate", "translate_missing_only", "translate_in_batches", "cards_as_json", "side_by_side_html", "union_books"
+    )
+}
