@@ -39,8 +39,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences: a row a piece with its place and its ids. ``row`` tells the repeats of a document apart."""
-    return packing.pack(docs)
+    """A row a piece with its sequence, its place there and the checksum of its ids. ``row`` tells the repeats of a document apart.
+
+    ``packing.pack`` gives the ids themselves too, if asked; they follow from the texts, which a trainer reads anyway.
+    """
+    return packing.pack(docs, with_ids=False)
 
 
 def _counted(changed: DataFrame, docs: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """The stages, each on what the one before kept."""
 
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import mixing, neardup, secrets
+from quillspark.llm import mixing, neardup, packing, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,8 +52,13 @@ def test_mix_takes_what_its_plan_says(steps):
 def test_packing_holds_every_document_once(steps):
     rows = steps[5].collect()
     assert len({(r.doc_id, r.row) for r in rows}) == steps[4].count()
+    encoder = packing.Encoder(packing.VOCABULARY)
+    checksums = Counter()
+    for text in (r.text for r in steps[4].collect()):
+        ids = np.frombuffer(next(encoder.encode([text])) + bytes(2), "<u2").astype("<u4")
+        checksums.update(zlib.crc32(ids[i : i + 2048].tobytes()) for i in range(0, len(ids), 2048))
+    assert Counter(r.ids_crc32 for r in rows) == checksums
     used = {}
     for r in rows:
-        assert zlib.crc32(r.ids) == r.ids_crc32
         used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
     assert max(used.values()) <= 2048
