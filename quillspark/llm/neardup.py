@@ -9,8 +9,8 @@ with probability 2e-5.
 Pairs under one key are not all made. Each key's least class is its centre; all others are compared with it, the closest
 centre of each class is confirmed on the full sets, and components are formed. Only where one key still holds several components
 are further pairs made, between different ones, and without those that distances to the centre rule out (signature distance is a
-metric: x and y can't be within 19 if their distances to the centre differ by more). All pairs that the signatures allow are
-confirmed on full sets, unless their classes are in one component already. So a hot group of copies or near copies costs a number of
+metric: x and y can't be within 19 if their distances to the centre differ by more); large keys are dealt into blocks, and
+only links leave the blocks. All pairs that the signatures allow are confirmed on full sets, unless their classes are in one component already. So a hot group of copies or near copies costs a number of
 comparisons in proportion to its size.
 
 Nulls and edge cases: a text without words, empty or null, has an empty set, is linked with nothing and is kept; a text of one
@@ -41,6 +41,9 @@ VALUES = CHUNKS * CHUNK_VALUES
 #: Signatures that differ in up to so many places are all found: with more, each chunk could have more errors than are allowed.
 MOST_DIFFERENT = CHUNKS * (CHUNK_ERRORS + 1) - 1
 
+#: Rows of a key that are compared in one task.
+BLOCK_ROWS = 4096
+
 _rng = np.random.Generator(np.random.PCG64(1_997))
 _MULTIPLY = _rng.integers(0, 1 << 63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, VALUES, np.uint64)
@@ -129,11 +132,73 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], ["a", "b"]).filter(pa.array(good))
 
 
-def _chosen_texts(key: tuple, texts: pa.Table, rows: pa.Table) -> pa.Table:
+def _chosen(key: tuple, texts: pa.Table, rows: pa.Table) -> pa.Table:
     wanted = set(rows.column("row").to_pylist())
     return texts.select(["row", "text"]).filter(pa.array([r in wanted for r in texts.column("row").to_pylist()], pa.bool_()))
 
 
+def _chosen_sets(key: tuple, texts: pa.Table, rows: pa.Table) -> pa.Table:
+    some = _chosen(key, texts, rows)
+    sets = shingle_hashes(some.column("text").to_pylist()) if some.num_rows else []
+    return pa.table({"row": some.column("row"), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+
+class _Block:
+    """Rows of one key, or of two of its blocks: finds the links between different components."""
+
+    def __init__(self, key: int, cross: bool):
+        self.key, self.cross = key, cross
+        self.rows: list[tuple] = []
+
+    def links(self) -> list[tuple[int, int]]:
+        row, root, d, block, signature, shingles = zip(*self.rows, strict=True)
+        row, root, d, block = (np.array(x) for x in (row, root, d, block))
+        if len(row) < 2 or (root == root[0]).all():
+            return []
+        signature = np.frombuffer(b"".join(signature), "<u2").reshape(len(row), -1)
+        keys = keys_of(signature)
+        sets = [np.frombuffer(s, np.uint64) for s in shingles]
+        n = np.array([len(s) for s in sets])
+        names, counts = np.unique(root, return_counts=True)
+        (others,) = np.nonzero(root != names[counts.argmax()])  # two of the largest component need no comparison
+        done, out = np.zeros(len(row), bool), []
+        for i in others.tolist():
+            done[i] = True
+            fits = ~done & (root != root[i]) & (np.abs(d - d[i]) <= MOST_DIFFERENT) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i]))
+            if self.cross:
+                fits &= block != block[i]
+            (at,) = np.nonzero(fits)
+            at = at[(signature[at] != signature[i]).sum(axis=1) <= MOST_DIFFERENT]
+            # a pair with several keys is compared under the first of them
+            at = at[(keys[at] == keys[i]).argmax(axis=1) == (keys[i] == self.key).argmax()]
+            if not len(at):
+                continue
+            every = np.concatenate([sets[j] for j in at])
+            place = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+            both = np.add.reduceat((sets[i][place] == every).astype(np.int64), np.concatenate([[0], np.cumsum(n[at])[:-1]]))
+            good = at[100 * both >= PERCENT * (n[at] + n[i] - both)]
+            out += [(min(a, b), max(a, b)) for a, b in zip([int(row[i])] * len(good), row[good].tolist(), strict=True)]
+        return out
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, i and j, the numbers of the two blocks."""
+    name, block = None, None
+
+    def table(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    for batch in batches:
+        for key, i, j, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, i, j) != name:
+                if block and (found := block.links()):
+                    yield table(found)
+                name, block = (key, i, j), _Block(key, i != j)
+            block.rows.append(tuple(values))
+    if block and (found := block.links()):
+        yield table(found)
+
+
 class _Join:
     """The steps on classes, each of which is named by the least row with its set."""
 
@@ -146,13 +211,16 @@ class _Join:
         both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("sizes", F.expr(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"))
         return both.select("a", "b", "s_a", "s_b", "sizes").mapInArrow(_distances, "a long, b long, d int, sizes boolean")
 
+    def _per_chunk(self, rows: DataFrame, choose, schema: str) -> DataFrame:
+        """What ``choose`` makes of the texts of ``rows``, in the chunks where they are kept."""
+        rows = rows.join(self.classes.select("row", "chunk"), "row")
+        return self.chunks.select("chunk", "row", "text").groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(choose, schema)
+
     def confirm(self, pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b), those that are links. Texts are taken from their chunks, and moved only if they are in a pair."""
         pairs = self.ws.save(pairs, f"{name}-pairs")
         rows = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-        rows = rows.join(self.classes.select("row", "chunk"), "row")
-        texts = self.chunks.select("chunk", "row", "text").groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(_chosen_texts, "row long, text binary")
-        texts = self.ws.save(texts, f"{name}-texts")
+        texts = self.ws.save(self._per_chunk(rows, _chosen, "row long, text binary"), f"{name}-texts")
         side = lambda x: texts.select(F.col("row").alias(x), F.col("text").alias(f"t_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
         return self.ws.save(both.mapInArrow(_confirmed, "a long, b long"), f"{name}-links")
@@ -181,10 +249,15 @@ class _Join:
         size = at.join(limits, "key").where(F.col("outside") | (F.col("d") >= F.col("from") - MOST_DIFFERENT))
         several = size.groupBy("key").agg(F.min("r_row").alias("low"), F.max("r_row").alias("high")).where("low < high").select("key")
         open_ = ws.save(size.join(several, "key").select("key", "row", "r_row", "d"), "open")
-        x, y = open_.alias("x"), open_.alias("y")
-        more = x.join(y, F.expr(f"x.key = y.key and x.row < y.row and x.r_row <> y.r_row and abs(x.d - y.d) <= {MOST_DIFFERENT}")).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
-        more = self.with_distance(more).where(F.col("sizes") & (F.col("d") <= MOST_DIFFERENT)).select("a", "b")
-        second = self.confirm(left.unionByName(more).distinct(), "second")
+        # rows of a large key are dealt into blocks, and each two blocks meet in one place
+        blocks = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+        sets = self._per_chunk(open_.select("row").distinct(), _chosen_sets, "row long, shingles binary")
+        full = open_.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+        full = full.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        full = full.join(ws.save(sets, "open-sets"), "row").join(self.classes.select("row", "signature"), "row")
+        dealt = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        more = dealt.select("key", "i", "j", "row", "r_row", "d", "block", "signature", "shingles").mapInArrow(_block_links, "a long, b long")
+        second = ws.save(self.confirm(left, "second").unionByName(more), "second")
         return label.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(second)
 
 
