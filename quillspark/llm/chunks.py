@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .workspace import Workspace, shuffle_partitions
 
 #: Input bytes of a chunk, by the session's size of input partitions.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def buckets_of(spark) -> int:
