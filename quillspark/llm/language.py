@@ -15,6 +15,7 @@ language by code point. An empty table gives an empty result. Extra columns are
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -30,8 +31,8 @@ VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = "und"
 #: The bound on what is learned from: documents a language, in expectation, and distinct words a language, most frequent first.
 SAMPLE_DOCS = 1500
-SAMPLE_WORDS = 30_000
-ROUNDS = 4
+SAMPLE_WORDS = 8_000
+ROUNDS = 3
 #: Characters of a word beyond which it is scored in parts.
 WORD_CHARS = 40
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -65,13 +66,11 @@ class Lattice:
             by_length.setdefault(len(w), []).append(i)
         self.groups = []
         for n, members in by_length.items():
-            arcs = []
+            arcs, group = [], [words[i] for i in members]
             for end in range(1, n + 1):
                 for start in range(max(0, end - longest), end):
-                    got = [ids.get(words[i][start:end], -1) for i in members]
-                    if end - start == 1:
-                        got = [unknown if x < 0 else x for x in got]
-                    got = np.array(got)
+                    other = unknown if end - start == 1 else -1
+                    got = np.array([ids.get(w[start:end], other) for w in group])
                     (at,) = np.nonzero(got >= 0)
                     if len(at):
                         arcs.append((start, end, at, got[at]))
@@ -100,7 +99,9 @@ class Lattice:
                 beta[start, at] += beta[end, at] * p[piece]
             share = weight[members] / np.maximum(alpha[n], 1e-300)
             for start, end, at, piece in arcs:
-                np.add.at(out, piece, alpha[start, at] * p[piece] * beta[end, at] * share[at])
+                gain = alpha[start, at] * p[piece] * beta[end, at] * share[at]
+                for j in range(out.shape[1]):
+                    out[:, j] += np.bincount(piece, gain[:, j], len(out))
         return out
 
 
@@ -109,6 +110,7 @@ class Model(NamedTuple):
     ids: dict[str, int]
     p: np.ndarray  # by piece and language; the last row is for letters that no piece covers
     longest: int
+    name: int = 0  # a checksum of the probabilities
 
 
 def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS, smoothing: float = 0.1) -> Model:
@@ -128,33 +130,40 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUN
     for _ in range(rounds):
         seen = lattice.expected(p, weight) + smoothing / (len(ids) + 1)
         p = seen / seen.sum(axis=0)
-    return Model(languages, ids, p, longest)
+    return Model(languages, ids, p, longest, zlib.crc32(p.tobytes() + repr(languages).encode()))
 
 
 class Scorer:
     """Scores texts in a task. Words are scored once and kept in a table that is emptied when it is full."""
 
     def __init__(self, model: Model):
-        self.model, self.cache = model, {}
+        self.model = model
+        self.rows: dict[str, int] = {}
+        self.logs = np.zeros((1 << 12, len(model.languages)))
+
+    def _learn(self, words: list[str]) -> None:
+        """Scores new words, in rows after those that are known."""
+        parts = [_parts(w) for w in words]
+        flat = [p for ps in parts for p in ps]
+        logs = Lattice(flat, self.model.ids, self.model.longest).forward(self.model.p, len(flat))
+        logs = np.add.reduceat(logs, np.cumsum([0, *map(len, parts[:-1])]), axis=0)
+        n = len(self.rows)
+        while len(self.logs) < n + len(words):
+            self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
+        self.logs[n : n + len(words)] = logs
+        self.rows.update(zip(words, range(n, n + len(words)), strict=True))
 
     def log_likelihoods(self, texts: list[str]) -> np.ndarray:
-        model = self.model
-        counted = [Counter(words_of(t)) for t in texts]
-        if len(self.cache) > _CACHE_WORDS:
-            self.cache.clear()
-        new = list(set().union(*counted).difference(self.cache))
+        words = [words_of(t) for t in texts]
+        if len(self.rows) > _CACHE_WORDS:
+            self.rows.clear()
+        new = list(set().union(*words).difference(self.rows))
         if new:
-            parts = [_parts(w) for w in new]
-            flat = [p for ps in parts for p in ps]
-            logs = Lattice(flat, model.ids, model.longest).forward(model.p, len(flat))
-            at = 0
-            for w, ps in zip(new, parts, strict=True):
-                self.cache[w] = logs[at] if len(ps) == 1 else logs[at : at + len(ps)].sum(axis=0)
-                at += len(ps)
-        out = np.zeros((len(texts), len(model.languages)))
-        for i, c in enumerate(counted):
-            if c:
-                out[i] = np.fromiter(c.values(), float, len(c)) @ np.array([self.cache[w] for w in c])
+            self._learn(new)
+        out = np.zeros((len(texts), len(self.model.languages)))
+        for i, w in enumerate(words):
+            if w:
+                out[i] = self.logs[np.fromiter(map(self.rows.__getitem__, w), np.int64, len(w))].sum(axis=0)
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -172,6 +181,17 @@ class Scorer:
         return out
 
 
+_scorers: dict[int, Scorer] = {}
+
+
+def scorer_of(model: Model) -> Scorer:
+    """One scorer a worker process: the words of one task serve the next of the same model."""
+    if model.name not in _scorers:
+        _scorers.clear()
+        _scorers[model.name] = Scorer(model)
+    return _scorers[model.name]
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
@@ -209,7 +229,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
         for batch in batches:
             for i in range(0, len(batch), 256):
                 some = batch.slice(i, 256)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import Encoder
+from .tokens import encoder_of
 from .workspace import Workspace
 
 CAPACITY = 2048
@@ -247,7 +247,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         part, row, seen = TaskContext.get().partitionId(), 0, np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:

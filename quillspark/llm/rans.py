@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .files import write_file
-from .tokens import Encoder
+from .tokens import encoder_of
 from .workspace import Workspace
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -191,7 +191,7 @@ def _tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end
     """A row for each file to be: its documents in order, their ids, and the number of ids before them in the partition."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         end = np.array([end_id], encoder.dtype).tobytes()
         part, before, number = TaskContext.get().partitionId(), 0, 0
         doc_ids, lengths, ids = [], [], []
@@ -199,7 +199,7 @@ def _tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end
 
         def row():
             nonlocal before, number, total
-            out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "before": pa.array([before], pa.int64()), "n": pa.array([total], pa.int64()), "width": pa.array([encoder.dtype.itemsize], pa.int32()), "doc_ids": pa.array([list(doc_ids)], pa.list_(pa.int64())), "lengths": pa.array([list(lengths)], pa.list_(pa.int64())), "ids": pa.array([b"".join(ids)], pa.binary())})
+            out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "before": pa.array([before], pa.int64()), "n": pa.array([total], pa.int64()), "width": pa.array([encoder.dtype.itemsize], pa.int32()), "doc_ids": pa.array([list(doc_ids)], pa.list_(pa.int64())), "lengths": pa.array([list(lengths)], pa.list_(pa.int64())), "ids": pa.array([b"".join(ids)], pa.binary()), "counts": pa.array([zlib.compress(np.bincount(np.frombuffer(b"".join(ids), encoder.dtype)).astype("<u4").tobytes(), 1)], pa.binary())})
             before, number, total = before + total, number + 1, 0
             for x in (doc_ids, lengths, ids):
                 x.clear()
@@ -220,7 +220,7 @@ def _tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end
             yield row()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(encode, "part int, number int, before long, n long, width int, doc_ids array<long>, lengths array<long>, ids binary")
+    return ordered.mapInArrow(encode, "part int, number int, before long, n long, width int, doc_ids array<long>, lengths array<long>, ids binary, counts binary")
 
 
 def _ids_of(raw: bytes, width: int) -> np.ndarray:
@@ -233,14 +233,14 @@ def _table_of(rows: DataFrame) -> Table:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for raw, width in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                here = np.bincount(_ids_of(raw.as_py(), width))
+            for raw in batch.column(0):
+                here = np.frombuffer(zlib.decompress(raw.as_py()), "<u4")
                 counts = np.pad(counts, (0, max(0, len(here) - len(counts))))
                 counts[: len(here)] += here
         (at,) = np.nonzero(counts)
         yield pa.RecordBatch.from_pydict({"id": pa.array(at.astype(np.int64)), "n": pa.array(counts[at])})
 
-    found = rows.select("ids", "width").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 0, np.int64)
     counts[found["id"].to_numpy()] = found["n"].to_numpy()
     return Table.of(counts)
@@ -263,13 +263,13 @@ def write_ids(docs: DataFrame, folder: str, ws: Workspace, id_col: str = "doc_id
                 write_file(folder, f"{r['part']:06d}-{r['number']:06d}.rans", data)
                 yield pa.RecordBatch.from_pydict({"size": pa.array([len(data)], pa.int64())})
 
-    rows.join(F.broadcast(starts), "part").mapInArrow(write, "size long").agg(F.sum("size")).first()
+    rows.drop("counts").join(F.broadcast(starts), "part").mapInArrow(write, "size long").agg(F.sum("size")).first()
     write_file(f"{folder}-table", "table.freq", table.tobytes())
     return table
 
 
-def read_ids(spark: SparkSession, folder: str, table: Table) -> DataFrame:
-    """A row a document from the files: doc_id, start, n_tokens, and its ids as little-endian unsigned 32-bit integers."""
+def read_ids(spark: SparkSession, folder: str, table: Table, checksums_only: bool = False) -> DataFrame:
+    """A row a document from the files: doc_id, start, n_tokens, ids_crc32, and its ids as little-endian unsigned 32-bit integers."""
     shared = spark.sparkContext.broadcast(table)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rans").load(folder).select("content")
 
@@ -279,9 +279,11 @@ def read_ids(spark: SparkSession, folder: str, table: Table) -> DataFrame:
                 f = File(data.as_py())
                 ids, ends = f.ids(shared.value).astype("<u4"), np.cumsum(f.lengths)
                 starts = ends - f.lengths
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(f.doc_ids, pa.int64()), "start": pa.array(f.first + starts), "n_tokens": pa.array(f.lengths), "ids": pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())})
+                each = [ids[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                out = {"doc_id": pa.array(f.doc_ids, pa.int64()), "start": pa.array(f.first + starts), "n_tokens": pa.array(f.lengths), "ids_crc32": pa.array([zlib.crc32(x) for x in each], pa.int64())}
+                yield pa.RecordBatch.from_pydict(out if checksums_only else out | {"ids": pa.array([x.tobytes() for x in each], pa.binary())})
 
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * (not checksums_only))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -292,4 +294,4 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     table = write_ids(docs, ws.path("files"), ws, id_col, text_col, **how)
     ws.drop("ids")
-    return read_ids(spark, ws.path("files"), table).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_ids(spark, ws.path("files"), table, checksums_only=True)

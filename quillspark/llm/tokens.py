@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -20,7 +21,7 @@ _RULES = {
     True: re.compile(f"{_SHORT}| ?[{_L}]+| ?[{_N}]+| ?[^{_B}{_L}{_N}]+|[{_B}]+(?![^{_B}])|[{_B}]+"),
     False: re.compile(f"{_SHORT}|[{_L}]+|[{_N}]|[^{_B}{_L}{_N}]+"),
 }
-_CACHE_PARTS = 600_000
+_CACHE_PARTS = 300_000
 
 
 #: Blanks that are neither a space nor a line end.
@@ -38,16 +39,22 @@ _BYTE_NAMES = _byte_names()
 
 
 class _Table(dict):
-    """Values are made when they are asked for first."""
+    """Values are made when they are asked for first. A full table is set aside, and what is asked for again comes back from there."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.last = make, {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.last.get(key)
+        value = self[key] = self.make(key) if value is None else value
         return value
 
+    def turn(self) -> None:
+        if len(self) > _CACHE_PARTS:
+            self.last = dict(self)
+            self.clear()
+
 
 def vocabulary(name: str) -> str:
     """The file of a public tokenizer; ``name`` may also be a path."""
@@ -75,7 +82,7 @@ class Encoder:
     are those of its parts, one after the other. Parts of byte-level vocabularies hold the blank before them; where blanks are
     anything but single spaces and line ends, the vocabulary's own rule for blanks is applied. Other vocabularies drop blanks
     and case. A part of Latin-1 characters is split by the same rule as in the library, and its words go straight to the
-    library's model; others go through the whole library. Parts and words are kept in tables that are emptied when full.
+    library's model; others go through the whole library. Parts and words are kept in tables of a bounded size.
     """
 
     def __init__(self, name: str):
@@ -127,7 +134,12 @@ class Encoder:
         """The ids of each text (null: none), little-endian in ``dtype``."""
         get = self.parts.__getitem__
         for text in texts:
-            for table in (self.parts, self.words):
-                if len(table) > _CACHE_PARTS:
-                    table.clear()
+            self.parts.turn()
+            self.words.turn()
             yield b"".join(map(get, self._parts(text or "")))
+
+
+@lru_cache(2)
+def encoder_of(name: str) -> Encoder:
+    """One encoder a worker process: the words of one task serve the next."""
+    return Encoder(name)

@@ -1,6 +1,5 @@
 """Operator 4: lossless, full sequences, close to or at the lower bound; the search against exhaustive packing."""
 
-import itertools
 import random
 import zlib
 from collections import Counter
@@ -100,10 +99,11 @@ def test_pack(spark):
             at += length
         assert at <= 2048
     total = Counter(r.length for r in rows)
-    assert len(sequences) == packing.least_bins(total, 2048) or len(sequences) <= len(list(itertools.chain(total)))
+    assert len(sequences) == packing.least_bins(total, 2048)
 
 
 def test_empty_table_and_clashing_columns(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(1, "a", 5, 6)], "doc_id long, text string, rank int, length int")
-    assert packing.pack(df, with_ids=False).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "row", "sequence_id", "offset"] or packing.pack(df).count() == 1
+    found = packing.pack(df, with_ids=False)
+    assert set(found.columns) == {"doc_id", "row", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} and found.count() == 1

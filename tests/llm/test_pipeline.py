@@ -52,7 +52,7 @@ def test_mix_takes_what_its_plan_says(steps):
 def test_packing_holds_every_document_once(steps):
     rows = steps[5].collect()
     assert len({(r.doc_id, r.row) for r in rows}) == steps[4].count()
-    encoder = packing.Encoder(packing.VOCABULARY)
+    encoder = packing.encoder_of(packing.VOCABULARY)
     checksums = Counter()
     for text in (r.text for r in steps[4].collect()):
         ids = np.frombuffer(next(encoder.encode([text])) + bytes(2), "<u2").astype("<u4")
