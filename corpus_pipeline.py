@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import language, mixing, neardup, packing, secrets
 
+#: Words of a shingle, by which near-duplicates are found here.
+SHINGLE = 5
 #: Documents whose language is less certain than this are rejected, as are those without any letter.
 LEAST_SCORE = 0.5
 
@@ -24,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, that with the smallest id."""
-    found = neardup.near_duplicates(docs, keep=tuple(docs.columns))
+    found = neardup.near_duplicates(docs, keep=tuple(docs.columns), shingle=SHINGLE)
     return found.where("kept_row").select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))
 
 

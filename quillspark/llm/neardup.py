@@ -1,6 +1,6 @@
 """Operator 10, near-duplicates by MinHash and a multi-index Hamming join.
 
-A document's set holds its distinct 2-word shingles. Documents with equal sets form a class, of which one goes on. Its signature
+A document's set holds its distinct shingles of ``shingle`` words, by default 2. Documents with equal sets form a class, of which one goes on. Its signature
 is 40 MinHash values of 16 bits; two sets of similarity s differ in each with probability 1 - s. All pairs of classes whose
 signatures differ in at most 19 places share, by the pigeonhole principle, one of ten chunks of 4 values up to one error; so a
 class is indexed under each chunk with each one value left out, 40 keys. A pair at similarity 0.8 exceeds 19 differences
@@ -10,11 +10,11 @@ Pairs under one key are not all made. Each key's least class is its centre; all
 centre of each class is confirmed on the full sets, and components are formed. Only where one key still holds several components
 are further pairs made, between different ones, and without those that distances to the centre rule out (signature distance is a
 metric: x and y can't be within 19 if their distances to the centre differ by more); large keys are dealt into blocks, and
-only links leave the blocks. All pairs that the signatures allow are confirmed on full sets, unless their classes are in one component already. So a hot group of copies or near copies costs a number of
-comparisons in proportion to its size.
+only links leave the blocks. All pairs that the signatures allow are confirmed on full sets, unless their classes are in one
+component already. So a hot group of copies or near copies costs a number of comparisons in proportion to its size.
 
-Nulls and edge cases: a text without words, empty or null, has an empty set, is linked with nothing and is kept; a text of one
-word has that word as its shingle; ids may be null or repeated: each row counts for itself, a component's id is its smallest
+Nulls and edge cases: a text without words, empty or null, has an empty set, is linked with nothing and is kept; a text of fewer words than a shingle
+has its whole sequence of words as one; ids may be null or repeated: each row counts for itself, a component's id is its smallest
 non-null id (null if there is none), and ``kept_row`` marks just one row of each component; texts are used whole. An empty table
 gives an empty result. Extra columns are ignored, whatever their names.
 """
@@ -22,7 +22,7 @@ gives an empty result. Extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -91,12 +91,12 @@ def keys_of(signature: np.ndarray) -> np.ndarray:
     return np.concatenate(keys, axis=1).view(np.int64)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """row, doc_id, number of shingles, two hashes of the set, signature."""
     for batch in batches:
         for i in range(0, len(batch), 512):
             some = batch.slice(i, 512)
-            sets = shingle_hashes(some.column(2).to_pylist())
+            sets = shingle_hashes(some.column(2).to_pylist(), width)
             full = [s for s in sets if len(s)]
             rows = iter(signatures(full)) if full else iter(())
             one, two = (pa.array([int(mixed(s + np.uint64(c)).sum().view(np.int64)) if len(s) else None for s in sets], pa.int64()) for c in (1, 2))
@@ -117,14 +117,14 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a != b).sum(axis=1).astype(np.int32)), batch.column(4)], ["a", "b", "d", "sizes"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets are similar enough."""
     for batch in batches:
         for i in range(0, len(batch), 256):
             some = batch.slice(i, 256)
             a, b, text_a, text_b = (c.to_pylist() for c in some.columns)
             texts = dict(zip([*a, *b], [*text_a, *text_b], strict=True))
-            sets = dict(zip(texts, shingle_hashes(list(texts.values())), strict=True))
+            sets = dict(zip(texts, shingle_hashes(list(texts.values()), width), strict=True))
             good = []
             for x, y in zip(a, b, strict=True):
                 both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
@@ -137,9 +137,9 @@ def _chosen(key: tuple, texts: pa.Table, rows: pa.Table) -> pa.Table:
     return texts.select(["row", "text"]).filter(pa.array([r in wanted for r in texts.column("row").to_pylist()], pa.bool_()))
 
 
-def _chosen_sets(key: tuple, texts: pa.Table, rows: pa.Table) -> pa.Table:
+def _chosen_sets(key: tuple, texts: pa.Table, rows: pa.Table, width: int) -> pa.Table:
     some = _chosen(key, texts, rows)
-    sets = shingle_hashes(some.column("text").to_pylist()) if some.num_rows else []
+    sets = shingle_hashes(some.column("text").to_pylist(), width) if some.num_rows else []
     return pa.table({"row": some.column("row"), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
 
@@ -202,8 +202,8 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Join:
     """The steps on classes, each of which is named by the least row with its set."""
 
-    def __init__(self, ws: Workspace, chunks: DataFrame, classes: DataFrame):
-        self.ws, self.chunks, self.classes = ws, chunks, classes
+    def __init__(self, ws: Workspace, chunks: DataFrame, classes: DataFrame, width: int):
+        self.ws, self.chunks, self.classes, self.width = ws, chunks, classes, width
 
     def with_distance(self, pairs: DataFrame) -> DataFrame:
         """a, b, their distance d, and whether their numbers of shingles allow a link."""
@@ -223,7 +223,7 @@ class _Join:
         texts = self.ws.save(self._per_chunk(rows, _chosen, "row long, text binary"), f"{name}-texts")
         side = lambda x: texts.select(F.col("row").alias(x), F.col("text").alias(f"t_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
-        return self.ws.save(both.mapInArrow(_confirmed, "a long, b long"), f"{name}-links")
+        return self.ws.save(both.mapInArrow(partial(_confirmed, width=self.width), "a long, b long"), f"{name}-links")
 
     def links(self) -> DataFrame:
         """Links between classes that connect all that similar sets connect."""
@@ -251,7 +251,12 @@ class _Join:
         open_ = ws.save(size.join(several, "key").select("key", "row", "r_row", "d"), "open")
         # rows of a large key are dealt into blocks, and each two blocks meet in one place
         blocks = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-        sets = self._per_chunk(open_.select("row").distinct(), _chosen_sets, "row long, shingles binary")
+        width = self.width
+
+        def chosen_sets(key: tuple, texts: pa.Table, rows: pa.Table) -> pa.Table:
+            return _chosen_sets(key, texts, rows, width)
+
+        sets = self._per_chunk(open_.select("row").distinct(), chosen_sets, "row long, shingles binary")
         full = open_.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
         full = full.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
         full = full.join(ws.save(sets, "open-sets"), "row").join(self.classes.select("row", "signature"), "row")
@@ -261,7 +266,7 @@ class _Join:
         return label.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(second)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), shingle: int = SHINGLE) -> DataFrame:
     """A row a document: doc_id, n_shingles, component_id, kept (doc_id is component_id), kept_row (one row a component).
 
     ``keep`` names further columns of ``docs`` to carry along; they come back under their own names with a leading ``in_``.
@@ -270,11 +275,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ws = Workspace(spark, "neardup")
     chunks = chunk_table(docs, ws, {"doc_id": F.col(id_col), "text": F.col(text_col).cast("binary"), **{f"in_{c}": F.col(c) for c in keep if c != text_col}})
     kind = chunks.schema["doc_id"].dataType.simpleString()
-    sets = ws.save(chunks.select("row", "doc_id", "text", "chunk").mapInArrow(_sets, f"row long, doc_id {kind}, n long, h1 long, h2 long, signature binary"), "sets")
+    sets = ws.save(chunks.select("row", "doc_id", "text", "chunk").mapInArrow(partial(_sets, width=shingle), f"row long, doc_id {kind}, n long, h1 long, h2 long, signature binary"), "sets")
     where = ws.save(chunks.select("row", "chunk"), "where")
     named = sets.where("h1 is not null").groupBy("h1", "h2", "n").agg(F.min("row").alias("class"))
     classes = ws.save(named.select(F.col("class").alias("row")).join(sets.select("row", "n", "signature"), "row").join(where, "row"), "classes")
-    links = _Join(ws, chunks, classes).links()
+    links = _Join(ws, chunks, classes, shingle).links()
     roots = components(links, ws, "all")
 
     placed = sets.select("row", "doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
@@ -288,5 +293,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.drop("row")
 
 
-def dedup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return near_duplicates(docs, id_col, text_col).drop("kept_row")
+def dedup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    return near_duplicates(docs, id_col, text_col, shingle=shingle).drop("kept_row")

@@ -33,7 +33,7 @@ def test_language_keeps_documents_as_they_are(steps):
 
 
 def test_one_document_of_each_group_stays(steps):
-    groups = neardup.dedup_components(steps[1]).where("kept").select("doc_id").collect()
+    groups = neardup.dedup_components(steps[1], shingle=corpus_pipeline.SHINGLE).where("kept").select("doc_id").collect()
     assert sorted(r.doc_id for r in steps[2].collect()) == sorted(r.doc_id for r in groups)
 
 
