@@ -69,7 +69,8 @@ def source_targets(sizes: DataFrame, ws: Workspace, weights=WEIGHTS, share: floa
 def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, max_epochs: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row a document: doc_id, source, size, source_size, target, taken (words that the mix takes of it, repeats counted).
 
-    ``keep`` names further columns of ``docs`` to carry along; they come back under their own names with a leading ``in_``.
+    ``keep`` names further columns of ``docs`` to carry along; they come back under their own names with a leading ``in_``, and
+    they put rows in order whose ids and sizes are equal.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "mix")
@@ -83,7 +84,7 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("in_block").over(earlier), F.lit(0))).alias("b").join(targets.alias("t"), F.expr("b.source <=> t.source")).selectExpr("b.source", "block", "start", "source_size", "target")
 
-    inside = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size", *(f"in_{c}" for c in keep)).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d").join(starts.alias("s"), F.expr("d.source <=> s.source and d.block = s.block"))
     budget, before = F.floor("target"), F.col("start") + F.col("inside")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
@@ -97,8 +98,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     A document that is cut keeps its first words, up to the last word that still fits. Documents without words are not taken.
     """
-    counts = mix_counts(docs, id_col, text_col, source_col, keep=tuple(docs.columns), **how)
-    copies = counts.where("taken > 0").withColumn("_words", F.explode(F.expr("transform(sequence(0, (taken - 1) div size), i -> least(size, taken - i * size))")))
+    # the plan is made from numbered rows without their texts; a text is shuffled once, to meet what is taken of it
+    rows = docs.select(*(F.col(c).alias(f"in_{c}") for c in docs.columns), F.monotonically_increasing_id().alias("_row"))
+    rows = Workspace(docs.sparkSession, "mix-docs").save(rows, "docs")
+    counts = mix_counts(rows, f"in_{id_col}", f"in_{text_col}", f"in_{source_col}", keep=("_row",), **how)
+    taken = counts.where("taken > 0").select(F.col("in__row").alias("_row"), "size", "taken")
+    copies = rows.join(taken, "_row").withColumn("_words", F.explode(F.expr("transform(sequence(0, (taken - 1) div size), i -> least(size, taken - i * size))")))
     words = F.regexp_extract_all(F.col(f"in_{text_col}"), F.lit(rf"\G[\x20\x09-\x0D]*+{WORD}+"), F.lit(0))
     cut = F.when(F.col("_words") < F.col("size"), F.array_join(F.slice(words, 1, F.col("_words").cast("int")), "")).otherwise(F.col(f"in_{text_col}"))
     return copies.select(*((cut if c == text_col else F.col(f"in_{c}")).alias(c) for c in docs.columns))
