@@ -129,7 +129,8 @@ def chunks(books: DataFrame, most: int | None = 70, parsed: bool = True, across:
             yield pd.Series([[{"start": a, "end": b, "text": t} for a, b, t in book_spans(lines, most, parsed, across)] for lines in books_of_batch])
 
     rest = [c for c in books.columns if c != "text"]
-    found = books.select(*rest, spans(nested_tokens(F.coalesce(F.col("text"), F.lit("")))).alias("_spans"))
+    # a book without text has no chunks; a batch of nothing but empty nested arrays would crash the Arrow conversion
+    found = books.where(F.length("text") > 0).select(*rest, spans(nested_tokens(F.col("text"))).alias("_spans"))
     return found.select(*rest, F.posexplode("_spans").alias("ord", "_s")).select(*rest, F.col("ord").cast("long").alias("ord"), "_s.start", "_s.end", "_s.text")
 
 
@@ -152,4 +153,6 @@ def depths(lines: DataFrame) -> DataFrame:
     """A row a sentence of stripped lines: the columns of ``lines`` but line, sent_no, depth."""
     rest = [c for c in lines.columns if c != "line"]
     nested = F.transform(annotate.sentences(strip(F.col("line"))), annotate.tokens)
-    return lines.select(*rest, F.posexplode(sentence_depths(nested)).alias("sent_no", "depth"))
+    # lines without sentences have no rows, and must not make up a batch alone, as above
+    found = lines.select(*rest, nested.alias("_nested")).where(F.size("_nested") > 0)
+    return found.select(*rest, F.posexplode(sentence_depths("_nested")).alias("sent_no", "depth"))
