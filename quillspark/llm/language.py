@@ -2,9 +2,12 @@
 
 The pieces of a fixed public vocabulary get a probability in each language. A word's probability in a language is the sum over
 all its segmentations into pieces, by the forward algorithm; a text's is the product over its words. Probabilities are fitted by
-expectation maximisation, whose expected piece counts come from the forward and backward sums.
+expectation maximisation, whose expected piece counts come from the forward and backward sums. Sums are kept as logarithms, so
+words of any length are treated whole.
 
-What is learned from: a sample of labelled documents, ``sample_docs`` a language in expectation, chosen by a hash of the id.
+What is learned from: a sample of labelled documents, ``sample_docs`` a language in expectation, chosen by a hash of the id, with
+all their words. Rounds go on until none raises a language's log likelihood by more than a part ``SETTLED`` of it. Tasks sum the
+expected counts of their words; the driver gets a number a piece and language in each round.
 Documents with crc32(id as text) mod 4 = 2 are held out, and so are those without id or label. A prediction sees the text alone.
 
 Nulls and edge cases: a text that is null or has no letter gets ``und`` with score 0, and so does every text if nothing was
@@ -17,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -26,15 +29,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import vocabulary
+from .workspace import Workspace
 
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = "und"
-#: The bound on what is learned from: documents a language, in expectation, and distinct words a language, most frequent first.
+#: The bound on what is learned from: documents a language, in expectation.
 SAMPLE_DOCS = 1500
-SAMPLE_WORDS = 8_000
-ROUNDS = 3
-#: Characters of a word beyond which it is scored in parts.
-WORD_CHARS = 40
+#: Fitting ends when a round raises no language's log likelihood by more than this part of it.
+SETTLED = 1e-4
+#: Letters of words that are treated at once, but for a longer word.
+_LETTERS = 100_000
+#: Expected counts are summed across tasks as whole numbers of this part, so that their order is of no effect.
+_UNIT = 2.0**-24
+_SHARDS = 16
 _WORDS = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS = 400_000
 
@@ -52,57 +59,89 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
-def _parts(word: str) -> list[str]:
-    return [f"^{word[:WORD_CHARS]}", *(word[i : i + WORD_CHARS] for i in range(WORD_CHARS, len(word), WORD_CHARS))]
+def _batches(words: list[str]) -> Iterator[slice]:
+    """Consecutive words of about ``_LETTERS`` letters together."""
+    start = letters = 0
+    for i, w in enumerate(words):
+        letters += len(w)
+        if letters >= _LETTERS:
+            yield slice(start, i + 1)
+            start, letters = i + 1, 0
+    if start < len(words):
+        yield slice(start, len(words))
+
+
+def _steps(when: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Arcs by ``when``: for each value the arcs in order of ``at``, where each place's arcs begin, how many they are, and the places."""
+    order = np.lexsort((at, when))
+    limits = np.flatnonzero(np.diff(when[order])) + 1
+    out = []
+    for arcs in np.split(order, limits):
+        places = at[arcs]
+        begin = np.concatenate([[0], np.flatnonzero(np.diff(places)) + 1])
+        out.append((arcs, begin, np.diff(begin, append=len(arcs)), places[begin]))
+    return out
+
+
+def _log_sums(x: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    top = np.maximum.reduceat(x, begin)
+    return top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, sizes, axis=0)), begin))
 
 
 class Lattice:
-    """All segmentations of words of one batch: for each word length, which piece leads from which place to which."""
+    """All segmentations of words of one batch: which piece leads from which place to which. A word of n letters has n + 1 places."""
 
     def __init__(self, words: list[str], ids: dict[str, int], longest: int):
         unknown = len(ids)
+        lengths = np.array([len(w) for w in words])
+        self.first = np.cumsum(lengths + 1) - lengths - 1
+        self.last = self.first + lengths
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
-        self.groups = []
+        found = []
         for n, members in by_length.items():
-            arcs, group = [], [words[i] for i in members]
+            group, numbers = [words[i] for i in members], np.array(members)
+            if len(group) < 8:  # few words, which may be long
+                for i, w in zip(members, group, strict=True):
+                    get = ids.get
+                    arcs = [(i, start, end, piece) for end in range(1, n + 1) for start in range(max(0, end - longest), end) if (piece := get(w[start:end], unknown if end - start == 1 else -1)) >= 0]
+                    found.append(np.array(arcs).T)
+                continue
             for end in range(1, n + 1):
                 for start in range(max(0, end - longest), end):
                     other = unknown if end - start == 1 else -1
                     got = np.array([ids.get(w[start:end], other) for w in group])
                     (at,) = np.nonzero(got >= 0)
                     if len(at):
-                        arcs.append((start, end, at, got[at]))
-            self.groups.append((n, np.array(members), arcs))
+                        found.append(np.stack([numbers[at], np.full(len(at), start), np.full(len(at), end), got[at]]))
+        self.word, start, end, self.piece = np.concatenate(found, axis=1)
+        self.source, self.target = self.first[self.word] + start, self.first[self.word] + end
+        self.ends, self.starts = _steps(end, self.target), (start, self.source)
+
+    def _forward(self, logs: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.last[-1] + 1, logs.shape[1]))
+        for arcs, begin, sizes, places in self.ends:
+            out[places] = _log_sums(out[self.source[arcs]] + logs[self.piece[arcs]], begin, sizes)
+        return out
 
     def forward(self, p: np.ndarray, n_words: int) -> np.ndarray:
         """Log probability of each word in each language; ``p`` is by piece and language."""
-        out = np.zeros((n_words, p.shape[1]))
-        for n, members, arcs in self.groups:
-            alpha = np.zeros((n + 1, len(members), p.shape[1]))
-            alpha[0] = 1
-            for start, end, at, piece in arcs:
-                alpha[end, at] += alpha[start, at] * p[piece]
-            out[members] = np.log(np.maximum(alpha[n], 1e-300))
-        return out
+        return self._forward(np.log(p))[self.last] if n_words else np.zeros((0, p.shape[1]))
+
+    def summed(self, p: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected number of each piece in each language over words that occur ``weight`` times, and their log likelihood."""
+        logs = np.log(p)
+        alpha = self._forward(logs)
+        beta = np.zeros_like(alpha)
+        for arcs, begin, sizes, places in reversed(_steps(*self.starts)):
+            beta[places] = _log_sums(beta[self.target[arcs]] + logs[self.piece[arcs]], begin, sizes)
+        whole = alpha[self.last]
+        gain = np.exp(alpha[self.source] + logs[self.piece] + beta[self.target] - whole[self.word]) * weight[self.word]
+        return np.stack([np.bincount(self.piece, g, len(p)) for g in gain.T], axis=1), (whole * weight).sum(axis=0)
 
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected number of each piece in each language over words that occur ``weight`` times."""
-        out = np.zeros_like(p)
-        for n, members, arcs in self.groups:
-            alpha, beta = (np.zeros((n + 1, len(members), p.shape[1])) for _ in range(2))
-            alpha[0] = beta[n] = 1
-            for start, end, at, piece in arcs:
-                alpha[end, at] += alpha[start, at] * p[piece]
-            for start, end, at, piece in reversed(arcs):
-                beta[start, at] += beta[end, at] * p[piece]
-            share = weight[members] / np.maximum(alpha[n], 1e-300)
-            for start, end, at, piece in arcs:
-                gain = alpha[start, at] * p[piece] * beta[end, at] * share[at]
-                for j in range(out.shape[1]):
-                    out[:, j] += np.bincount(piece, gain[:, j], len(out))
-        return out
+        return self.summed(p, weight)[0]
 
 
 class Model(NamedTuple):
@@ -113,24 +152,92 @@ class Model(NamedTuple):
     name: int = 0  # a checksum of the probabilities
 
 
-def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS, smoothing: float = 0.1) -> Model:
+def _language_sums(words: list[str], weight: list[int], ids: dict[str, int], longest: int, p: np.ndarray) -> tuple[np.ndarray, float]:
+    """Expected piece counts and log likelihood of the words of one language, whose probabilities are ``p``."""
+    order = sorted(range(len(words)), key=lambda i: (len(words[i]), words[i]))
+    words, n = [f"^{words[i]}" for i in order], np.array([weight[i] for i in order], float)
+    seen, likelihood = np.zeros(len(p)), 0.0
+    for part in _batches(words):
+        more, value = Lattice(words[part], ids, longest).summed(p[:, None], n[part, None])
+        seen += more[:, 0]
+        likelihood += float(value[0])
+    return seen, likelihood
+
+
+def _climb(languages: list[str], ids: dict[str, int], longest: int, sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], rounds: int | None, smoothing: float) -> Model:
+    """Expectation maximisation; ``sums`` gives expected counts and log likelihoods by language. Without ``rounds``, until it settles."""
+    p = np.full((len(ids) + 1, len(languages)), 1 / (len(ids) + 1))
+    before, done = None, 0
+    while rounds is None or done < rounds:
+        seen, likelihood = sums(p)
+        if rounds is None and before is not None and (likelihood - before <= SETTLED * np.abs(before)).all():
+            break
+        seen = seen + smoothing / (len(ids) + 1)
+        p, before, done = seen / seen.sum(axis=0), likelihood, done + 1
+    return Model(languages, ids, p, longest, zlib.crc32(p.tobytes() + repr(languages).encode()))
+
+
+def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int | None = None, smoothing: float = 0.1) -> Model:
     """``counts``: words of each language and how often each occurs."""
     languages = sorted(counts)
     ids = {p: i for i, p in enumerate(pieces)}
     longest = max(map(len, pieces), default=1)
-    parts: dict[str, np.ndarray] = {}
-    for j, language in enumerate(languages):
-        for word, n in counts[language].items():
-            for part in _parts(word):
-                parts.setdefault(part, np.zeros(len(languages)))[j] += n
-    words = sorted(parts)
-    weight = np.array([parts[w] for w in words]).reshape(-1, len(languages))
-    lattice = Lattice(words, ids, longest)
-    p = np.full((len(ids) + 1, len(languages)), 1 / (len(ids) + 1))
-    for _ in range(rounds):
-        seen = lattice.expected(p, weight) + smoothing / (len(ids) + 1)
-        p = seen / seen.sum(axis=0)
-    return Model(languages, ids, p, longest, zlib.crc32(p.tobytes() + repr(languages).encode()))
+
+    def sums(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        seen, likelihood = zip(*(_language_sums(list(counts[k]), list(counts[k].values()), ids, longest, p[:, j]) for j, k in enumerate(languages)), strict=True)
+        return np.stack(seen, axis=1), np.array(likelihood)
+
+    return _climb(languages, ids, longest, sums, rounds, smoothing)
+
+
+def fit_table(words: DataFrame, pieces: list[str], rounds: int | None = None, smoothing: float = 0.1) -> Model:
+    """As ``fit``, of a table lang, word, n. Every row is used; tasks sum over their words."""
+    spark = words.sparkSession
+    work = Workspace(spark, "language")
+    kept = work.save(words.repartition(_SHARDS, "lang", "word").sortWithinPartitions("lang", "word"), "words")
+    languages = sorted(r[0] for r in kept.select("lang").distinct().collect())  # a row a language
+    ids = {p: i for i, p in enumerate(pieces)}
+    longest = max(map(len, pieces), default=1)
+    numbers = {k: j for j, k in enumerate(languages)}
+
+    def sums(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shared = spark.sparkContext.broadcast((ids, p))  # pieces times languages
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, p = shared.value
+            mine: dict[str, tuple[list[str], list[int]]] = {}
+            totals = {}
+
+            def flush() -> None:
+                for lang, (w, n) in mine.items():
+                    seen, likelihood = _language_sums(w, n, ids, longest, p[:, numbers[lang]])
+                    had = totals.get(lang, (0, 0.0))
+                    totals[lang] = had[0] + seen, had[1] + likelihood
+                mine.clear()
+
+            for batch in batches:
+                for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    w, ns = mine.setdefault(lang, ([], []))
+                    w.append(word)
+                    ns.append(n)
+                flush()
+            for lang, (seen, likelihood) in totals.items():
+                (at,) = np.nonzero(seen)
+                at, values = np.append(at, -1), np.append(seen[at], likelihood)  # the likelihood under -1
+                yield pa.RecordBatch.from_pydict({"lang": pa.array(np.full(len(at), numbers[lang], np.int32)), "piece": pa.array(at.astype(np.int32)), "units": pa.array(np.rint(values / _UNIT).astype(np.int64))})
+
+        got = kept.mapInArrow(task, "lang int, piece int, units long").groupBy("lang", "piece").agg(F.sum("units").alias("units")).toArrow()
+        lang, piece, value = (got.column(c).to_numpy() for c in ("lang", "piece", "units"))
+        shared.destroy()
+        seen, likelihood = np.zeros(p.shape), np.zeros(len(languages))
+        counts = piece >= 0
+        seen[piece[counts], lang[counts]] = value[counts] * _UNIT
+        likelihood[lang[~counts]] = value[~counts] * _UNIT
+        return seen, likelihood
+
+    model = _climb(languages, ids, longest, sums, rounds, smoothing) if languages else Model([], {}, np.ones((1, 0)), 1)
+    work.drop("words")
+    return model
 
 
 class Scorer:
@@ -143,10 +250,9 @@ class Scorer:
 
     def _learn(self, words: list[str]) -> None:
         """Scores new words, in rows after those that are known."""
-        parts = [_parts(w) for w in words]
-        flat = [p for ps in parts for p in ps]
-        logs = Lattice(flat, self.model.ids, self.model.longest).forward(self.model.p, len(flat))
-        logs = np.add.reduceat(logs, np.cumsum([0, *map(len, parts[:-1])]), axis=0)
+        words.sort(key=len)
+        flat = [f"^{w}" for w in words]
+        logs = np.concatenate([Lattice(flat[part], self.model.ids, self.model.longest).forward(self.model.p, part.stop - part.start) for part in _batches(flat)])
         n = len(self.rows)
         while len(self.logs) < n + len(words):
             self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
@@ -196,8 +302,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, rounds: int = ROUNDS, vocabulary_name: str = VOCABULARY) -> Model:
-    """Fits the model. Counting words is a job; the driver gets ``sample_words`` rows a language and fits the probabilities."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, rounds: int | None = None, vocabulary_name: str = VOCABULARY) -> Model:
+    """Fits the model on all words of the sampled documents, in ``rounds`` or until it settles. Counting words is a job, as is each round."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}  # a row a language
     if not sizes:
@@ -215,11 +321,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(c), pa.string()), "word": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
 
     words = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-    for lang in sizes:
-        for r in words.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(sample_words).collect():
-            counts[lang][r["word"]] = r["n"]
-    return fit({lang: c for lang, c in counts.items() if c}, pieces_of(vocabulary_name), rounds)
+    return fit_table(words, pieces_of(vocabulary_name), rounds)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

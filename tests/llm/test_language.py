@@ -68,3 +68,34 @@ def test_edge_cases(spark):
     assert by[7].lang_pred == "de"
     assert language.identify(df.limit(0)).count() == 0
     assert {r.lang_pred for r in language.identify(df.withColumn("lang", df.lang.substr(0, 0).cast("string")).where("false").unionByName(df.selectExpr("doc_id", "text", "cast(null as string) lang", "score"))).collect()} == {"und"}
+
+
+def test_all_words_of_the_sample_are_learned_from(spark):
+    common = ["".join("abcdefghij"[int(d)] for d in f"{i:04d}") for i in range(9000)]
+    texts = [(1, " ".join(common * 2), "xx"), (3, "qaqa", "xx"), (4, "und die der", "de")]
+    assert not any(zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in texts)
+    model = language.learn(spark.createDataFrame(texts, "doc_id long, text string, lang string"), sample_docs=10**6)
+    counts = {"xx": {**dict.fromkeys(common, 2), "qaqa": 1}, "de": {"und": 1, "die": 1, "der": 1}}
+    want = language.fit(counts, language.pieces_of())
+    assert model.languages == want.languages and np.allclose(model.p, want.p, atol=1e-6)
+    rare = [i for piece, i in model.ids.items() if "q" in piece]
+    assert model.p[rare, 1].sum() > 1e-5  # smoothing alone gives about 1e-10 a piece
+
+
+def test_fitting_goes_on_until_it_settles():
+    counts = {"a": {"abab": 50, "ba": 30, "aab": 7, "bbab": 3}, "b": {"bb": 9, "ab": 1}}
+    pieces = ["a", "b", "ab", "^ab", "^b", "ba", "^a", "bab"]
+    score = lambda m: np.array([sum(n * language.Scorer(m).log_likelihoods([w])[0, j] for w, n in counts[k].items()) for j, k in enumerate(m.languages)])
+    three, settled = score(language.fit(counts, pieces, rounds=3)), score(language.fit(counts, pieces))
+    assert (settled >= three - 1e-9).all() and (settled > three + 1e-3 * np.abs(three)).any()
+
+
+def test_long_words_are_scored_whole():
+    pieces = ["^a", "a", "b", "ab", "bb", "abb", "^ab"]
+    model = language.fit({"x": {"abbabb": 3, "ab": 2}, "y": {"bba": 4}}, pieces)
+    for word in ("ab" * 30, "abb" * 40, "b" * 5000, "c" * 200):
+        string, want = f"^{word}", [[0.0, 0.0]]
+        for end in range(1, len(string) + 1):
+            arcs = [(start, model.ids.get(string[start:end], len(pieces) if end - start == 1 else None)) for start in range(max(0, end - 3), end)]
+            want.append([np.logaddexp.reduce([want[start][j] + np.log(model.p[i, j]) for start, i in arcs if i is not None]) for j in range(2)])
+        assert np.allclose(language.Scorer(model).log_likelihoods([word])[0], want[-1])
