@@ -26,10 +26,16 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: (name, pattern of a whole candidate, window, bits a character); the first class that fits counts.
+#: (name, pattern of a whole candidate, window, bits a character); the first class that fits counts. Of 20 random letters 99 % reach
+#: 3.21 bits in one case and 3.55 in both, 3.62 with the joining characters. Letters of one case that are joined (paths, compounds)
+#: keep a threshold that random strings seldom reach: words reach what random strings do.
 CLASSES = (
     ("hex", r"^[0-9a-fA-F]+$", 20, 3.0),
-    ("letters", r"^[A-Za-z/_=+-]+$", 20, 4.15),
+    ("lower", r"^[a-z]+$", 20, 3.2),
+    ("upper", r"^[A-Z]+$", 20, 3.2),
+    ("both cases", r"^[A-Za-z]+$", 20, 3.5),
+    ("one case, joined", r"^(?:[a-z/_=+-]+|[A-Z/_=+-]+)$", 20, 4.15),
+    ("both cases, joined", r"^[A-Za-z/_=+-]+$", 20, 3.6),
     ("mixed", r"^.+$", 20, 3.7),
 )
 #: Candidates that are known not to be secrets.

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -73,3 +74,20 @@ def test_empty_table_clashing_columns_and_repeats(spark):
 def test_redact(spark):
     df = spark.createDataFrame([(1, "a token=abcdefgh b 0123456789abcdef0123456789abcdef"), (2, None), (3, "clean")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {1: "a [SECRET] b [SECRET]", 2: None, 3: "clean"}
+
+
+def entropy_spans(spark, texts):
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    return [[tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("entropy")] for r in rows]
+
+
+def test_random_letters_are_found(spark):
+    rng, lower = random.Random(7), "abcdefghijklmnopqrstuvwxyz"
+    for alphabet in (lower, lower.upper(), lower + lower.upper(), lower + lower.upper() + "/+"):
+        for n in (20, 32, 40):
+            found = entropy_spans(spark, [f"a {''.join(rng.choices(alphabet, k=n))} b" for _ in range(300)])
+            assert sum(map(bool, found)) >= 0.96 * len(found), (alphabet, n)
+
+
+def test_words_and_repeats_are_not_secrets(spark):
+    assert entropy_spans(spark, ["internationalization", "losasmentementemente", "a" * 60, "abab" * 10, "state-of-the-artworks", "user-interface-design"]) == [[]] * 6
