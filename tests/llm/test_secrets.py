@@ -91,3 +91,14 @@ def test_random_letters_are_found(spark):
 
 def test_words_and_repeats_are_not_secrets(spark):
     assert entropy_spans(spark, ["internationalization", "losasmentementemente", "a" * 60, "abab" * 10, "state-of-the-artworks", "user-interface-design"]) == [[]] * 6
+
+
+def test_allowed_parts_suppress_only_themselves(spark):
+    rng, base64 = random.Random(8), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = lambda n: "".join(rng.choices(base64, k=n)).replace("//", "/x")
+    keys = [key(n) for n in (40, 344, 1600) for _ in range(20)]
+    joined = [f(k) for k in keys for f in (lambda k: f"{k[:30]}//{k[30:]}", lambda k: f"example={k}", lambda k: f"{k}-placeholder", lambda k: f"0123456789_{k}", lambda k: f"{k}=changeme={k}", lambda k: f"//{k[:10]}/{k[10:].replace('/', 'x')}")]
+    found = entropy_spans(spark, joined)
+    assert all(sum(b - a for a, b in spans) >= 0.75 * len(text) - 20 for text, spans in zip(joined, found, strict=True))
+    allowed = ["an_Example_of_A_key_91", "Placeholder_Key_0a1B2c3D", "ABCDEFGHIJ0123456789klmnopqrst", "http://localhost-7Q/Zx81kWq/Ab92Lm_Op/x", "YourExampleKey0a1Example9Z"]
+    assert entropy_spans(spark, allowed) == [[]] * len(allowed)
