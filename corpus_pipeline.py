@@ -45,7 +45,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     ``packing.pack`` gives the ids themselves too, if asked; they follow from the texts, which a trainer reads anyway.
     """
-    return packing.pack(docs, with_ids=False)
+    return packing.pack(docs, with_ids=False, added_tokens=True)
 
 
 def _counted(changed: DataFrame, docs: DataFrame) -> DataFrame:

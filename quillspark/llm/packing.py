@@ -242,12 +242,12 @@ class Plan:
         return self.sequence[at] + n // self.each[at], self.offset[at] + n % self.each[at] * length
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int, capacity: int, with_ids: bool) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int, capacity: int, with_ids: bool, added_tokens: bool = False) -> DataFrame:
     """A row a piece, with the task that cut it and its number there among the pieces of its length."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary)
+        encoder = encoder_of(vocabulary, added_tokens)
         part, row, seen = TaskContext.get().partitionId(), 0, np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
@@ -284,15 +284,16 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = True, added_tokens: bool = False) -> DataFrame:
     """A row a piece: doc_id, row, piece, start, length, ids_crc32, sequence_id, offset, and the ids themselves as little-endian
     unsigned 32-bit integers with ``with_ids``. Sorted by (sequence_id, offset), the ids of a sequence stand in a row.
 
     ``row`` numbers the documents: unique with ``doc_id`` unless whole rows repeat, and then too.
+    With ``added_tokens``, strings such as <|endoftext|> become their tokens, as in the library; else they are ordinary text.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "pack")
-    cut = ws.save(pieces(docs, id_col, text_col, vocabulary, end_id, capacity, with_ids), "pieces")
+    cut = ws.save(pieces(docs, id_col, text_col, vocabulary, end_id, capacity, with_ids, added_tokens), "pieces")
     counts = ws.save(cut.groupBy("part", "length").count(), "counts")
     histogram = dict(counts.groupBy("length").agg(F.sum("count")).collect())  # at most ``capacity`` rows
     plan = spark.sparkContext.broadcast(Plan(pack_lengths(histogram, capacity)))

@@ -187,11 +187,11 @@ class File:
         return out[start:stop]
 
 
-def _tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int, file_ids: int) -> DataFrame:
+def _tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int, file_ids: int, added_tokens: bool) -> DataFrame:
     """A row for each file to be: its documents in order, their ids, and the number of ids before them in the partition."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary)
+        encoder = encoder_of(vocabulary, added_tokens)
         end = np.array([end_id], encoder.dtype).tobytes()
         part, before, number = TaskContext.get().partitionId(), 0, 0
         doc_ids, lengths, ids = [], [], []
@@ -246,10 +246,10 @@ def _table_of(rows: DataFrame) -> Table:
     return Table.of(counts)
 
 
-def write_ids(docs: DataFrame, folder: str, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID, file_ids: int = FILE_IDS) -> Table:
+def write_ids(docs: DataFrame, folder: str, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID, file_ids: int = FILE_IDS, added_tokens: bool = True) -> Table:
     """Tokenise ``docs``, write their ids as files in ``folder`` and return the frequency table, which is also written beside them."""
     spark = docs.sparkSession
-    rows = ws.save(_tokenised(docs, id_col, text_col, vocabulary, end_id, file_ids), "ids")
+    rows = ws.save(_tokenised(docs, id_col, text_col, vocabulary, end_id, file_ids, added_tokens), "ids")
     table = _table_of(rows)
     shared = spark.sparkContext.broadcast(table)  # as large as the vocabulary
     # a row for each partition of the exchange

@@ -43,7 +43,7 @@ select page_id, payload_bytes, payload_digest, case when page_id > first then 'r
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), with_ids=False).drop("row")
+    return packing.pack(_read(spark, sf_dir, "documents"), with_ids=False, added_tokens=True).drop("row")
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,13 +83,18 @@ class Encoder:
     anything but single spaces and line ends, the vocabulary's own rule for blanks is applied. Other vocabularies drop blanks
     and case. A part of Latin-1 characters is split by the same rule as in the library, and its words go straight to the
     library's model; others go through the whole library. Parts and words are kept in tables of a bounded size.
+
+    Strings of the vocabulary's added tokens, such as <|endoftext|>, are ordinary text, or with ``added_tokens`` those tokens, as
+    the library has it by default: a text that holds such a string in any case goes through the unmodified library whole.
     """
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # for parts, which hold none or take them as ordinary text
+        self.plain = Tokenizer.from_file(vocabulary(name)) if added_tokens else None
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.keeps_blanks = self.tokenizer.normalizer is None
@@ -136,10 +141,14 @@ class Encoder:
         for text in texts:
             self.parts.turn()
             self.words.turn()
-            yield b"".join(map(get, self._parts(text or "")))
+            low = text.lower() if text and self.added else ""
+            if low and any(a in low for a in self.added):
+                yield b"".join(map(self.id_bytes.__getitem__, self.plain.encode(text, add_special_tokens=False).ids))
+            else:
+                yield b"".join(map(get, self._parts(text or "")))
 
 
 @lru_cache(2)
-def encoder_of(name: str) -> Encoder:
+def encoder_of(name: str, added_tokens: bool = False) -> Encoder:
     """One encoder a worker process: the words of one task serve the next."""
-    return Encoder(name)
+    return Encoder(name, added_tokens)
