@@ -27,4 +27,6 @@ def chunk_table(docs: DataFrame, ws: Workspace, columns: dict[str, Column]) -> D
     kept = kept.withColumn("chunk", F.spark_partition_id().cast("long") * parts + F.pmod("row", F.lit(parts)))
     name = f"chunks_{uuid.uuid4().hex}"
     kept.write.option("compression", "zstd").option("path", ws.path("chunks")).bucketBy(buckets_of(spark), "chunk").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"drop table {name}")  # the name alone: the files are outside of the catalog, and the plan has their buckets
+    return table

@@ -4,8 +4,10 @@ A window of 35 words holds a whole block of 18 words wherever it starts, if bloc
 blocks of all documents are indexed, and every rolling window of 18 words is probed against them: each chunk of documents sends
 the distinct hashes of its windows, marked where they are blocks, to the partition of their range, and gets back those that are
 blocks and occur elsewhere too. Hits are then extended: the windows of 35 words around them are compared in the same manner,
-by 96-bit hashes, and runs of windows that occur again are the maximal repeats. A passage that is in very many documents is one
-value a chunk, never a group of rows, and no pairs of documents are made.
+by 96-bit hashes of their words, and runs of windows that occur again are the maximal repeats. A passage that is in very many
+documents is one value a chunk, never a group of rows, and no pairs of documents are made. Words count as equal if their 64-bit
+hashes are: two unlike windows are taken for one another only if 96 bits, or the hashes of all words in which they differ, agree
+by chance; nothing in the structure of words or windows makes that likelier.
 
 Documents are kept once, in a table in buckets by chunk, so that later passes meet the answers without moving texts again. A
 chunk is part of an input partition.
@@ -28,13 +30,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import buckets_of, chunk_table
-from .words import Base, word_hashes
-from .workspace import Workspace
+from .chunks import chunk_table
+from .words import windows, word_hashes
+from .workspace import Workspace, shuffle_partitions
 
 WINDOW = 35
 
-_FIRST, _SECOND = Base(0x5851F42D4C957F2D), Base(0xD1342543DE82EF95)
+#: Bytes of text whose windows' hashes meet in one group.
+RANGE_BYTES = 16 << 20
 _ANSWER = "chunk long, keys binary"
 
 
@@ -75,10 +78,10 @@ class _Chunk:
         self.left = np.repeat(ends, self.counts) - np.arange(len(self.words))  # words to the end of the document
         self.place = np.arange(len(self.words)) - np.repeat(self.starts, self.counts)
 
-    def windows(self, length: int, base: Base) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the windows within documents, and their hashes."""
         (at,) = np.nonzero(self.left >= length)
-        return at, base.windows(self.words, length)[at] if len(at) else np.zeros(0, np.uint64)
+        return at, windows(self.words, length)[at] if len(at) else np.zeros(0, np.uint64)
 
 
 def _questions(chunk: int, keys: np.ndarray, extra: np.ndarray, marked: np.ndarray, buckets: int, bits: int) -> pa.Table:
@@ -154,7 +157,7 @@ class _Passes:
         self.window, self.block, self.buckets, self.bits = window, (window + 1) // 2, buckets, bits
 
     def _blocks(self, chunk: _Chunk) -> tuple[np.ndarray, np.ndarray]:
-        at, keys = chunk.windows(self.block, _FIRST)
+        at, keys = chunk.windows(self.block)
         return at, keys >> np.uint64(64 - self.bits)
 
     def probe(self, key: tuple, table: pa.Table) -> pa.Table:
@@ -163,8 +166,10 @@ class _Passes:
         return _questions(key[0].as_py(), keys, np.zeros(len(keys), np.uint32), chunk.place[at] % self.block == 0, self.buckets, self.bits)
 
     def _long(self, chunk: _Chunk, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = _FIRST.ranges(chunk.words, at, at + self.window)
-        return first, (_SECOND.ranges(chunk.words, at, at + self.window) >> np.uint64(32)).astype(np.uint32)
+        if not len(at):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        first, second = (windows(chunk.words, self.window, salt)[at] for salt in (0, 1 << 32))
+        return first, (second >> np.uint64(32)).astype(np.uint32)
 
     def extend(self, key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -215,10 +220,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """A row a document: doc_id, row, n_words, n_removed, spans (starts and ends of removed runs of words, in turn), kept_sha256 and kept."""
     spark = docs.sparkSession
     ws = Workspace(spark, "repeats")
-    buckets = buckets_of(spark)
     text = F.col(text_col).cast("binary")
     chunks = chunk_table(docs, ws, {"doc_id": F.col(id_col), "text": text, "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long")})
     total = chunks.agg(F.sum("size")).first()[0] or 0
+    buckets = max(shuffle_partitions(spark), -(-total // RANGE_BYTES))
     # enough bits that windows seldom share one by chance; those that do are told apart when they are extended
     passes = _Passes(window, buckets, min(64, max(33, math.ceil(math.log2(total + 2)) + 12)))
 

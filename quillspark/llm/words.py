@@ -1,13 +1,14 @@
 """Words of many texts as arrays of 64-bit hashes, and hashes of runs of words, for tasks.
 
-A hash is a polynomial in an odd base modulo 2^64 over random values of the bytes (or of the words), made by one running sum
-over the batch: the hash of a range is a difference of two sums times an inverse power of the base. It is then mixed, so that its
-high bits are as good as its low ones. Hashes are the same in every task and run.
+A word is taken eight bytes at a time: each step scrambles the state, one-to-one, with the next eight bytes, so that no structure
+of a word survives in its hash; words of more than 64 bytes get a keyed BLAKE2. A run of words is hashed by joining the hashes
+of its halves, scrambled at each step. Hashes are the same in every task and run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 
@@ -15,12 +16,14 @@ import numpy as np
 BLANKS = b" \t\n\r\x0b\x0c"
 #: Bytes that are hashed at once, but for a longer word.
 _SLICE = 2 << 20
-_MASK = (1 << 64) - 1
+_LONG = 64
+_KEY = b"words of documents"
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
-_rng = np.random.Generator(np.random.PCG64(20_240_601))
-_BYTE = _rng.integers(1, 1 << 63, 256, np.uint64)
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[list(BLANKS)] = True
+#: Masks of the first 0 to 8 bytes of eight, little-endian.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -30,51 +33,57 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Base:
-    """Powers of an odd base and of its inverse, as far as they were needed so far."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, 1 << 16)
-            for name, b in (("powers", self.base), ("inverses", self.inverse)):
-                row = np.full(n, b, np.uint64)
-                row[0] = 1
-                setattr(self, name, np.cumprod(row))
-
-    def ranges(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The hash of ``values[start:end]`` for each pair."""
-        self.upto(len(values) + 1)
-        sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.powers[: len(values)], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-    def windows(self, values: np.ndarray, length: int) -> np.ndarray:
-        """The hash of every ``length`` consecutive values."""
-        n = max(0, len(values) - length + 1)
-        starts = np.arange(n)
-        return self.ranges(values, starts, starts + length)
-
-
-_BYTES = Base(0x2545F4914F6CDD1D)
+def joined(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
+    """The hash of two neighbouring runs, from theirs; the order counts."""
+    return mixed(a * _ODD + mixed(b + np.uint64(salt)))
+
+
+def windows(values: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
+    """The hash of every ``length`` consecutive values, put together from those of runs of 1, 2, 4, ... values."""
+    n = len(values) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, done, run, size = None, 0, values, 1
+    while True:
+        if length & size:
+            part = run[done : done + n]
+            out = part if out is None else joined(out, part, salt + size)
+            done += size
+        if done == length:
+            return mixed(out + np.uint64(length + salt))
+        run, size = joined(run[:-size], run[size:], salt), size * 2
+
+
+def _word_values(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash for each word; ``buffer`` has eight bytes to spare at its end."""
+    lengths = ends - starts
+    out = mixed(lengths.astype(np.uint64) + _ODD)
+    eights = np.ndarray(len(buffer) - 7, "<u8", buffer, strides=(1,))
+    (open_,) = np.nonzero(lengths <= _LONG)
+    for at in range(0, _LONG, 8):
+        if at:
+            open_ = open_[lengths[open_] > at]
+        if not len(open_):
+            break
+        left = np.minimum(lengths[open_] - at, 8)
+        out[open_] = mixed(out[open_] ^ (eights[starts[open_] + at] & _FIRST_BYTES[left]))
+    for i in np.flatnonzero(lengths > _LONG).tolist():
+        out[i] = int.from_bytes(blake2b(buffer[starts[i] : ends[i]], digest_size=8, key=_KEY).digest(), "little")
+    return out
 
 
 def _hashed(buffer: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Starts and hashes of the words of ``buffer``, in slices that end between words."""
-    every = np.frombuffer(buffer, np.uint8)
-    at = 0
-    while at < len(every):
-        end = min(len(every), at + _SLICE)
-        while end < len(every) and not _IS_BLANK[every[end]]:
-            ahead = _IS_BLANK[every[end : end + _SLICE]]
+    every = np.frombuffer(buffer + bytes(8), np.uint8)
+    at, size = 0, len(buffer)
+    while at < size:
+        end = min(size, at + _SLICE)
+        while end < size and not _IS_BLANK[every[end]]:
+            ahead = _IS_BLANK[every[end : min(size, end + _SLICE)]]
             end += int(ahead.argmax()) if ahead.any() else len(ahead)
-        part = every[at:end]
-        word = np.concatenate([[False], ~_IS_BLANK[part], [False]])
+        word = np.concatenate([[False], ~_IS_BLANK[every[at:end]], [False]])
         edges = np.flatnonzero(word[1:] != word[:-1])
-        yield at + edges[::2], _BYTES.ranges(_BYTE[part], edges[::2], edges[1::2])
+        yield at + edges[::2], _word_values(every[at : end + 8], edges[::2], edges[1::2])
         at = end
 
 

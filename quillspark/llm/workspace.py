@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,20 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set (local runs)."""
+    """The folder of ``spark.checkpoint.dir``. Where none is set, a temporary one, but only if all tasks run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 class Workspace:
-    """One operator run's folder. ``save`` cuts the lineage: a lost executor only costs its running tasks."""
+    """One operator run's folder. ``save`` cuts the lineage: a lost executor only costs its running tasks.
+
+    What an operator's result still reads stays until the session ends; everything else is deleted as soon as it is read no more.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.saved: set[str] = set()
+        system, path = self._file("")
+        system.deleteOnExit(path)
+
+    def _file(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -30,23 +43,24 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read back."""
         df.write.option("compression", "zstd").parquet(self.path(name))
+        self.saved.add(name)
         return self.load(name, df.schema)
 
     def load(self, name: str, schema=None) -> DataFrame:
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
         return reader.parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Delete a result that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete results that nothing reads any more."""
+        for name in names:
+            system, path = self._file(name)
+            system.delete(path, True)
+            self.saved.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Delete all saved results but these."""
+        self.drop(*(self.saved - set(names)))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def parallel_chunks(spark: SparkSession, n_bytes: int, chunk_bytes: int = 32 << 20) -> int:
-    """How many parts to deal ``n_bytes`` into: the session's parallelism, more if a part would exceed ``chunk_bytes``."""
-    return max(shuffle_partitions(spark), -(-n_bytes // chunk_bytes), 1)

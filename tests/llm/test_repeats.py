@@ -49,6 +49,17 @@ def test_equals_brute_force(spark, window):
     assert all(sum(r.spans[1::2]) - sum(r.spans[::2]) == r.n_removed for r in got)
 
 
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomial_hashes_mistake(spark, n):
+    tm = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    other = tm.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(34))
+    swap = " ".join("ab"[bin(i).count("1") % 2] for i in range(64)), " ".join("ba"[bin(i).count("1") % 2] for i in range(64))
+    texts = [f"{tm} {tail}", f"{other} {tail}", *swap]
+    got = repeats.removal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(i, *b) for i, b in enumerate(brute(texts, 35))]
+
+
 def test_empty_table(spark):
     assert repeats.removal(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
