@@ -16,13 +16,13 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint as key from documents),
+with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::bigint as key from documents),
 sources as (select source, sum(size)::double as s, row_number() over (order by source nulls last) - 1 as nth from sized group by source),
 weighed as (select *, case nth % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end::double as w, 2 * s as cap from sources),
 steps as (select *, coalesce(sum(cap) over before, 0) as caps, coalesce(sum(w) over before, 0) as ws from weighed window before as (order by cap / w, nth rows between unbounded preceding and 1 preceding)),
 level as (select max((1.5 * (select sum(s) from weighed) - caps) / ((select sum(w) from weighed) - ws)) as l from steps),
 targets as (select source, s::bigint as source_size, least(cap, l * w) as target from steps, level),
-placed as (select doc_id, d.source, size, source_size, target, coalesce(sum(size) over (partition by d.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as before from sized d join targets t on d.source is not distinct from t.source),
+placed as (select doc_id, d.source, size, source_size, target, coalesce(sum(size) over (partition by d.source order by key rows between unbounded preceding and 1 preceding), 0)::bigint as before from sized d join targets t on d.source is not distinct from t.source),
 parts as (select *, case when source_size > 0 then floor(floor(target) / source_size)::bigint else 0 end as e from placed)
 select doc_id, source, size, source_size, target, (e * size + greatest(0, least(size, floor(target)::bigint - e * source_size - before)))::bigint as taken from parts
 """

@@ -6,6 +6,9 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from quillspark.llm import mixing
 
 
@@ -45,10 +48,12 @@ def test_counts(spark):
         for _, t, s in rows:
             sizes[s] += len(words(t))
         want = targets(sizes)
-        key = lambda d: int(hashlib.md5(f"mix:{'null' if d is None else d}".encode()).hexdigest()[:13], 16)
+        md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+        order = sorted((int(md5(f"mix:{'null' if d is None else d}:{md5(t or '')}")[:13], 16), d is not None, d or 0, len(words(t)), s or "") for d, t, s in rows)
+        place = {x[1:]: i for i, x in enumerate(order)}  # rows that share all of this take the same
         assert len(got) == len(rows)
         for s in sizes:
-            mine = sorted((r for r in got if r.source == s), key=lambda r: (key(r.doc_id), r.doc_id is not None, r.doc_id or 0, r.size))
+            mine = sorted((r for r in got if r.source == s), key=lambda r: place[(r.doc_id is not None, r.doc_id or 0, r.size, r.source or "")])
             assert all(r.source_size == sizes[s] and math.isclose(r.target, want[s], abs_tol=1e-6) for r in mine)
             whole, rest = divmod(math.floor(mine[0].target), sizes[s]) if sizes[s] else (0, 0)
             for r in mine:
@@ -58,7 +63,9 @@ def test_counts(spark):
         assert sorted(map(str, mixing.mix_counts(df.repartition(3)).collect())) == sorted(map(str, got))
 
 
-def test_texts(spark):
+@pytest.mark.parametrize("most", [mixing.BROADCAST_SOURCES, 0])
+def test_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
     rows = rows_of(3)
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     counts = mixing.mix_counts(df).where("doc_id is not null").collect()
@@ -76,3 +83,14 @@ def test_edge_cases(spark):
     assert [r.taken for r in mixing.mix_counts(spark.createDataFrame([(1, None, None), (1, "", "a")], schema)).collect()] == [0, 0]
     one = mixing.mix_counts(spark.createDataFrame([(1, "x " * 200_000, "a")] * 2, schema)).collect()
     assert sum(r.taken for r in one) == 600_000 and all(r.taken <= 400_000 for r in one)
+
+
+def test_rows_that_repeat_at_the_cut(spark):
+    """All of a source's rows are one row: whole ones and one cut one are taken, just as the budget asks."""
+    schema = "doc_id long, text string, source string, other int"
+    rows = [(7, "a b c d e f g", "x", 1)] * 50 + [(i, "w " * 100, "y", 1) for i in range(30)]
+    df = spark.createDataFrame(rows, schema).repartition(6)
+    counts = {r.source: (r.total, r.target) for r in mixing.mix_counts(df).groupBy("source").agg(F.sum("taken").alias("total"), F.max("target").alias("target")).collect()}
+    texts = {r.source: r.total for r in mixing.mix(df).groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("total")).collect()}
+    assert texts == {s: math.floor(t) for s, (_, t) in counts.items()} == {s: n for s, (n, _) in counts.items()}
+    assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
