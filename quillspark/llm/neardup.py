@@ -8,10 +8,14 @@ with probability 2e-5.
 
 Pairs under one key are not all made. Each key's least class is its centre; all others are compared with it, the closest
 centre of each class is confirmed on the full sets, and components are formed. Only where one key still holds several components
-are further pairs made, between different ones, and without those that distances to the centre rule out (signature distance is a
-metric: x and y can't be within 19 if their distances to the centre differ by more); large keys are dealt into blocks, and
-only links leave the blocks. All pairs that the signatures allow are confirmed on full sets, unless their classes are in one
-component already. So a hot group of copies or near copies costs a number of comparisons in proportion to its size.
+are further pairs compared, between different ones, and without those that distances to the centre rule out (signature distance is
+a metric: x and y can't be within 19 if their distances to the centre differ by more). Large keys are dealt into blocks; signatures
+meet there first, sets only of rows that have a candidate, and only a forest of links leaves a block. All pairs that the signatures
+allow are confirmed on full sets, unless their classes are in one component already. So a hot group of copies or near copies costs a
+number of comparisons in proportion to its size.
+
+Sets are compared by 64-bit hashes of their shingles, and equal sets are known by two more 64-bit sums; these disagree with the words
+themselves only by chance, whatever the words' structure.
 
 Nulls and edge cases: a text without words, empty or null, has an empty set, is linked with nothing and is kept; a text of fewer words than a shingle
 has its whole sequence of words as one; ids may be null or repeated: each row counts for itself, a component's id is its smallest
@@ -28,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .chunks import chunk_table
 from .graph import components
@@ -41,8 +46,8 @@ VALUES = CHUNKS * CHUNK_VALUES
 #: Signatures that differ in up to so many places are all found: with more, each chunk could have more errors than are allowed.
 MOST_DIFFERENT = CHUNKS * (CHUNK_ERRORS + 1) - 1
 
-#: Rows of a key that are compared in one task.
-BLOCK_ROWS = 4096
+#: Rows of a key that are compared in one task, and their shingles.
+BLOCK_ROWS, BLOCK_SHINGLES = 16_384, 4 << 20
 
 _rng = np.random.Generator(np.random.PCG64(1_997))
 _MULTIPLY = _rng.integers(0, 1 << 63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,7 +97,7 @@ def keys_of(signature: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """row, doc_id, number of shingles, two hashes of the set, signature."""
+    """row, doc_id, chunk, number of shingles, two hashes of the set, signature."""
     for batch in batches:
         for i in range(0, len(batch), 512):
             some = batch.slice(i, 512)
@@ -100,7 +105,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             full = [s for s in sets if len(s)]
             rows = iter(signatures(full)) if full else iter(())
             one, two = (pa.array([int(mixed(s + np.uint64(c)).sum().view(np.int64)) if len(s) else None for s in sets], pa.int64()) for c in (1, 2))
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([len(s) for s in sets], pa.int64()), one, two, pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())], ["row", "doc_id", "n", "h1", "h2", "signature"])
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(3), pa.array([len(s) for s in sets], pa.int64()), one, two, pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())], ["row", "doc_id", "chunk", "n", "h1", "h2", "signature"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,24 +149,20 @@ def _chosen_sets(key: tuple, texts: pa.Table, rows: pa.Table, width: int) -> pa.
 
 
 class _Block:
-    """Rows of one key, or of two of its blocks: finds the links between different components."""
+    """Rows of one key, or of two of its blocks, of which no two in one component are compared."""
 
     def __init__(self, key: int, cross: bool):
         self.key, self.cross = key, cross
         self.rows: list[tuple] = []
 
-    def links(self) -> list[tuple[int, int]]:
-        row, root, d, block, signature, shingles = zip(*self.rows, strict=True)
-        row, root, d, block = (np.array(x) for x in (row, root, d, block))
-        if len(row) < 2 or (root == root[0]).all():
-            return []
-        signature = np.frombuffer(b"".join(signature), "<u2").reshape(len(row), -1)
+    def _pairs(self, root: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """A place and those it may be linked with by signature, size and distance to the centre. ``root`` may change meanwhile."""
+        d, block, n = np.array([r[2:5] for r in self.rows]).T
+        signature = np.frombuffer(b"".join(r[5] for r in self.rows), "<u2").reshape(len(d), -1)
         keys = keys_of(signature)
-        sets = [np.frombuffer(s, np.uint64) for s in shingles]
-        n = np.array([len(s) for s in sets])
         names, counts = np.unique(root, return_counts=True)
         (others,) = np.nonzero(root != names[counts.argmax()])  # two of the largest component need no comparison
-        done, out = np.zeros(len(row), bool), []
+        done = np.zeros(len(d), bool)
         for i in others.tolist():
             done[i] = True
             fits = ~done & (root != root[i]) & (np.abs(d - d[i]) <= MOST_DIFFERENT) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i]))
@@ -171,32 +172,79 @@ class _Block:
             at = at[(signature[at] != signature[i]).sum(axis=1) <= MOST_DIFFERENT]
             # a pair with several keys is compared under the first of them
             at = at[(keys[at] == keys[i]).argmax(axis=1) == (keys[i] == self.key).argmax()]
-            if not len(at):
-                continue
-            every = np.concatenate([sets[j] for j in at])
-            place = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
-            both = np.add.reduceat((sets[i][place] == every).astype(np.int64), np.concatenate([[0], np.cumsum(n[at])[:-1]]))
-            good = at[100 * both >= PERCENT * (n[at] + n[i] - both)]
-            out += [(min(a, b), max(a, b)) for a, b in zip([int(row[i])] * len(good), row[good].tolist(), strict=True)]
+            if len(at):
+                yield i, at
+
+    def _roots(self) -> np.ndarray:
+        return np.array([r[1] for r in self.rows])
+
+    def candidates(self) -> list[int]:
+        """Rows that may have a link here."""
+        root = self._roots()
+        found = np.zeros(len(root), bool)
+        if len(root) > 1 and (root != root[0]).any():
+            for i, at in self._pairs(root):
+                found[i] = found[at] = True
+        return [r[0] for r, f in zip(self.rows, found, strict=True) if f]
+
+    def links(self) -> list[tuple[int, int]]:
+        """A forest that connects all that links between components connect; the last value of a row is its set."""
+        root, out = self._roots(), []
+        if len(root) < 2 or (root == root[0]).all():
+            return out
+        sets = [np.frombuffer(r[6], np.uint64) for r in self.rows]
+        n = np.array([len(s) for s in sets])
+        for i, at in self._pairs(root):
+            # a few at once: what the first of them connects needs no comparison any more
+            for part in np.array_split(at, -(-len(at) // 64)):
+                part = part[root[part] != root[i]]
+                if not len(part):
+                    continue
+                every = np.concatenate([sets[j] for j in part])
+                place = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+                both = np.add.reduceat((sets[i][place] == every).astype(np.int64), np.concatenate([[0], np.cumsum(n[part])[:-1]]))
+                for j in part[100 * both >= PERCENT * (n[part] + n[i] - both)].tolist():
+                    if root[j] != root[i]:
+                        a, b = self.rows[i][0], self.rows[j][0]
+                        out.append((min(a, b), max(a, b)))
+                        root[root == root[j]] = root[i]
         return out
 
 
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
     """Rows sorted by key, i and j, the numbers of the two blocks."""
     name, block = None, None
-
-    def table(links: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
-
     for batch in batches:
         for key, i, j, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (key, i, j) != name:
-                if block and (found := block.links()):
-                    yield table(found)
+                if block:
+                    yield block
                 name, block = (key, i, j), _Block(key, i != j)
+                block.name = name
             block.rows.append(tuple(values))
-    if block and (found := block.links()):
-        yield table(found)
+    if block:
+        yield block
+
+
+def _block_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in _by_block(batches):
+        if found := block.candidates():
+            key, i, j = ([x] * len(found) for x in block.name)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "row": pa.array(found, pa.int64())})
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in _by_block(batches):
+        if found := block.links():
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+
+def _attached(key: tuple, kept: pa.Table, found: pa.Table) -> pa.Table:
+    """What was found for a chunk's rows, with the columns that are kept of them."""
+    kept, found = (t.sort_by("row").drop_columns([*{"chunk", "row"} & set(t.column_names)]) for t in (kept, found))
+    for name in kept.column_names:
+        found = found.append_column(name, kept.column(name))
+    return found
 
 
 class _Join:
@@ -248,20 +296,24 @@ class _Join:
         limits = at.where("outside").groupBy("key").agg(F.min("d").alias("from"))
         size = at.join(limits, "key").where(F.col("outside") | (F.col("d") >= F.col("from") - MOST_DIFFERENT))
         several = size.groupBy("key").agg(F.min("r_row").alias("low"), F.max("r_row").alias("high")).where("low < high").select("key")
-        open_ = ws.save(size.join(several, "key").select("key", "row", "r_row", "d"), "open")
+        facts = self.classes.select("row", "n", "signature")
+        open_ = ws.save(size.join(several, "key").select("key", "row", "r_row", "d").join(self.classes.select("row", "n"), "row"), "open")
         # rows of a large key are dealt into blocks, and each two blocks meet in one place
-        blocks = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+        blocks = open_.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        dealt = open_.drop("n").join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        dealt = dealt.join(facts, "row").select("key", "i", "j", "row", "r_row", "d", "block", "n", "signature")
+        met = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        # signatures meet first; the sets follow only of rows that have a candidate there
+        able = ws.save(met(dealt).mapInArrow(_block_candidates, "key long, i int, j int, row long"), "able")
         width = self.width
 
         def chosen_sets(key: tuple, texts: pa.Table, rows: pa.Table) -> pa.Table:
             return _chosen_sets(key, texts, rows, width)
 
-        sets = self._per_chunk(open_.select("row").distinct(), chosen_sets, "row long, shingles binary")
-        full = open_.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-        full = full.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        full = full.join(ws.save(sets, "open-sets"), "row").join(self.classes.select("row", "signature"), "row")
-        dealt = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        more = dealt.select("key", "i", "j", "row", "r_row", "d", "block", "signature", "shingles").mapInArrow(_block_links, "a long, b long")
+        sets = ws.save(self._per_chunk(able.select("row").distinct(), chosen_sets, "row long, shingles binary"), "able-sets")
+        full = dealt.join(able, ["key", "i", "j", "row"]).join(sets, "row")
+        more = met(full).select("key", "i", "j", "row", "r_row", "d", "block", "n", "signature", "shingles").mapInArrow(_block_links, "a long, b long")
         second = ws.save(self.confirm(left, "second").unionByName(more), "second")
         return label.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(second)
 
@@ -275,22 +327,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ws = Workspace(spark, "neardup")
     chunks = chunk_table(docs, ws, {"doc_id": F.col(id_col), "text": F.col(text_col).cast("binary"), **{f"in_{c}": F.col(c) for c in keep if c != text_col}})
     kind = chunks.schema["doc_id"].dataType.simpleString()
-    sets = ws.save(chunks.select("row", "doc_id", "text", "chunk").mapInArrow(partial(_sets, width=shingle), f"row long, doc_id {kind}, n long, h1 long, h2 long, signature binary"), "sets")
-    where = ws.save(chunks.select("row", "chunk"), "where")
-    named = sets.where("h1 is not null").groupBy("h1", "h2", "n").agg(F.min("row").alias("class"))
-    classes = ws.save(named.select(F.col("class").alias("row")).join(sets.select("row", "n", "signature"), "row").join(where, "row"), "classes")
-    links = _Join(ws, chunks, classes, shingle).links()
+    sets = chunks.select("row", "doc_id", "text", "chunk").mapInArrow(partial(_sets, width=shingle), f"row long, doc_id {kind}, chunk long, n long, h1 long, h2 long, signature binary")
+    sets = ws.save(sets, "sets")
+    named = sets.where("h1 is not null").groupBy("h1", "h2", "n").agg(F.expr("min(struct(row, chunk, signature))").alias("one"))
+    classes = ws.save(named.select("h1", "h2", "n", "one.*"), "classes")
+    links = _Join(ws, chunks, classes.select("row", "n", "chunk", "signature"), shingle).links()
     roots = components(links, ws, "all")
 
-    placed = sets.select("row", "doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
+    placed = sets.select("row", "doc_id", "chunk", "n", "h1", "h2").join(classes.select("h1", "h2", "n", F.col("row").alias("class")), ["h1", "h2", "n"], "left")
     placed = placed.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class", "row"))
-    placed = ws.save(placed.select("row", "doc_id", "n", "root"), "roots")
+    placed = ws.save(placed.select("row", "doc_id", "chunk", "n", "root"), "placed-rows")
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.expr("min(struct(doc_id is null, doc_id, row))").alias("first"))
-    found = placed.join(least, "root").select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("row") == F.col("first.row")).alias("kept_row"))
-    if keep:
-        rest = [F.col("text").cast("string").alias(f"in_{c}") if c == text_col else F.col(f"in_{c}") for c in keep]
-        found = found.join(chunks.select("row", *rest), "row")
-    return found.drop("row")
+    found = placed.join(least, "root").select("chunk", "row", "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("row") == F.col("first.row")).alias("kept_row"))
+    found = ws.save(found, "found")
+    ws.keep("found")
+    if not keep:
+        ws.drop("chunks")
+        return found.drop("chunk", "row")
+    # texts stay in their chunks, and what was found comes to them
+    rest = [F.col("text").cast("string").alias(f"in_{c}") if c == text_col else F.col(f"in_{c}") for c in keep]
+    schema = T.StructType([f for f in found.schema.fields if f.name not in ("chunk", "row")] + chunks.select(*rest).schema.fields)
+    return chunks.select("chunk", "row", *rest).groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_attached, schema)
 
 
 def dedup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:

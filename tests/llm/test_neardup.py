@@ -76,6 +76,25 @@ def test_large_group_of_near_copies(spark):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)[0]
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_words_that_polynomial_hashes_mistake(spark, n):
+    rows = [(1, f"{thue_morse(n)} x"), (2, f"{thue_morse(n, 'ba')} x"), (3, f"{thue_morse(n)} x")]
+    got = neardup.dedup_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randint(0, 50_000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(edited(rng, words, 0.01))), (3, " ".join(rng.sample(words, len(words)))), (4, "x" * 2_000_000), (5, None)]
+    got = neardup.dedup_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)[0]
+
+
 def test_empty_table(spark):
     assert neardup.dedup_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -90,6 +109,21 @@ def test_index_finds_all_pairs_within_the_distance():
         assert set(neardup.keys_of(a)[0]) & set(neardup.keys_of(b)[0])
 
 
+def test_a_block_gives_a_forest():
+    """Rows of one key that are all alike, in components of their own: as many links as connect them, and no pair more."""
+    block = neardup._Block(0, False)
+    base = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 300, np.uint64))
+    for i in range(60):
+        some = np.sort(np.concatenate([base[:295], np.random.default_rng(i + 2).integers(0, 1 << 63, 5, np.uint64)]))
+        signature = neardup.signatures([some])
+        block.rows.append((i, i, 3, 0, 300, signature.tobytes(), some.tobytes()))
+    block.key = int(neardup.keys_of(np.frombuffer(block.rows[0][5], "<u2")[None])[0, 0])
+    shared = [r for r in block.rows if block.key in neardup.keys_of(np.frombuffer(r[5], "<u2")[None])[0]]
+    block.rows = shared
+    assert len(shared) > 20 and set(block.candidates()) == {r[0] for r in shared}
+    assert len(block.links()) == len(shared) - 1
+
+
 def test_signature_agrees_with_similarity():
     sets = [np.sort(np.random.default_rng(i).integers(0, 1 << 63, 3000, np.uint64)) for i in range(2)]
     mixed = np.sort(np.concatenate([sets[0][:2700], sets[1][:300]]))
