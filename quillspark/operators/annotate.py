@@ -4,7 +4,11 @@ A sentence ends after terminal marks, closing marks behind them, and the white s
 is a word (letters, marks and digits, joined by apostrophes and hyphens), one other character, each with one space behind it, or
 any other white space. Sentences and tokens are lossless: joined, they give the line again.
 
-Other annotators fill the same columns: a table that was annotated before, or spaCy, where it is installed.
+With ``tidy``, each token that is no punctuation takes the run of punctuation right behind it, across the end of a sentence too;
+leading punctuation stays alone. This is how texts are read to be cut into cards; metrics count plain tokens.
+
+Other annotators make a table of tokens (see ``TOKEN_COLUMNS``), from which ``chunking`` and ``metrics`` work as well: a table that
+was annotated before, or spaCy, where it is installed.
 """
 
 from __future__ import annotations
@@ -20,11 +24,16 @@ SENTENCE_END = rf"[.!?…][.!?…)»”\x22]*[{BLANK}]+"
 WORD = r"[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*"
 TOKEN = rf"(?:{WORD}|[^{BLANK}\p{{L}}\p{{M}}\p{{N}}]) ?|[{BLANK}]+"
 DIGITS = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]+"
-_MARK = "\x01"
+_PUNCT = r"(?:\p{P} ?)*"
+SENTENCE = rf"(?s).*?{SENTENCE_END}|.+\z"
+TIDY_SENTENCE = rf"(?s).*?{SENTENCE_END}{_PUNCT}|.+\z"
+TIDY_TOKEN = rf"(?:(?:{WORD}|[^{BLANK}\p{{L}}\p{{M}}\p{{N}}\p{{P}}]) ?|[{BLANK}]+){_PUNCT}|\p{{P}} ?"
+#: A table of tokens has these, and any keys of the book. ``head`` is the place of the governing token in the sentence, its own for the root.
+TOKEN_COLUMNS = ("line_no", "sent_no", "i", "token", "head")
 
 
-def sentences(line: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(line, SENTENCE_END, f"$0{_MARK}"), _MARK, -1), lambda s: s != "")
+def sentences(line: Column, tidy: bool = False) -> Column:
+    return F.regexp_extract_all(line, F.lit(TIDY_SENTENCE if tidy else SENTENCE), F.lit(0))
 
 
 def tokens(sentence: Column) -> Column:
@@ -32,6 +41,10 @@ def tokens(sentence: Column) -> Column:
     return F.regexp_extract_all(sentence, F.lit(TOKEN), F.lit(0))
 
 
+def tidy_tokens(sentence: Column) -> Column:
+    return F.regexp_extract_all(sentence, F.lit(TIDY_TOKEN), F.lit(0))
+
+
 def is_punct(token: Column) -> Column:
     return token.rlike(r"^\p{P}+ ?$")
 
@@ -61,10 +74,19 @@ def annotate(lines: DataFrame) -> DataFrame:
 
 
 def from_table(annotated: DataFrame) -> DataFrame:
-    """A table annotated before (text, ws, and any keys) in the shape of ``annotate``."""
+    """A table annotated before (text, ws, and any keys) in the shape of ``annotate``; ``head`` stays, if there is one."""
     return annotated.withColumn("token", F.concat("text", F.coalesce("ws", F.lit("")))).drop("text", "ws")
 
 
+def sentences_of(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, line_no, sent_no, tokens, heads: a row a sentence of a table of tokens. A sentence must have just one root."""
+    placed = F.struct(F.col("i").cast("int").alias("i"), "token", F.col("head").cast("int").alias("head"))
+    each = tokens.groupBy(*keys, "line_no", "sent_no").agg(F.array_sort(F.collect_list(placed)).alias("_t"))
+    roots = F.size(F.filter("_t", lambda t: t["head"] == t["i"]))
+    checked = F.when(roots == 1, F.col("_t")).otherwise(F.raise_error(F.concat(F.lit("a sentence must have one root, not "), roots.cast("string"))).cast("array<struct<i:int,token:string,head:int>>"))
+    return each.select(*keys, "line_no", "sent_no", checked.alias("_t")).select(*keys, "line_no", "sent_no", F.col("_t.token").alias("tokens"), F.col("_t.head").alias("heads"))
+
+
 def spacy_tokens(lines: DataFrame, model: str) -> DataFrame:
     """``annotate`` by a spaCy pipeline, with heads and dependencies; the model is loaded once a task."""
     rest = [c for c in lines.columns if c != "line"]

@@ -1,7 +1,8 @@
 """Books cut into chunks no longer than a limit, along the grammar.
 
-Lines, sentences and tokens are arrays made by native expressions; the cutting is a fold over one book's arrays in an Arrow UDF.
-Books are rows, so nothing is shuffled. The steps: within a sentence, tokens are joined along its tree, inner subtrees first; the
+Lines, sentences and tokens (with the punctuation behind them) are arrays made by native expressions; the cutting is a fold over one
+book's arrays in an Arrow UDF. Books are rows, so nothing is shuffled; books that come as a table of tokens with heads are gathered
+first. Without heads a rule stands in for the parse: clauses behind marks hang on the root, so a depth never exceeds 3. The steps: within a sentence, tokens are joined along its tree, inner subtrees first; the
 spans of a line's sentences are joined; then those of neighbouring lines. A join takes neighbours as long as both fit.
 """
 
@@ -12,7 +13,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import strip
 from . import annotate
@@ -84,11 +84,14 @@ def tree_spans(tokens: list[str], heads: list[int], most: int | None) -> list[Sp
     return sorted(s for i, h in enumerate(heads) if h == i for s in spans[i])
 
 
-def line_spans(sentences: list[list[str]], most: int | None, parsed: bool) -> list[Span]:
-    """Spans of a line, in places of its tokens."""
+def line_spans(sentences: list[list[str]], most: int | None, parsed: bool, heads: list[list[int]] | None = None) -> list[Span]:
+    """Spans of a line, in places of its tokens. Trees are given by ``heads``, or stood in for."""
+    if most and sum(len(t) for s in sentences for t in s) <= most:
+        # whatever fits as a whole is joined as a whole
+        return [(0, sum(map(len, sentences)), "".join(t for s in sentences for t in s))] if any(map(len, sentences)) else []
     out, base = [], 0
-    for tokens in sentences:
-        spans = tree_spans(tokens, clause_heads(tokens), most) if parsed else consolidate([(i, i + 1, t) for i, t in enumerate(tokens)], most)
+    for k, tokens in enumerate(sentences):
+        spans = tree_spans(tokens, heads[k] if heads else clause_heads(tokens), most) if parsed else consolidate([(i, i + 1, t) for i, t in enumerate(tokens)], most)
         out += [(base + a, base + b, t) for a, b, t in spans]
         base += len(tokens)
     return consolidate(out, most)
@@ -99,13 +102,13 @@ def _end(start: int, text: str, last: str) -> int:
     return start + len(text) - (last.endswith(" ") and not last.isspace())
 
 
-def book_spans(lines: list[list[list[str]]], most: int | None, parsed: bool, across: bool) -> list[Span]:
+def book_spans(lines: list[list[list[str]]], most: int | None, parsed: bool, across: bool, heads: list[list[list[int]]] | None = None) -> list[Span]:
     """Spans of a book, in characters of its text."""
     out, base = [], 0
-    for sentences in lines:
+    for k, sentences in enumerate(lines):
         tokens = [t for s in sentences for t in s]
         at = base
-        for _, b, text in line_spans(sentences, most, parsed):
+        for _, b, text in line_spans(sentences, most, parsed, heads[k] if heads else None):
             out.append((at, _end(at, text, tokens[b - 1]), text))
             at += len(text)
         base = at
@@ -117,16 +120,48 @@ def nested_tokens(text: Column) -> Column:
     parts = F.split(text, "\n", -1)
     n = F.size(parts)
     lines = F.filter(F.transform(parts, lambda p, i: F.when(i < n - 1, F.concat(p, F.lit("\n"))).otherwise(p)), lambda p: p != "")
-    return F.transform(lines, lambda line: F.transform(annotate.sentences(line), annotate.tokens))
+    return F.transform(lines, lambda line: F.transform(annotate.sentences(line, tidy=True), annotate.tidy_tokens))
+
+
+def _spread(spans: list[Span]) -> list[dict]:
+    return [{"start": a, "end": b, "text": t} for a, b, t in spans]
+
+
+_SPANS = "array<struct<start:long,end:long,text:string>>"
+
+
+def chunks_of_tokens(tokens: DataFrame, keys: list[str], most: int | None = 70, across: bool = True) -> DataFrame:
+    """As ``chunks``, of a table of tokens with their heads (see ``annotate``). Books are put together by sentence, then by line."""
+
+    @F.pandas_udf(_SPANS)
+    def spans(lines: pd.Series, heads: pd.Series) -> pd.Series:
+        return pd.Series([_spread(book_spans([[list(s) for s in line] for line in a], most, True, across, [[list(s) for s in line] for line in b])) for a, b in zip(lines, heads, strict=True)])
+
+    row = lambda at, *names: F.array_sort(F.collect_list(F.struct(at, *names)))
+    lines = annotate.sentences_of(tokens, keys).groupBy(*keys, "line_no").agg(row("sent_no", "tokens", "heads").alias("_s"))
+    lines = lines.select(*keys, "line_no", F.col("_s.tokens").alias("tokens"), F.col("_s.heads").alias("heads"))
+    books = lines.groupBy(*keys).agg(row("line_no", "tokens", "heads").alias("_l"))
+    found = books.select(*keys, spans(F.col("_l.tokens"), F.col("_l.heads")).alias("_spans"))
+    return found.select(*keys, F.posexplode("_spans").alias("ord", "_s")).select(*keys, F.col("ord").cast("long").alias("ord"), "_s.start", "_s.end", "_s.text")
+
+
+def depths_of_tokens(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """A row a sentence of a table of tokens with their heads: keys, line_no, sent_no, depth."""
+
+    @F.pandas_udf("int")
+    def heights(heads: pd.Series) -> pd.Series:
+        return pd.Series([tree_height(list(h)) for h in heads])
+
+    return annotate.sentences_of(tokens, keys).select(*keys, "line_no", "sent_no", heights("heads").alias("depth"))
 
 
 def chunks(books: DataFrame, most: int | None = 70, parsed: bool = True, across: bool = True) -> DataFrame:
     """A row a chunk: the columns of ``books`` but text, with ord (from 0), start, end, text. Joined in order, the texts are the book."""
 
-    @F.pandas_udf("array<struct<start:long,end:long,text:string>>")
+    @F.pandas_udf(_SPANS)
     def spans(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for books_of_batch in column:
-            yield pd.Series([[{"start": a, "end": b, "text": t} for a, b, t in book_spans(lines, most, parsed, across)] for lines in books_of_batch])
+            yield pd.Series([_spread(book_spans(lines, most, parsed, across)) for lines in books_of_batch])
 
     rest = [c for c in books.columns if c != "text"]
     # a book without text has no chunks; a batch of nothing but empty nested arrays would crash the Arrow conversion
@@ -142,17 +177,18 @@ def line_offsets(lines_with_ends: DataFrame, *book: str) -> DataFrame:
     return lines_with_ends.withColumn("start", F.coalesce(F.sum(F.length("line")).over(before), F.lit(0)).cast("long"))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def sentence_depths(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Tree heights of a line's sentences, given as arrays of tokens."""
-    for batch in column:
-        yield pd.Series([[tree_height(clause_heads(list(s))) for s in line] for line in batch])
+def clause_depth(tokens: Column) -> Column:
+    """The height of the tree that ``clause_heads`` stands for, from the kinds of a sentence's tokens: marks of clauses (m), tokens with a letter or digit (a), others (x).
+
+    A clause behind a mark after the root has a height of its own if it has more than its first token.
+    """
+    kind = lambda t: F.when(t.rlike(rf"^[,;:()\[\]] ?$"), "m").when(t.rlike(r"[\p{L}\p{N}]"), "a").otherwise("x")
+    kinds = F.array_join(F.transform(tokens, kind), "")
+    return F.when(kinds.rlike("^[mx]*a.*m[ax].|^[mx][mx]*m[x][mx][mx]*$"), 3).when(F.size(tokens) > 1, 2).otherwise(F.size(tokens))
 
 
 def depths(lines: DataFrame) -> DataFrame:
-    """A row a sentence of stripped lines: the columns of ``lines`` but line, sent_no, depth."""
+    """A row a sentence of stripped lines: the columns of ``lines`` but line, sent_no, depth (by the stand-in for a parse, 1 to 3)."""
     rest = [c for c in lines.columns if c != "line"]
-    nested = F.transform(annotate.sentences(strip(F.col("line"))), annotate.tokens)
-    # lines without sentences have no rows, and must not make up a batch alone, as above
-    found = lines.select(*rest, nested.alias("_nested")).where(F.size("_nested") > 0)
-    return found.select(*rest, F.posexplode(sentence_depths("_nested")).alias("sent_no", "depth"))
+    found = lines.select(*rest, F.posexplode(annotate.sentences(strip(F.col("line")))).alias("sent_no", "_sentence"))
+    return found.select(*rest, "sent_no", clause_depth(annotate.tokens(F.col("_sentence"))).alias("depth"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,17 +23,25 @@ from . import annotate
 
 @dataclass(frozen=True)
 class Metric:
-    """``of_token`` (a number for a token) or ``of_sentence`` (for an array of tokens); the sum is finished by ``finish``. Hidden ones only serve ratios."""
+    """A value of each sentence: ``of_token`` (a number for a token, summed), ``of_words`` (for its words) or ``of_sentence`` (for all its tokens).
+
+    ``combine`` joins the values of sentences, by default as a sum; any aggregate will do, and values may be of any type, maps too.
+    ``zero`` is the value of a book without sentences. The result is finished by ``finish``. Hidden metrics only serve ratios.
+    """
 
     name: str
     of_token: Callable[[Column], Column] | None = None
     of_sentence: Callable[[Column], Column] | None = None
     finish: Callable[[Column], Column] = lambda total: total
     hidden: bool = False
-
-    def in_sentence(self, tokens: Column) -> Column:
-        if self.of_sentence:
-            return self.of_sentence(tokens).cast("long")
+    of_words: Callable[[Column], Column] | None = None
+    combine: Callable[[Column], Column] = F.sum
+    zero: Callable[[], Column] = lambda: F.lit(0)
+
+    def in_sentence(self, tokens: Column, words: Column) -> Column:
+        if self.of_sentence or self.of_words:
+            value = self.of_sentence(tokens) if self.of_sentence else self.of_words(words)
+            return value.cast("long") if self.combine is F.sum else value
         return F.aggregate(tokens, F.lit(0).cast("long"), lambda total, t: total + self.of_token(t).cast("long"))
 
 
@@ -66,25 +76,26 @@ class Metrics:
         raise KeyError(name)
 
 
-def _one_if(condition: Column) -> Column:
-    return F.when(condition, 1).otherwise(0)
-
-
 def standard_metrics() -> Metrics:
     out = Metrics()
-    out.add(Metric("word_count", of_token=lambda t: _one_if(annotate.is_word(t))))
+    out.add(Metric("word_count", of_words=F.size))
     out.add(Metric("sentence_count", of_sentence=lambda tokens: F.lit(1)))
-    out.add(Metric("word_length", of_token=lambda t: F.when(annotate.is_word(t), F.length(annotate.bare(t))).otherwise(0), hidden=True))
+    out.add(Metric("word_length", of_words=lambda words: F.length(F.array_join(words, "")), hidden=True))
     out.add_ratio(Ratio("mean_words_per_sentence", "word_count", "sentence_count"))
     out.add_ratio(Ratio("mean_word_length", "word_length", "word_count"))
     return out
 
 
+def by_sentence(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """A row a sentence: keys, its tokens, and its words without the space behind them."""
+    each = lines.select(*keys, F.explode(annotate.sentences(F.col("line"))).alias("_sentence")).select(*keys, annotate.tokens(F.col("_sentence")).alias("_tokens"))
+    return each.select(*keys, "_tokens", F.transform(F.filter("_tokens", annotate.is_word), lambda t: F.rtrim(t)).alias("_words"))
+
+
 def totals(lines: DataFrame, keys: list[str], metrics: Metrics) -> DataFrame:
-    """The sums of all metrics by ``keys``."""
-    by_sentence = lines.select(*keys, F.explode(annotate.sentences(F.col("line"))).alias("_sentence")).select(*keys, annotate.tokens(F.col("_sentence")).alias("_tokens"))
-    sums = by_sentence.select(*keys, *(m.in_sentence(F.col("_tokens")).alias(m.name) for m in metrics.metrics))
-    return sums.groupBy(*keys).agg(*(F.sum(m.name).alias(m.name) for m in metrics.metrics))
+    """All metrics by ``keys``, in one pass."""
+    values = by_sentence(lines, keys).select(*keys, *(m.in_sentence(F.col("_tokens"), F.col("_words")).alias(m.name) for m in metrics.metrics))
+    return values.groupBy(*keys).agg(*(m.combine(F.col(m.name)).alias(m.name) for m in metrics.metrics))
 
 
 def token_counts(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -113,27 +124,30 @@ def percentile_level(levels: DataFrame, keys: list[str], name: str, percent: int
 
 def complexity(books: DataFrame, lines: DataFrame, keys: list[str], known: DataFrame | None = None, frequencies: DataFrame | None = None, levels=LEVELS, depth: bool = True, metrics: Metrics | None = None) -> DataFrame:
     """A row a book: its keys, the metrics, the vocabulary metrics whose word lists are given, and the ratios. Empty books have zeros."""
-    from .chunking import depths
+    from .chunking import clause_depth
 
     metrics = metrics or standard_metrics()
-    out = books.select(*keys).distinct()
-    parts = [totals(lines, keys, metrics)]
-    ratios = list(metrics.ratios)
-    shown = [m.name for m in metrics.metrics if not m.hidden]
+    every = Metrics([*metrics.metrics], [*metrics.ratios])
     if depth:
-        parts.append(depths(lines.select(*keys, "line")).groupBy(*keys).agg(F.sum("depth").alias("grammar_depth")))
-        ratios.append(Ratio("mean_grammar_depth", "grammar_depth", "sentence_count"))
+        every.add(Metric("grammar_depth", of_sentence=clause_depth, hidden=True)).add_ratio(Ratio("mean_grammar_depth", "grammar_depth", "sentence_count"))
+    shown = [m.name for m in every.metrics if not m.hidden]
+    parts = [totals(lines, keys, every)]
     if known is not None or frequencies is not None:
         counts = token_counts(lines, keys)
         if known is not None:
             parts.append(words_known(counts, keys, known))
             shown.append("words_known")
-            ratios.append(Ratio("percent_words_known", "words_known", "word_count", percent=True))
+            every.add_ratio(Ratio("percent_words_known", "words_known", "word_count", percent=True))
         if frequencies is not None:
             parts.append(percentile_level(histogram(counts, keys, frequencies, levels), keys, "vocab_level"))
             shown.append("vocab_level")
-    for p in parts:
-        out = out.join(p, keys, "left")
-    out = out.na.fill(0)
-    finished = [m.finish(F.col(m.name)).alias(m.name) if (m := next((x for x in metrics.metrics if x.name == n), None)) else F.col(n) for n in shown]
-    return out.select(*keys, *finished, *(r.column() for r in ratios))
+    out = books.select(*keys).distinct()
+    for p in parts:  # keys may be null
+        named = p.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in p.columns if c not in keys))
+        same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
+        out = out.join(named, same, "left").drop(*(f"_k{i}" for i in range(len(keys))))
+    zeros = {m.name: m for m in every.metrics}
+    names = [c for c in out.columns if c not in keys]
+    out = out.select(*keys, *(F.coalesce(c, zeros[c].zero() if c in zeros else F.lit(0)).alias(c) for c in names))
+    finished = [zeros[n].finish(F.col(n)).alias(n) if n in zeros else F.col(n) for n in shown]
+    return out.select(*keys, *finished, *(r.column() for r in every.ratios))

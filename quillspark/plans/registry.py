@@ -21,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.books_of(_table(spark, sf_dir, "documents"), "text", "doc_id", "source", "lang")
+    return b.spread(b.books_of(_table(spark, sf_dir, "documents"), "text", "doc_id", "source", "lang"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,8 +197,10 @@ def _filled(template: str):
 _IS_WORD = _filled("not regexp_matches(@, " + _q(rf"^(?:\p{{P}}+|{annotate.DIGITS}|[{f.BLANK}]*) ?$") + ")")
 _IS_DIGIT = _filled("regexp_matches(@, " + _q(rf"^{annotate.DIGITS} ?$") + ")")
 _IS_PUNCT = _filled("regexp_matches(@, " + _q(r"^\p{P}+ ?$") + ")")
-_SENTENCES = _filled("list_filter(string_split(regexp_replace(@, " + _q(f"({annotate.SENTENCE_END})") + r", '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')")
+_SENTENCES = _filled("regexp_extract_all(@, " + _q(annotate.SENTENCE) + ")")
 _TOKENS = _filled("regexp_extract_all(@, " + _q(annotate.TOKEN) + ")")
+_TIDY_SENTENCES = _filled("regexp_extract_all(@, " + _q(annotate.TIDY_SENTENCE) + ")")
+_TIDY_TOKENS = _filled("regexp_extract_all(@, " + _q(annotate.TIDY_TOKEN) + ")")
 
 
 def _lines_sql(source: str, name: str) -> str:
@@ -249,17 +251,42 @@ _GUID = f"sha256({_escaped('author')} || '__' || {_escaped('title')} || '__' ||
 _DECK = "('0x' || right(sha1(deck), 8))::bigint"
 _JSON = "'{\"author\":' || to_json(author) || ',\"title\":' || to_json(title) || ',\"start\":' || start || ',\"end\":' || \"end\" || ',\"text\":' || to_json(text) || ',\"translation\":' || to_json(translation) || '}'"
 
-_GREEDY = _filled(rf"string_split(list_reduce(@, lambda acc, x: case when acc <> '' and length(acc) - length(regexp_replace(acc, '[^\x01]*$', '')) + length(x) > {MOST} then acc || chr(1) || x else acc || x end), chr(1))")
-#: Lines with their ends as tokens by sentence, folded within each sentence, then within the line.
-_SPANS = rf"""with recursive books as (select source as author, doc_id::varchar as title, lang, regexp_replace(text, '\r\n?', chr(10), 'g') as text from documents),
+#: Folds a list of texts from the left, each to the last as long as both fit.
+_GREEDY = _filled(f"list_reduce(list_prepend(['']::varchar[], list_transform(@, lambda t: [t])), lambda acc, x: case when acc[-1] = '' then acc[:-2] || x when length(acc[-1]) + length(x[1]) > {MOST} then acc || x else acc[:-2] || [acc[-1] || x[1]] end)")
+_MARK = _filled("regexp_matches(@, '^[,;:()\\[\\]] ?$')")
+#: Kinds of a sentence's tokens, as in ``chunking.clause_depth``.
+_KINDS = _filled("array_to_string(list_transform(@, lambda t: case when " + _MARK("t") + " then 'm' when regexp_matches(t, '[\\p{L}\\p{N}]') then 'a' else 'x' end), '')")
+_DEPTH = _filled("case when regexp_matches(@, '^[mx]*a.*m[ax].|^[mx][mx]*m[x][mx][mx]*$') then 3 when length(@) > 1 then 2 else length(@) end")
+
+
+def _spans_sql(fold: str) -> str:
+    """CTEs from books to the spans of their lines; ``fold`` makes the spans of a list of sentences, each given as its tokens."""
+    return rf"""with recursive books as (select source as author, doc_id::varchar as title, lang, regexp_replace(text, '\r\n?', chr(10), 'g') as text from documents),
 raw as (select author, title, lang, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10)))))::int as line_no, len(string_split(text, chr(10))) - 1 as ends from books),
 lines as (select author, title, lang, line_no, line || case when line_no < ends then chr(10) else '' end as line from raw where line_no < ends or line <> ''),
-folded as (select author, title, lang, line_no, length(line) as n, {_GREEDY("flatten(list_transform(" + _SENTENCES("line") + ", lambda s: " + _GREEDY(_TOKENS("s")) + "))")} as spans from lines),
+parsed as (select author, title, lang, line_no, length(line) as n, list_transform({_TIDY_SENTENCES("line")}, lambda s: {_TIDY_TOKENS("s")}) as sentences from lines),
+{fold},
 based as (select *, coalesce(sum(n) over (partition by author, title, lang order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint as base from folded),
 placed as (select author, title, lang, line_no, base, unnest(spans) as text, unnest(range(len(spans))) as i from based),
 started as (select author, title, lang, row_number() over (partition by author, title, lang order by line_no, i) - 1 as ord, (base + coalesce(sum(length(text)) over (partition by author, title, lang, line_no order by i rows between unbounded preceding and 1 preceding), 0))::bigint as start, text from placed),
 spans as (select *, (start + length(text) - case when regexp_matches(text, {_q(f'[^{f.BLANK}] $')}) then 1 else 0 end)::bigint as "end" from started)"""
 
+
+#: Folded within each sentence, then within the line.
+_SPANS = _spans_sql(f"folded as (select author, title, lang, line_no, n, {_GREEDY('flatten(list_transform(sentences, lambda s: ' + _GREEDY('s') + '))')} as spans from parsed)")
+#: Folded within each clause behind a mark, then within the sentence, then within the line.
+_TREE_SPANS = _spans_sql(f"""each as (select author, title, lang, line_no, n, unnest(sentences) as s, unnest(range(len(sentences))) as k from parsed),
+kinds as (select *, {_KINDS('s')} as kinds from each),
+rooted as (select *, greatest(instr(kinds, 'a'), 1) as root from kinds),
+clauses as (select *, list_filter(range(root + 2, length(kinds) + 1), lambda i: kinds[i - 1] = 'm' and kinds[i] <> 'm') as starts from rooted),
+joined as (select author, title, lang, line_no, n, k, {_GREEDY("list_concat(s[:coalesce(starts[1], len(s) + 1) - 1], flatten(list_transform(range(1, len(starts) + 1), lambda c: " + _GREEDY("s[starts[c]:coalesce(starts[c + 1], len(s) + 1) - 1]") + ")))")} as spans from clauses),
+folded as (select author, title, lang, line_no, any_value(n) as n, {_GREEDY("flatten(list(spans order by k))")} as spans from joined group by author, title, lang, line_no)""")
+#: Joins the spans of neighbouring lines.
+_ACROSS = f""", steps as (select author, title, lang, ord, start, "end", text, 0::bigint as chunk from spans where ord = 0
+union all select s.author, s.title, s.lang, s.ord, case when j.joins then p.start else s.start end, s."end", case when j.joins then p.text || s.text else s.text end, case when j.joins then p.chunk else p.chunk + 1 end
+from steps p join spans s on s.author = p.author and s.title = p.title and s.ord = p.ord + 1, lateral (select p.start < s.start and p."end" = s.start and length(p.text) + length(s.text) <= {MOST} as joins) j),
+chunks as (select author, title, lang, chunk as ord, max(start) as start, max("end") as "end", max_by(text, ord) as text from steps group by author, title, lang, chunk)"""
+
 ORACLE_SQL: dict[str, str] = {
     "token_counts": f"with {_DOCS} select title, author, lang, word, count(*)::bigint as n from d_words group by all",
     "complexity_by_document": _complexity_sql("title, author, lang"),
@@ -272,11 +299,18 @@ ORACLE_SQL: dict[str, str] = {
     "vocab_level_strict": f"with {_DOCS}, {_RANKS}, {_LEVELS.replace('left join', 'join')} " + _PERCENTILE.format("vocab_level_strict", "levels"),
     "line_offsets": _SPANS + " select title, author, lang, line_no, base as start, n::int as n from based",
     "chunk_lines": _SPANS + " select author, title, lang, ord, start, \"end\", text from spans",
-    "chunk_text": _SPANS
-    + f""", steps as (select author, title, lang, ord, start, "end", text, 0::bigint as chunk from spans where ord = 0
-union all select s.author, s.title, s.lang, s.ord, case when j.joins then p.start else s.start end, s."end", case when j.joins then p.text || s.text else s.text end, case when j.joins then p.chunk else p.chunk + 1 end
-from steps p join spans s on s.author = p.author and s.title = p.title and s.ord = p.ord + 1, lateral (select p.start < s.start and p."end" = s.start and length(p.text) + length(s.text) <= {MOST} as joins) j)
-select author, title, lang, chunk as ord, max(start) as start, max("end") as "end", max_by(text, ord) as text from steps group by author, title, lang, chunk""",
+    "chunk_text": _SPANS + _ACROSS + " select * from chunks",
+    "tree_chunks": _TREE_SPANS + _ACROSS + " select * from chunks",
+    "cards_from_books": _TREE_SPANS + _ACROSS + ' select author, title, ord, start, "end", text, \'\' as translation from chunks',
+    "grammar_depth": f"with {_DOCS}, k as (select title, author, lang, {_KINDS(_TOKENS('sentence'))} as kinds from d_sentences) select title, author, lang, sum({_DEPTH('kinds')})::bigint as grammar_depth from k group by all",
+    "complexity_full": f"""with {_DOCS}, {_KNOWN}, {_RANKS}, {_LEVELS},
+k as (select distinct title, author, lang from d_books),
+s as (select title, author, lang, count(*)::bigint as sentence_count, sum({_DEPTH('kinds')})::bigint as depth from (select title, author, lang, {_KINDS(_TOKENS('sentence'))} as kinds from d_sentences) group by all),
+w as (select title, author, lang, count_if({_IS_WORD('word')})::bigint as word_count, coalesce(sum(length(word)) filter ({_IS_WORD('word')}), 0)::bigint as word_length, count_if(word in (select word from b_words) or {_IS_DIGIT('word')})::bigint as words_known from d_words group by all),
+p as ({_PERCENTILE.format("vocab_level", "levels")}),
+x as (select k.title, k.author, k.lang, coalesce(word_count, 0) as word_count, coalesce(sentence_count, 0) as sentence_count, coalesce(words_known, 0) as words_known, coalesce(vocab_level, 0)::int as vocab_level, coalesce(depth, 0) as depth, coalesce(word_length, 0) as word_length
+from k left join s on k.title is not distinct from s.title and k.author is not distinct from s.author and k.lang is not distinct from s.lang left join w on k.title is not distinct from w.title and k.author is not distinct from w.author and k.lang is not distinct from w.lang left join p on k.title is not distinct from p.title and k.author is not distinct from p.author and k.lang is not distinct from p.lang)
+select title, author, lang, word_count, sentence_count, words_known, vocab_level, {_ratio_sql('word_count', 'sentence_count')} as mean_words_per_sentence, {_ratio_sql('word_length', 'word_count')} as mean_word_length, {_ratio_sql('depth', 'sentence_count')} as mean_grammar_depth, case when word_count > 0 then trunc(words_known::double / word_count * 100)::bigint else 0 end as percent_words_known from x""",
     "cards_prev_next": f"with {_TALK} select author, title, ord, coalesce(lag(text) over w, '') as prev, text, coalesce(lead(text) over w, '') as next from t window w as (partition by author, title order by ord)",
     "cards_skip_author_line": f"""with {_TALK}, led as (select author, title, ord, start, "end", case ord % 3 when 0 then author || chr(10) || text when 1 then author else text end as text, ord = min(ord) over (partition by author, title) as here from t),
 cut as (select *, here and (text = author or starts_with(text, author || chr(10))) as cut, rtrim(substr(text, length(author) + 2), chr(10)) as rest from led)

@@ -27,6 +27,15 @@ def read_books(spark: SparkSession, path: str, author_mode: str = "stem", stream
     return reader.load(path).select(author.alias("author"), title.alias("title"), universal_newlines(F.col("value")).alias("text"))
 
 
+def spread(books: DataFrame) -> DataFrame:
+    """``books``, a plain scan, dealt to all cores where its files have fewer parts with rows than there are cores.
+
+    Large inputs have many more parts than that and are left where they are; so nothing but small inputs is ever shuffled.
+    """
+    cores = books.sparkSession.sparkContext.defaultParallelism
+    return books.repartition(cores) if books.rdd.getNumPartitions() < cores else books
+
+
 def books_of(table: DataFrame, text: str, title: str, author: str, *more: str) -> DataFrame:
     """Rows of a table as books."""
     return table.select(F.col(author).cast("string").alias("author"), F.col(title).cast("string").alias("title"), universal_newlines(F.col(text)).alias("text"), *more)

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def read_known_words(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
-    """word: the second column of every row, without repeats."""
-    return spark.read.option("header", header).csv(path).toDF(*_names(spark, path)).select(F.col("c1").alias("word")).where("word is not null").distinct()
-
-
-def _names(spark: SparkSession, path: str) -> list[str]:
-    return [f"c{i}" for i in range(len(spark.read.csv(path).columns))]
+    """word: the second column of every row, without repeats; rows of one column have none."""
+    return spark.read.option("header", header).schema("lemma string, word string").csv(path).select("word").where("word is not null").distinct()
 
 
 def read_frequencies(spark: SparkSession, path: str, skip_rows: int = 2) -> DataFrame:
@@ -36,8 +34,14 @@ def rank_words(counts: DataFrame, skip_rows: int = 2) -> DataFrame:
     """word, rank from word, n: the most frequent word first, ties by word; numbers begin at ``skip_rows``.
 
     Range partitions by (n, word) keep the order, and rows are numbered in them; one row a partition is in the window over all.
+    They are checkpointed, as limits that were drawn again for a lost executor could differ.
     """
-    dealt = counts.repartitionByRange(F.desc("n"), "word").withColumn("part", F.spark_partition_id()).persist()
+    context = counts.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
+    dealt = counts.repartitionByRange(F.desc("n"), "word").withColumn("part", F.spark_partition_id()).checkpoint()
     starts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("c")).select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     inside = Window.partitionBy("part").orderBy(F.desc("n"), "word")
     return dealt.withColumn("i", F.row_number().over(inside)).join(starts, "part").select("word", (F.col("start") + F.col("i") + skip_rows - 1).cast("long").alias("rank"))
