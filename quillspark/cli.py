@@ -7,11 +7,14 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+import os
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .operators import annotate
 from .operators.metrics import complexity
 from .plans.pipeline import Pipeline
 from .sinks import jsonl
@@ -25,7 +28,8 @@ STEPS = {
     "from-jsonl": (["path"], {}),
     "skip-first-line-if-author": ([], {}),
     "remove-title-crap-after": ([], {"--sep": str}),
-    "pipeline": ([], {"--maxfieldlen": int}),
+    "pipeline": ([], {"--maxfieldlen": int, "--model": str}),
+    "translate": ([], {"--lang": str, "--translator": str, "--key": str}),
     "dummy-translate": ([], {}),
     "to-jsonl": (["path"], {"--trim": str}),
     "to-anki": (["path"], {"--fontsize": int}),
@@ -47,12 +51,22 @@ def _chain(words: list[str]) -> list[argparse.Namespace]:
     return out
 
 
+def translator(name: str, key: str | None):
+    """Makes translators: ``name`` is module:class, which is called with the key, if there is one (also from $TRANSLATOR_KEY)."""
+    module, _, kind = name.partition(":")
+    key = key or os.environ.get("TRANSLATOR_KEY")
+    made = getattr(importlib.import_module(module), kind)
+    return (lambda: made(key)) if key else made
+
+
 def flashcards(spark: SparkSession, words: list[str]) -> None:
     """Runs the steps in order. A chain without a sink does nothing."""
     chain = Pipeline(spark)
     for name, args in _chain(words):
         given = vars(args)
         places = [given.pop(p) for p in STEPS[name][0]]
+        if name == "translate":
+            places, given = [translator(given["translator"], given.get("key")), given["lang"]], {}
         chain = getattr(chain, name.replace("-", "_"))(*places, **given)
 
 
@@ -60,6 +74,7 @@ def profile(spark: SparkSession, words: list[str]) -> None:
     parser = argparse.ArgumentParser(prog="complexity")
     parser.add_argument("input")
     parser.add_argument("--lang", default="")
+    parser.add_argument("--pipeline", help="a spaCy model, whose tokens, sentences and trees then take the place of the rule's")
     parser.add_argument("--knownmorphs")
     parser.add_argument("--frequencycsv")
     parser.add_argument("--outputfilename")
@@ -67,7 +82,9 @@ def profile(spark: SparkSession, words: list[str]) -> None:
     books = read_books(spark, args.input)
     known = read_known_words(spark, args.knownmorphs) if args.knownmorphs else None
     frequencies = read_frequencies(spark, args.frequencycsv) if args.frequencycsv else None
-    rows = complexity(books, lines_of(books), ["title", "author"], known, frequencies).select(F.lit(args.lang).alias("lang"), "*").orderBy("author", "title")
+    lines = lines_of(books)
+    tokens = annotate.spacy_tokens(lines, args.pipeline) if args.pipeline else None
+    rows = complexity(books, lines, ["title", "author"], known, frequencies, tokens=tokens).select(F.lit(args.lang).alias("lang"), "*").orderBy("author", "title")
     if args.outputfilename:
         jsonl.append_rows(rows, args.outputfilename)
     else:

@@ -87,8 +87,8 @@ def sentences_of(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return each.select(*keys, "line_no", "sent_no", checked.alias("_t")).select(*keys, "line_no", "sent_no", F.col("_t.token").alias("tokens"), F.col("_t.head").alias("heads"))
 
 
-def spacy_tokens(lines: DataFrame, model: str) -> DataFrame:
-    """``annotate`` by a spaCy pipeline, with heads and dependencies; the model is loaded once a task."""
+def spacy_tokens(lines: DataFrame, model: str, tidy: bool = False) -> DataFrame:
+    """A table of tokens by a spaCy pipeline, with heads; the model is loaded once a task. ``tidy`` as above; a joined token has the head of its first part outside of itself."""
     rest = [c for c in lines.columns if c != "line"]
     kinds = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in rest)
 
@@ -100,6 +100,16 @@ def spacy_tokens(lines: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             rows = []
             for keys, doc in zip(batch[rest].itertuples(index=False), nlp.pipe(batch["line"]), strict=True):
+                if tidy:
+                    with doc.retokenize() as joins:
+                        at = 0
+                        while at < len(doc):
+                            end = at + 1
+                            while not doc[at].is_punct and end < len(doc) and doc[end].is_punct:
+                                end += 1
+                            if end - at > 1:
+                                joins.merge(doc[at:end])
+                            at = end
                 for s, sent in enumerate(doc.sents):
                     rows += [(*keys, s, t.i - sent.start, t.text_with_ws, t.head.i - sent.start) for t in sent]
             yield pd.DataFrame(rows, columns=[*rest, "sent_no", "i", "token", "head"])

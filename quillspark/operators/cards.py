@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as f
-from .chunking import chunks
+from .chunking import chunks, chunks_of_tokens
 
 BOOK = ("author", "title")
 
@@ -15,6 +15,11 @@ def cards_of(books: DataFrame, most: int | None = 70, parsed: bool = True) -> Da
     return chunks(books, most, parsed).select("author", "title", "ord", "start", "end", "text", F.lit("").alias("translation"))
 
 
+def cards_of_tokens(tokens: DataFrame, most: int | None = 70) -> DataFrame:
+    """As ``cards_of``, of a table of tokens with their heads."""
+    return chunks_of_tokens(tokens, list(BOOK), most).select("author", "title", "ord", "start", "end", "text", F.lit("").alias("translation"))
+
+
 def with_context(cards: DataFrame) -> DataFrame:
     """prev and next: the texts beside a card in its book, '' at the book's ends."""
     order = Window.partitionBy(*BOOK).orderBy("ord")

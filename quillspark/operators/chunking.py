@@ -9,6 +9,8 @@ spans of a line's sentences are joined; then those of neighbouring lines. A join
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from unicodedata import category
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,19 +34,30 @@ def consolidate(spans: list[Span], most: int | None) -> list[Span]:
     return out
 
 
+@lru_cache(1 << 16)
+def _kind(token: str) -> tuple[bool, bool, bool]:
+    """Whether a token has a letter or digit, is a clause's mark alone, and ends a clause: has a mark in the punctuation at its end."""
+    bare = token.rstrip(" ")
+    end = len(bare)
+    while end and category(bare[end - 1])[0] == "P":
+        end -= 1
+    return any(category(c)[0] in "LN" for c in bare), bare in _CLAUSE, not _CLAUSE.isdisjoint(bare[end:])
+
+
 def clause_heads(tokens: list[str]) -> list[int]:
     """A stand-in for a parse: the first word of a sentence is its root, the first of each later clause hangs on it, others on their clause's."""
-    root = next((i for i, t in enumerate(tokens) if any(c.isalnum() for c in t)), 0)
+    kinds = [_kind(t) for t in tokens]
+    root = next((i for i, k in enumerate(kinds) if k[0]), 0)
     heads, clause, fresh = [], root, False
-    for i, t in enumerate(tokens):
+    for i, (word, mark, ends) in enumerate(kinds):
         if i == root:
             heads.append(root)
-        elif fresh and t.strip() not in _CLAUSE:
+        elif fresh and not mark:
             clause, fresh = i, False
             heads.append(root)
         else:
             heads.append(clause)
-        if i > root and t.strip() in _CLAUSE:
+        if ends and (i > root or (i == root and word)):
             fresh = True
     return heads
 

@@ -92,15 +92,20 @@ def by_sentence(lines: DataFrame, keys: list[str]) -> DataFrame:
     return each.select(*keys, "_tokens", F.transform(F.filter("_tokens", annotate.is_word), lambda t: F.rtrim(t)).alias("_words"))
 
 
-def totals(lines: DataFrame, keys: list[str], metrics: Metrics) -> DataFrame:
-    """All metrics by ``keys``, in one pass."""
-    values = by_sentence(lines, keys).select(*keys, *(m.in_sentence(F.col("_tokens"), F.col("_words")).alias(m.name) for m in metrics.metrics))
+def totals(lines: DataFrame, keys: list[str], metrics: Metrics, tokens: DataFrame | None = None) -> DataFrame:
+    """All metrics by ``keys``, in one pass: of lines, or of a table of tokens."""
+    if tokens is not None:
+        sentences = annotate.sentences_of(tokens, keys).select(*keys, F.col("tokens").alias("_tokens"), F.transform(F.filter("tokens", annotate.is_word), lambda t: F.rtrim(t)).alias("_words"))
+    else:
+        sentences = by_sentence(lines, keys)
+    values = sentences.select(*keys, *(m.in_sentence(F.col("_tokens"), F.col("_words")).alias(m.name) for m in metrics.metrics))
     return values.groupBy(*keys).agg(*(m.combine(F.col(m.name)).alias(m.name) for m in metrics.metrics))
 
 
-def token_counts(lines: DataFrame, keys: list[str]) -> DataFrame:
+def token_counts(lines: DataFrame, keys: list[str], tokens: DataFrame | None = None) -> DataFrame:
     """keys, word (a token's text), n."""
-    return annotate.annotate(lines.select(*keys, "line")).groupBy(*keys, annotate.bare(F.col("token")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    every = annotate.annotate(lines.select(*keys, "line")) if tokens is None else tokens
+    return every.groupBy(*keys, annotate.bare(F.col("token")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def words_known(counts: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
@@ -122,18 +127,24 @@ def percentile_level(levels: DataFrame, keys: list[str], name: str, percent: int
     return placed.where(F.col("_upto") * 100 > F.col("_all") * percent).groupBy(*keys).agg(F.min("level").alias(name))
 
 
-def complexity(books: DataFrame, lines: DataFrame, keys: list[str], known: DataFrame | None = None, frequencies: DataFrame | None = None, levels=LEVELS, depth: bool = True, metrics: Metrics | None = None) -> DataFrame:
-    """A row a book: its keys, the metrics, the vocabulary metrics whose word lists are given, and the ratios. Empty books have zeros."""
-    from .chunking import clause_depth
+def complexity(books: DataFrame, lines: DataFrame, keys: list[str], known: DataFrame | None = None, frequencies: DataFrame | None = None, levels=LEVELS, depth: bool = True, metrics: Metrics | None = None, tokens: DataFrame | None = None) -> DataFrame:
+    """A row a book: its keys, the metrics, the vocabulary metrics whose word lists are given, and the ratios. Empty books have zeros.
+
+    ``tokens``, a table of tokens with their heads (see ``annotate``), takes the place of the rule's tokens and trees.
+    """
+    from .chunking import clause_depth, depths_of_tokens
 
     metrics = metrics or standard_metrics()
     every = Metrics([*metrics.metrics], [*metrics.ratios])
-    if depth:
+    if depth and tokens is None:
         every.add(Metric("grammar_depth", of_sentence=clause_depth, hidden=True)).add_ratio(Ratio("mean_grammar_depth", "grammar_depth", "sentence_count"))
     shown = [m.name for m in every.metrics if not m.hidden]
-    parts = [totals(lines, keys, every)]
+    parts = [totals(lines, keys, every, tokens)]
+    if depth and tokens is not None:
+        parts.append(depths_of_tokens(tokens, keys).groupBy(*keys).agg(F.sum("depth").alias("grammar_depth")))
+        every.add_ratio(Ratio("mean_grammar_depth", "grammar_depth", "sentence_count"))
     if known is not None or frequencies is not None:
-        counts = token_counts(lines, keys)
+        counts = token_counts(lines, keys, tokens)
         if known is not None:
             parts.append(words_known(counts, keys, known))
             shown.append("words_known")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import annotate
 from ..operators import cards as c
 from ..operators import translate as t
 from ..sinks import anki, html, jsonl
-from ..sources.books import read_books
+from ..sources.books import lines_of, read_books
 from ..sources.cards import read_cards
 
 
@@ -31,20 +33,30 @@ class Pipeline:
         """In-memory source: author, title, text."""
         return self._with(books)
 
-    def from_jsonl(self, path: str) -> Pipeline:
-        from pyspark.sql import functions as F
+    def from_tokens(self, tokens: DataFrame, maxfieldlen: int = 70) -> Pipeline:
+        """Cards of a table of tokens with their heads: author, title and ``annotate.TOKEN_COLUMNS``."""
+        return self._with(c.cards_of_tokens(tokens, maxfieldlen))
 
+    def from_jsonl(self, path: str) -> Pipeline:
         cards = read_cards(self.spark, path)
         return self._with(cards.withColumn("ord", F.col("start")))
 
     def apply(self, step: Callable[[DataFrame], DataFrame]) -> Pipeline:
         return self._with(self.frame.transform(step))
 
-    def pipeline(self, maxfieldlen: int = 70, parsed: bool = True) -> Pipeline:
+    def pipeline(self, maxfieldlen: int = 70, parsed: bool = True, model: str | None = None) -> Pipeline:
+        """Cards of books. ``model`` names a spaCy pipeline, whose parse then takes the place of the rule's."""
         if maxfieldlen < 30:
             raise ValueError("maxfieldlen must be at least 30")
+        if model:
+            lines = lines_of(self.frame.select("author", "title", "text"), keep_ends=True)
+            return self._with(c.cards_of_tokens(annotate.spacy_tokens(lines, model, tidy=True), maxfieldlen))
         return self._with(c.cards_of(self.frame, maxfieldlen, parsed))
 
+    def observed(self, name: str, *metrics: Column) -> Pipeline:
+        """Counts rows (and what ``metrics`` say) while the chain runs; a listener, or ``Observation(name)``, gets them."""
+        return self._with(self.frame.observe(name, F.count(F.lit(1)).alias("cards"), *metrics))
+
     def skip_first_line_if_author(self) -> Pipeline:
         return self._with(c.skip_author_line(self.frame))
 
@@ -55,7 +67,8 @@ class Pipeline:
         return self._with(t.dummy_translate(self.frame))
 
     def translate(self, make_translator: Callable[[], object], lang: str) -> Pipeline:
-        return self._with(t.translate(self.frame, make_translator, lang).drop("error"))
+        """Translations are kept at once, so that a sink that reads them twice, or fails, does not ask for them again."""
+        return self._with(t.translate(self.frame, make_translator, lang).persist().drop("error"))
 
     def to_jsonl(self, path: str, layout: str = "auto", trim: str = "") -> None:
         jsonl.write_cards(self.frame, path, layout, trim)

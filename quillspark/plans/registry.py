@@ -274,11 +274,13 @@ spans as (select *, (start + length(text) - case when regexp_matches(text, {_q(f
 
 #: Folded within each sentence, then within the line.
 _SPANS = _spans_sql(f"folded as (select author, title, lang, line_no, n, {_GREEDY('flatten(list_transform(sentences, lambda s: ' + _GREEDY('s') + '))')} as spans from parsed)")
+#: Kinds of tokens that have their punctuation: c and C end a clause, C and a have a letter or digit.
+_TIDY_KINDS = _filled("array_to_string(list_transform(@, lambda t: case when " + _MARK("t") + " then 'm' when regexp_matches(t, '[\\p{L}\\p{N}]') then if(regexp_matches(t, '[,;:()\\[\\]]\\p{P}* *$'), 'C', 'a') when regexp_matches(t, '[,;:()\\[\\]]\\p{P}* *$') then 'c' else 'x' end), '')")
 #: Folded within each clause behind a mark, then within the sentence, then within the line.
 _TREE_SPANS = _spans_sql(f"""each as (select author, title, lang, line_no, n, unnest(sentences) as s, unnest(range(len(sentences))) as k from parsed),
-kinds as (select *, {_KINDS('s')} as kinds from each),
-rooted as (select *, greatest(instr(kinds, 'a'), 1) as root from kinds),
-clauses as (select *, list_filter(range(root + 2, length(kinds) + 1), lambda i: kinds[i - 1] = 'm' and kinds[i] <> 'm') as starts from rooted),
+kinds as (select *, {_TIDY_KINDS('s')} as kinds from each),
+rooted as (select *, greatest(instr(lower(replace(kinds, 'C', 'a')), 'a'), 1) as root from kinds),
+clauses as (select *, list_filter(range(root + 1, length(kinds) + 1), lambda i: kinds[i] <> 'm' and (kinds[i - 1] = 'C' or (kinds[i - 1] in ('m', 'c') and i - 1 > root))) as starts from rooted),
 joined as (select author, title, lang, line_no, n, k, {_GREEDY("list_concat(s[:coalesce(starts[1], len(s) + 1) - 1], flatten(list_transform(range(1, len(starts) + 1), lambda c: " + _GREEDY("s[starts[c]:coalesce(starts[c + 1], len(s) + 1) - 1]") + ")))")} as spans from clauses),
 folded as (select author, title, lang, line_no, any_value(n) as n, {_GREEDY("flatten(list(spans order by k))")} as spans from joined group by author, title, lang, line_no)""")
 #: Joins the spans of neighbouring lines.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import html_escape
+from ..storage import write_books
 
 
 def side_by_side(cards: DataFrame, font_size: int = 30) -> DataFrame:
@@ -16,5 +17,7 @@ def side_by_side(cards: DataFrame, font_size: int = 30) -> DataFrame:
     return books.select("author", "title", F.concat(head, F.array_join(F.col("_rows._row"), "\n"), F.lit("</table></body></html>")).alias("html"))
 
 
-def write_side_by_side(cards: DataFrame, path: str, font_size: int = 30) -> None:
-    side_by_side(cards, font_size).write.mode("overwrite").partitionBy("author", "title").text(path)
+def write_side_by_side(cards: DataFrame, path: str, font_size: int = 30) -> int:
+    """A page <author>/<title>.html for each book, and how many there are."""
+    pages = side_by_side(cards, font_size)
+    return write_books(pages.select("author", "title", F.lit(0).alias("ord"), F.col("html").alias("value")), path, ".html")

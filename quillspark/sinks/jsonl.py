@@ -1,4 +1,4 @@
-"""JSON lines: cards in one file or a folder by author and title, complexity rows appended."""
+"""JSON lines: cards in one file or in a file a book, complexity rows appended."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim_title
 from ..schemas import CARD
+from ..storage import write_books, write_one
 
 
 def as_json(cards: DataFrame) -> DataFrame:
@@ -14,20 +15,20 @@ def as_json(cards: DataFrame) -> DataFrame:
 
 
 def write_cards(cards: DataFrame, path: str, layout: str = "auto", separator: str = "") -> None:
-    """``layout``: ``file`` for one file in order, ``folder`` for a folder author=.../title=... per book, ``auto`` by the suffix .jsonl.
+    """``layout``: ``file`` for one file in order, ``folder`` for a file <author>/<title>.jsonl per book, ``table`` for a folder
+    author=.../title=... per book, which Spark reads back with its columns; ``auto`` is ``file`` for the suffix .jsonl, else ``folder``.
 
-    A book that is written again replaces its folder; others stay. All its cards are kept, wherever they stood. The one file is
-    sorted in one task; folders are sorted book by book.
+    A book that is written again replaces its file or folder; others stay. All its cards are kept, wherever they stood.
     """
+    named = cards if layout == "file" or not separator else cards.withColumn("title", trim_title(F.col("title"), separator))
+    named = as_json(named if "ord" in named.columns else named.withColumn("ord", F.col("start")))
     if layout == "file" or (layout == "auto" and path.endswith(".jsonl")):
-        lines = as_json(cards)
-        order = [c for c in ("author", "title", "ord") if c in lines.columns]
-        lines.orderBy(*order).select("value").coalesce(1).write.mode("overwrite").text(path)
-        return
-    named = as_json(cards.withColumn("title", trim_title(F.col("title"), separator)))
-    order = [c for c in ("author", "title", "ord") if c in named.columns]
-    named = named.repartition("author", "title").sortWithinPartitions(*order).select("value", "author", "title")
-    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("author", "title").text(path)
+        write_one(named, ["author", "title", "ord"], path)
+    elif layout == "table":
+        sorted_ = named.repartition("author", "title").sortWithinPartitions("author", "title", "ord").select("value", "author", "title")
+        sorted_.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("author", "title").text(path)
+    else:
+        write_books(named, path, ".jsonl")
 
 
 def append_rows(rows: DataFrame, path: str) -> None:

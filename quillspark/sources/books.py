@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, universal_newlines
+from ..storage import is_file
 
 
 def path_properties(path: Column, author_mode: str = "stem") -> tuple[Column, Column]:
@@ -17,11 +18,11 @@ def path_properties(path: Column, author_mode: str = "stem") -> tuple[Column, Co
 
 
 def read_books(spark: SparkSession, path: str, author_mode: str = "stem", streaming: bool = False) -> DataFrame:
-    """One text file, or all ``*.txt`` below a folder; files whose names begin with ``_`` or ``.`` are Spark's own and left out."""
+    """One text file, whatever its name, or all ``*.txt`` below a folder; files whose names begin with ``_`` or ``.`` are Spark's own and left out."""
     reader = (spark.readStream if streaming else spark.read).format("text").option("wholetext", True).option("recursiveFileLookup", True)
     if streaming:
         reader = reader.schema("value string")
-    if not path.endswith(".txt"):
+    if not is_file(spark, path):
         reader = reader.option("pathGlobFilter", "*.txt")
     author, title = path_properties(F.col("_metadata.file_path"), author_mode)
     return reader.load(path).select(author.alias("author"), title.alias("title"), universal_newlines(F.col("value")).alias("text"))

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CARD, REQUIRED
+from ..storage import is_file
 
 
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
-    """A ``.jsonl`` file, or all below a folder. A missing or unknown key is an error; ``translation`` may be missing and is then ''."""
+    """One file, whatever its name, or all ``*.jsonl`` below a folder. A missing or unknown key is an error; ``translation`` may be missing and is then ''."""
     reader = spark.read.option("recursiveFileLookup", True)
-    if not path.endswith(".jsonl"):
+    if not is_file(spark, path):
         reader = reader.option("pathGlobFilter", "*.jsonl")
     raw = reader.text(path).where(F.trim("value") != "").select("value", F.from_json("value", CARD).alias("card"), F.json_object_keys("value").alias("keys"))
     known = F.array(*(F.lit(f.name) for f in CARD.fields))
