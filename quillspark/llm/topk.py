@@ -7,8 +7,9 @@ on, stops where |q| * |v| cannot reach the scores it has, and within a block com
 Cauchy-Schwarz the rest adds at most the product of the residual lengths, and pairs that can't reach the k-th score so far are
 dropped. Scores of all others are exact. Each task's best k of a query are merged at the end.
 
-Nulls and edge cases: vectors that are null, or hold a null or a non-finite component, and vectors without an id take no part;
-of rows that share an id, the least vector takes part; shorter vectors count as padded with zeros; ties go to the smaller id; a
+Every row stands for itself: rows that share an id are candidates each, also of one another, and queries each, with ranks of their own.
+
+Nulls and edge cases: vectors that are null, or hold a null or a non-finite component, and vectors without an id take no part; shorter vectors count as padded with zeros; ties go to the smaller id; a
 query with fewer than k candidates has fewer rows; components and scores beyond 64 bits are cut off there. An empty table gives an empty result.
 Ids are integers. Extra columns are ignored, whatever their names.
 """
@@ -40,11 +41,10 @@ def usable(vector: Column) -> Column:
 
 
 def vectors_of(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, v (whole numbers as doubles), norm2; one row an id."""
+    """row, id, v (whole numbers as doubles), norm2."""
     number = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
-    rows = table.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), number.alias("v"))
-    one = rows.groupBy("id").agg(F.min("v").alias("v"))
-    return one.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    rows = table.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), number.alias("v"))
+    return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
 
 
 def _matrix(lists: pa.Array, width: int) -> np.ndarray:
@@ -63,24 +63,34 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
         for batch in batches:
-            m = _matrix(batch.column(0), width)
-            total += m.T @ m
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(width * width)), "x": pa.array(total.ravel())})
-
-    cells = vectors.select("v").mapInArrow(products, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas()
-    gram = np.zeros(width * width)
-    gram[cells["cell"].to_numpy()] = cells["x"].to_numpy()
-    _, basis = np.linalg.eigh(gram.reshape(width, width))
+            if batch.schema.names == ["v"]:
+                m = _matrix(batch.column(0), width)
+                total += m.T @ m
+            else:
+                for data in batch.column(0):
+                    total += np.frombuffer(data.as_py(), "<f8").reshape(width, width)
+        yield pa.RecordBatch.from_pydict({"x": pa.array([total.astype("<f8").tobytes()], pa.binary())})
+
+    # one matrix a task, then few sums of them: the driver gets eight
+    some = vectors.select("v").mapInArrow(products, "x binary").repartition(8).mapInArrow(products, "x binary").collect()
+    gram = sum((np.frombuffer(r.x, "<f8").reshape(width, width) for r in some), np.zeros((width, width)))
+    _, basis = np.linalg.eigh(gram)
     return np.ascontiguousarray(basis[:, ::-1])
 
 
+def _names(rows: pa.RecordBatch | pa.Table) -> pa.Array:
+    """Ids and numbers of the rows, by two."""
+    two = np.stack([rows.column("id").to_numpy(), rows.column("row").to_numpy()], axis=1)
+    return pa.array([two.astype("<i8").tobytes()], pa.binary())
+
+
 def _blocks(size: int, width: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), size):
                 some = batch.slice(i, size)
-                m = _matrix(some.column(1), width)
-                yield pa.RecordBatch.from_pydict({"top": pa.array([math.sqrt(float((m * m).sum(axis=1).max()))]), "ids": pa.array([some.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), "data": pa.array([m.astype("<f8").tobytes()], pa.binary())})
+                m = _matrix(some.column(2), width)
+                yield pa.RecordBatch.from_pydict({"top": pa.array([math.sqrt(float((m * m).sum(axis=1).max()))]), "ids": _names(some), "data": pa.array([m.astype("<f8").tobytes()], pa.binary())})
 
     return cut
 
@@ -101,6 +111,7 @@ class Best:
         self.query = self.id = self.score = np.zeros(0, np.int64)
 
     def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """``ids`` of the candidates; ties go to the smaller."""
         query, ids, score = (np.concatenate(x) for x in ((self.query, query), (self.id, ids), (self.score, score)))
         order = np.lexsort((ids, ~score, query))
         query, ids, score = query[order], ids[order], score[order]
@@ -112,14 +123,15 @@ class Best:
         self.query, self.id, self.score = query[keep], ids[keep], score[keep]
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[float, np.ndarray, np.ndarray]], basis: np.ndarray, k: int) -> Best:
-    """The best ``k`` of ``blocks`` (length of the longest, ids, vectors) for each query, its own id left out."""
+def search(q_rows: np.ndarray, q: np.ndarray, blocks: list[tuple[float, np.ndarray, np.ndarray]], basis: np.ndarray, k: int) -> Best:
+    """The best ``k`` of ``blocks`` (length of the longest, ids with row numbers, vectors) for each query, its own row left out."""
     best = Best(len(q), k)
     first = max(1, basis.shape[0] // 4)
     length = np.sqrt((q * q).sum(axis=1))
     head = q @ basis[:, :first]
     rest = np.sqrt(np.maximum(0, length**2 - (head * head).sum(axis=1)))
-    for top, ids, v in sorted(blocks, key=lambda b: -b[0]):
+    for top, names, v in sorted(blocks, key=lambda b: -b[0]):
+        ids, rows = names.T
         slack = 1e-9 * length * top + 1e-6  # rounding never drops a pair
         (open_,) = np.nonzero(length * top + slack >= best.least)
         if not len(open_):
@@ -128,10 +140,10 @@ def search(q_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[float, np.ndarra
         v_rest = np.sqrt(np.maximum(0, (v * v).sum(axis=1) - (v_head * v_head).sum(axis=1)))
         least = best.least[open_]
         bound = head[open_] @ v_head.T + rest[open_, None] * v_rest + slack[open_, None]
-        possible = (bound >= least[:, None]) & (q_ids[open_, None] != ids)
+        possible = (bound >= least[:, None]) & (q_rows[open_, None] != rows)
         if np.isinf(least).any() or possible.mean() > 0.1:
             score = q[open_] @ v.T
-            score[q_ids[open_, None] == ids] = -np.inf
+            score[q_rows[open_, None] == rows] = -np.inf
             if score.shape[1] > k:
                 least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k])
             possible &= score + slack[open_, None] >= least[:, None]
@@ -156,12 +168,12 @@ def top_k(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     shares = max(shuffle_partitions(spark), -(-n * width * 8 // SHARE_BYTES))
     groups = -(-n_queries // QUERIES)
     longest_first = vectors.repartitionByRange(F.desc("norm2")).sortWithinPartitions(F.desc("norm2"))
-    blocks = ws.save(longest_first.select("id", "v").mapInArrow(_blocks(BLOCK, width), kinds).withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares))), "blocks")
-    asked = vectors.where(query).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(groups)).alias("set"))
+    blocks = ws.save(longest_first.select("row", "id", "v").mapInArrow(_blocks(BLOCK, width), kinds).withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares))), "blocks")
+    asked = vectors.where(query).select("row", "id", "v", F.pmod(F.xxhash64("row"), F.lit(groups)).alias("set"))
 
     def gathered(key: tuple, rows: pa.Table) -> pa.Table:
         m = _matrix(rows.column("v").combine_chunks(), width)
-        return pa.table({"set": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([rows.column("id").to_numpy().astype("<i8").tobytes()], pa.binary()), "data": pa.array([m.astype("<f8").tobytes()], pa.binary())})
+        return pa.table({"set": pa.array([key[0].as_py()], pa.int64()), "ids": _names(rows), "data": pa.array([m.astype("<f8").tobytes()], pa.binary())})
 
     # the stated query set, in sets of some thousand, goes to every share of the blocks, and the blocks to every set
     sets = ws.save(asked.groupBy("set").applyInArrow(gathered, "set long, ids binary, data binary"), "sets")
@@ -172,12 +184,14 @@ def top_k(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
         return np.frombuffer(data.as_py(), kind)
 
     def meet(key: tuple, queries: pa.Table, some: pa.Table) -> pa.Table:
-        best, q_ids = Best(0, k), np.zeros(0, np.int64)
+        best, asking = Best(0, k), np.zeros((0, 2), np.int64)
+        pairs = lambda data: array(data, "<i8").reshape(-1, 2)
         if queries.num_rows and some.num_rows:
-            q_ids, q = array(queries["ids"][0], "<i8"), array(queries["data"][0], "<f8").reshape(-1, width)
-            best = search(q_ids, q, [(t.as_py(), array(i, "<i8"), array(d, "<f8").reshape(-1, width)) for t, i, d in zip(some["top"], some["ids"], some["data"], strict=True)], basis.value, k)
-        return pa.table({"query_id": pa.array(q_ids[best.query] if len(q_ids) else q_ids, pa.int64()), "vec_id": pa.array(best.id, pa.int64()), "score": pa.array(best.score, pa.int64())})
+            asking, q = pairs(queries["ids"][0]), array(queries["data"][0], "<f8").reshape(-1, width)
+            best = search(asking[:, 1], q, [(t.as_py(), pairs(i), array(d, "<f8").reshape(-1, width)) for t, i, d in zip(some["top"], some["ids"], some["data"], strict=True)], basis.value, k)
+        names = asking[best.query]
+        return pa.table({"query_id": pa.array(names[:, 0]), "row": pa.array(names[:, 1]), "vec_id": pa.array(best.id, pa.int64()), "score": pa.array(best.score, pa.int64())})
 
-    found = sets.groupBy("set", "share").cogroup(blocks.groupBy("set", "share")).applyInArrow(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = sets.groupBy("set", "share").cogroup(blocks.groupBy("set", "share")).applyInArrow(meet, "query_id long, row long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
