@@ -12,6 +12,11 @@ def write_file(folder: str, name: str, data: bytes) -> None:
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
     draft = f"{path}/_{name}.{uuid.uuid4().hex}"
-    with system.open_output_stream(draft) as out:
-        out.write(data)
-    system.move(draft, f"{path}/{name}")
+    try:
+        with system.open_output_stream(draft) as out:
+            out.write(data)
+        system.move(draft, f"{path}/{name}")
+    except BaseException:
+        if system.get_file_info(draft).type != fs.FileType.NotFound:
+            system.delete_file(draft)
+        raise

@@ -10,7 +10,7 @@ Layout of a file, little-endian: ``_HEAD``; the documents (deflated: ids, which
 segment the word offset (u32) and 64 states (u64); the words of all blocks (u32).
 
 Nulls and edge cases: a null text is empty, which leaves the end id alone; a null document id stands before all others; repeated
-ids are documents of their own, in the order of their texts; long texts are stored whole, a file then grows beyond its usual
+ids are documents of their own, in the order of their texts' hashes; long texts are stored whole, a file then grows beyond its usual
 size; an empty table gives no file and an empty result. Document ids are integers. Extra columns are ignored.
 """
 
@@ -219,7 +219,9 @@ def _tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end
         if doc_ids:
             yield row()
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    # ids that repeat, or are null, are many rows of one id: the text's hash parts them, and a number those that repeat whole
+    ordered = ordered.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "text").drop("tie", "row")
     return ordered.mapInArrow(encode, "part int, number int, before long, n long, width int, doc_ids array<long>, lengths array<long>, ids binary, counts binary")
 
 

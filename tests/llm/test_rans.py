@@ -52,7 +52,8 @@ def test_operator(spark):
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n int").repartition(3)
     plain = Tokenizer.from_file(vocabulary(rans.VOCABULARY))
     want, at = [], 0
-    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    ties = {t: h for t, h in spark.createDataFrame([(t,) for _, t in rows], "t string").selectExpr("t", "xxhash64(t)").collect()}
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, ties[r[1]])):
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
