@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import chunk_table
-from .graph import components
+from .graph import components, forest_roots
 from .words import mixed, word_hashes
 from .workspace import Workspace
 
@@ -285,7 +285,7 @@ class _Join:
         best = near.groupBy("b").agg(F.expr("min(struct(d, a))").alias("m")).select(F.col("m.a").alias("a"), "b")
         first = self.confirm(best, "first")
 
-        label = components(first, ws, "first")
+        label = forest_roots(first, ws, "first")  # a centre is less than the one class that it is the closest of
         of = lambda df, x: df.join(label.select(F.col("node").alias(x), F.col("root").alias(f"r_{x}")), x, "left").withColumn(f"r_{x}", F.coalesce(f"r_{x}", x))
         left = of(of(near.join(best, ["a", "b"], "left_anti"), "a"), "b").where("r_a <> r_b").select("a", "b")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import neardup
-from quillspark.llm.graph import components
+from quillspark.llm.graph import components, forest_roots
 from quillspark.llm.workspace import Workspace
 
 
@@ -147,3 +147,18 @@ def test_components(spark, seed):
     want = {x: find(x) for x in list(root) if find(x) != x}
     got = components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "test"), "c")
     assert dict(map(tuple, got.select(F.col("node"), F.col("root")).collect())) == want
+
+
+@pytest.mark.parametrize("chain", [0, 1, 37])
+def test_forest_roots(spark, chain):
+    rng = random.Random(chain)
+    parent = {i: rng.randint(max(0, i - 40), i - 1) for i in range(100, 300)} | {1000 + i: 999 + i for i in range(1, chain + 1)}
+    rows = [(a, b) for b, a in parent.items()] if chain else []
+
+    def find(x):
+        while x in parent:
+            x = parent[x]
+        return x
+
+    got = forest_roots(spark.createDataFrame(rows, "a long, b long"), Workspace(spark, "test"), "f").collect()
+    assert len(got) == len(rows) and {r.node: r.root for r in got} == {b: find(b) for _, b in rows}
