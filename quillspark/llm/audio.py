@@ -1,10 +1,14 @@
 """Operator 7, media columns: MPEG audio.
 
-``parse`` reads any MPEG-1/2/2.5 layer I-III stream: it skips ID3v2 and ID3v1 tags, finds frame headers again after damage (a
-header counts where the last frame ended, or if another one, or the end, stands where it says that its frame ends), reads Xing/Info and VBRI tables, verifies frame
-checksums, and gives the exact duration and the offset of every frame. ``store`` writes a payload as such a stream, losslessly:
-layer III frames of silence whose unused main data holds the payload, each of the smallest bit rate that has room, with header
-checksums, a tag with the payload's length and checksum, and a Xing table in the first frame.
+``parse`` reads any MPEG-1/2/2.5 layer I-III stream: it reads ID3v2.2 to 2.4, ID3v1 and APE tags, finds frame headers again after
+damage (a header counts where the last frame ended, or if another one, or the end, stands where it says that its frame ends), reads
+Xing/Info and VBRI tables with their seek points, verifies the frame checksums of all three layers, and gives the exact duration and
+the offset of every frame. Of the duration, the encoder's delay and padding are taken off where the table names them. ``store`` writes a
+payload as such a stream, losslessly: layer III frames of silence whose unused main data holds the payload, each of the smallest bit
+rate that has room, with header checksums, a tag with the payload's length and checksum, and a Xing table in the first frame.
+
+Tags keep texts only: text frames by their id (of user-defined ones by their name), ID3v1 fields, and text items of APE tags by their
+key; encrypted frames are left out, and so is a frame whose compressed or encoded text is damaged.
 
 Nulls and edge cases: a null or empty payload text still gives one block of blanks; ids may be null or repeated, each row stands
 for itself and equal texts give equal values; texts are stored whole at any length; bytes that are no MPEG audio parse to zero
@@ -19,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -38,6 +43,15 @@ BIT_RATES = {
 }
 SAMPLE_RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 SAMPLES = {(1, 1): 384, (1, 2): 1152, (1, 3): 1152, (2, 1): 384, (2, 2): 1152, (2, 3): 576}
+# Fixed values too: bits of the allocation of each layer II subband, by table; encoders whose delay and padding follow a Xing table.
+ALLOCATIONS = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "half rate": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+ENCODERS = (b"LAME", b"Lavc", b"Lavf")
 
 
 class Header(NamedTuple):
@@ -68,25 +82,67 @@ def header(word: bytes) -> Header | None:
     return Header(version, layer, not word[1] & 1, kbps, hz, size, samples, side)
 
 
+def _shifted(crc: int, bits: int) -> int:
+    for _ in range(bits):
+        crc = (crc << 1 ^ (0x8005 if crc & 0x8000 else 0)) & 0xFFFF
+    return crc
+
+
+_CRC = tuple(_shifted(byte << 8, 8) for byte in range(256))
+
+
 @lru_cache(4096)
-def crc16(data: bytes) -> int:
-    """The frame checksum: polynomial x^16 + x^15 + x^2 + 1, start of ones."""
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The frame checksum of the first ``bits`` (default: all): polynomial x^16 + x^15 + x^2 + 1, start of ones."""
     crc = 0xFFFF
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ (0x8005 if crc & 0x8000 else 0)) & 0xFFFF
-    return crc
+    whole, rest = divmod(8 * len(data) if bits is None else bits, 8)
+    for byte in data[:whole]:
+        crc = (crc << 8 ^ _CRC[crc >> 8 ^ byte]) & 0xFFFF
+    return _shifted(crc ^ (data[whole] >> 8 - rest << 16 - rest), rest) if rest else crc
+
+
+def _allocation(h: Header, mono: bool) -> tuple[int, ...]:
+    """The layer II table that holds for a bit rate and sampling rate."""
+    each = h.kbps if mono else h.kbps // 2
+    if h.version == 2:
+        return ALLOCATIONS["half rate"]
+    if 56 <= each and (h.hz == 48000 or each <= 80):
+        return ALLOCATIONS["a"]
+    if each > 80:
+        return ALLOCATIONS["b"]
+    return ALLOCATIONS["d" if h.hz == 32000 else "c"]
+
+
+def protected_bits(frame: bytes, h: Header) -> int:
+    """Bits behind the checksum that it covers: side information; allocations; or allocations and how scale factors are shared."""
+    if h.layer == 3:
+        return 8 * h.side
+    mode = frame[3] >> 6
+    channels = 1 if mode == 3 else 2
+    shared = 4 * (1 + (frame[3] >> 4 & 3)) if mode == 1 else 32  # subbands from here on have one allocation for both channels
+    if h.layer == 1:
+        return 4 * (32 if channels == 1 else 32 + min(shared, 32))
+    widths = [(w, 1 if channels == 1 or k >= shared else 2) for k, w in enumerate(_allocation(h, channels == 1))]
+    total = sum(w * n for w, n in widths)
+    left = 8 * 32
+    value = int.from_bytes(frame[6 : 6 + left // 8].ljust(left // 8, b"\0"), "big")
+    used = 0
+    for width, n in widths:
+        for _ in range(n):
+            left -= width
+            if value >> left & ((1 << width) - 1):
+                used += channels if n == 1 else 1
+    return total + 2 * used
 
 
 class Audio(NamedTuple):
     offsets: list[int]  # of audio frames; the frame with the table isn't one
     sizes: list[int]
-    duration: Fraction  # seconds
+    duration: Fraction  # seconds, without the delay and padding that the table names
     checked: int  # frames with a checksum that was verified
     bad: int  # ... and was wrong
     skipped: int  # bytes between frames
-    table: dict  # frames, bytes, toc, and kind, as the variable-bit-rate table has them
+    table: dict  # frames, bytes, toc, seek, delay, padding and kind, as far as the variable-bit-rate table has them
     tags: dict[str, str]
     headers: list[Header]
 
@@ -95,20 +151,94 @@ def _synchsafe(b: bytes) -> int:
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
 
 
-def _id3v2(data: bytes, tags: dict[str, str]) -> int:
-    """Length of the tag at the start; user-defined texts go to ``tags``."""
-    if data[:3] != b"ID3" or len(data) < 10 or max(data[6:10]) > 127:
-        return 0
-    end = min(len(data), 10 + _synchsafe(data[6:10]))
-    at = 10
-    while at + 10 <= end and data[at : at + 4].strip(b"\0"):
-        size = _synchsafe(data[at + 4 : at + 8]) if data[3] >= 4 else struct.unpack(">I", data[at + 4 : at + 8])[0]
-        body = data[at + 10 : min(end, at + 10 + size)]
-        if data[at : at + 4] == b"TXXX" and body[:1] in (b"\0", b"\3") and b"\0" in body[1:]:
-            name, _, value = body[1:].partition(b"\0")
-            tags[name.decode("latin-1")] = value.rstrip(b"\0").decode("latin-1")
-        at += 10 + size
-    return end
+def _text(body: bytes) -> list[str]:
+    """The strings of a text frame, whose first byte names their encoding."""
+    encoding = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0] if body else -1)
+    if encoding is None:
+        return []
+    if encoding == "utf-16" and body[1:3] not in (b"\xff\xfe", b"\xfe\xff"):
+        encoding = "utf-16-le"
+    end = 2 if "16" in encoding else 1
+    body = body[1:]
+    if end == 2:
+        body = body[: len(body) // 2 * 2]
+    return [x.removeprefix("\ufeff") for x in body.decode(encoding, "replace").rstrip("\0").split("\0")]
+
+
+def _plain(body: bytes, version: int, flags: int, unsynchronised: bool) -> bytes | None:
+    """A frame's content without what its flags add; None if it can't be read."""
+    group, squeezed, encrypted, counted = ((0x40, 0x08, 0x04, 0x01) if version >= 4 else (0x20, 0x80, 0x40, 0x80)) if version >= 3 else (0,) * 4
+    if flags & encrypted:
+        return None
+    if version >= 4:
+        body = body[bool(flags & group) + 4 * bool(flags & counted) :]
+        if unsynchronised or flags & 0x02:
+            body = body.replace(b"\xff\0", b"\xff")
+    else:
+        body = body[4 * bool(flags & counted) + bool(flags & group) :]
+    try:
+        return zlib.decompress(body) if flags & squeezed else body
+    except zlib.error:
+        return None
+
+
+def _id3v2(data: bytes, tags: dict[str, str], start: int = 0) -> int:
+    """Where the tag at ``start`` ends; its texts go to ``tags``, the first of each name."""
+    head = data[start : start + 10]
+    if head[:3] != b"ID3" or len(head) < 10 or max(head[6:10]) > 127:
+        return start
+    version, flags = head[3], head[5]
+    end = min(len(data), start + 10 + _synchsafe(head[6:10]))
+    tag = data[start + 10 : end]
+    if flags & 0x80 and version < 4:
+        tag = tag.replace(b"\xff\0", b"\xff")
+    at = 0
+    if flags & 0x40 and version >= 3 and len(tag) >= 4:
+        at = max(6, _synchsafe(tag[:4])) if version >= 4 else 4 + struct.unpack(">I", tag[:4])[0]
+    id_len, head_len = (3, 6) if version < 3 else (4, 10)
+    while at + head_len <= len(tag) and tag[at : at + id_len].strip(b"\0"):
+        name, size = tag[at : at + id_len], tag[at + id_len : at + 2 * id_len]
+        size = _synchsafe(size) if version >= 4 else int.from_bytes(size, "big")
+        body = tag[at + head_len : at + head_len + size]
+        at += head_len + size
+        if name[:1] == b"T" and (body := _plain(body, version, 0 if version < 3 else tag[at - size - 1], bool(flags & 0x80))):
+            parts = _text(body)
+            if name in (b"TXXX", b"TXX") and len(parts) > 1:
+                tags.setdefault(parts[0], "\0".join(parts[1:]))
+            elif name not in (b"TXXX", b"TXX") and parts:
+                tags.setdefault(name.decode("latin-1"), "\0".join(parts))
+    return min(len(data), end + 10 * bool(flags & 0x10 and version >= 4))
+
+
+def _id3v1(tag: bytes, tags: dict[str, str]) -> None:
+    for name, start, end in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 127)):
+        if value := tag[start:end].split(b"\0")[0].rstrip(b" "):
+            tags.setdefault(name, value.decode("latin-1"))
+    if tag[125] == 0 and tag[126]:
+        tags.setdefault("track", str(tag[126]))
+
+
+def _ape(data: bytes, end: int, tags: dict[str, str]) -> int:
+    """Where the APE tag that ends at ``end`` begins; ``end`` if there is none."""
+    foot = data[end - 32 : end] if end >= 32 else b""
+    if foot[:8] != b"APETAGEX":
+        return end
+    size, items, flags = struct.unpack("<III", foot[12:24])
+    start = end - size
+    if size < 32 or start < 0:
+        return end
+    at = start
+    for _ in range(items):
+        if at + 8 > end - 32:
+            break
+        n, kind = struct.unpack("<II", data[at : at + 8])
+        stop = data.find(b"\0", at + 8, end - 32)
+        if stop < 0 or stop + 1 + n > end - 32:
+            break
+        if kind >> 1 & 3 == 0:
+            tags.setdefault(data[at + 8 : stop].decode("latin-1"), data[stop + 1 : stop + 1 + n].decode("utf-8", "replace"))
+        at = stop + 1 + n
+    return start - 32 if flags >> 31 and data[max(0, start - 32) : start][:8] == b"APETAGEX" else start
 
 
 def _table(frame: bytes, h: Header) -> dict:
@@ -121,19 +251,31 @@ def _table(frame: bytes, h: Header) -> dict:
             if flags & bit and at + n <= len(frame):
                 found[name] = frame[at : at + n] if n == 100 else struct.unpack(">I", frame[at : at + n])[0]
                 at += n
+        if frame[at : at + 4] in ENCODERS and at + 24 <= len(frame):
+            both = int.from_bytes(frame[at + 21 : at + 24], "big")
+            found |= {"encoder": frame[at : at + 9].rstrip(b"\0 ").decode("latin-1"), "delay": both >> 12, "padding": both & 0xFFF}
         return found
     if h.layer == 3 and frame[36:40] == b"VBRI" and len(frame) >= 54:
         size, frames = struct.unpack(">II", frame[46:54])
-        return {"kind": "VBRI", "bytes": size, "frames": frames}
+        found = {"kind": "VBRI", "bytes": size, "frames": frames}
+        if len(frame) >= 62:
+            entries, scale, width, each = struct.unpack(">4H", frame[54:62])
+            if entries and 1 <= width <= 4 and 62 + entries * width <= len(frame):
+                steps = [int.from_bytes(frame[i : i + width], "big") * scale for i in range(62, 62 + entries * width, width)]
+                found |= {"seek": list(accumulate(steps)), "frames_per_entry": each}
+        return found
     return {}
 
 
 def parse(data: bytes) -> Audio:
     tags: dict[str, str] = {}
-    at, end = _id3v2(data, tags), len(data)
+    at, end = 0, len(data)
+    while (after := _id3v2(data, tags, at)) > at:
+        at = after
     if data[-128:-125] == b"TAG" and end - at >= 128:
         end -= 128
-        tags["title"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
+        _id3v1(data[end:], tags)
+    end = max(at, _ape(data, end, tags))
     offsets, sizes, headers = [], [], []
     samples: dict[int, int] = {}
     checked = bad = skipped = 0
@@ -148,9 +290,10 @@ def parse(data: bytes) -> Audio:
             skipped += (sync if sync >= 0 else end) - at
             at = sync if sync >= 0 else end
             continue
-        if h.protected and h.layer == 3:
+        if h.protected:
+            bits = 8 * h.side if h.layer == 3 else protected_bits(data[at : at + 40], h)
             checked += 1
-            bad += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            bad += crc16(data[at + 2 : at + 4] + data[at + 6 : min(after, at + 6 + -(-bits // 8))], min(16 + bits, 8 * (h.size - 4))) != int.from_bytes(data[at + 4 : at + 6], "big")
         found = _table(data[at:after], h) if not headers and not table else {}
         if found:
             table = found
@@ -161,7 +304,10 @@ def parse(data: bytes) -> Audio:
             samples[h.hz] = samples.get(h.hz, 0) + h.samples
         at = expected = after
     skipped += max(0, end - at)
-    return Audio(offsets, sizes, sum((Fraction(n, hz) for hz, n in samples.items()), Fraction(0)), checked, bad, skipped, table, tags, headers)
+    duration = sum((Fraction(n, hz) for hz, n in samples.items()), Fraction(0))
+    if headers:
+        duration = max(Fraction(0), duration - Fraction(table.get("delay", 0) + table.get("padding", 0), headers[0].hz))
+    return Audio(offsets, sizes, duration, checked, bad, skipped, table, tags, headers)
 
 
 # What ``store`` writes: MPEG-1 layer III, 48 kHz, one channel, with checksum. A frame has 3 bytes for each kbit/s.
