@@ -3,7 +3,10 @@
 A document is its ids and an end id, cut into pieces of ``capacity`` only where it is longer. Packing depends on lengths alone,
 so the driver gets a histogram of at most ``capacity`` rows, whatever the corpus, and solves that: around the largest length left
 it enumerates undominated fillings, branches over them, prunes by the waste that a better packing may still have, and starts from
-the best-fit-decreasing packing as incumbent. The answer is a list of patterns with the number of their uses. Pieces find their
+the best-fit-decreasing packing as incumbent. The answer is a list of patterns with the number of their uses. While a lower bound is
+not met, the search goes on in rounds (``ROUNDS``) that follow more and more of the branches; the last follows all of them, and every
+number of uses of a pattern, so that what it ends with is the fewest. A round stops after ``EFFORT`` combinations; only then, with the
+bound still not met, may there be a better packing than the one given (bin packing has no fast exact way). Pieces find their
 place by their rank among the pieces of their length: a running number in the task that cut them, plus the pieces of that length
 in earlier tasks, as a distributed prefix sum. No piece is compared with another, and no group of them meets in a task.
 
@@ -30,9 +33,11 @@ from .workspace import Workspace
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
-#: Combinations of lengths that the search tries before it takes the best packing so far, and those for the fillings of one bin.
+#: Combinations of lengths that a round of the search tries before it ends with the best packing so far.
 EFFORT = 60_000
-TRIES = 1_000
+#: What a round follows: lengths that may come next in a bin, fillings with waste, combinations for the fillings of one bin, and whether
+#: a pattern is also used fewer times than it could be. None is all.
+ROUNDS = ((24, 8, 1_000, False), (96, 32, 10_000, False), (None, None, None, True))
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it), longest first
 
@@ -90,9 +95,10 @@ def least_bins(counts: dict[int, int], capacity: int) -> int:
 
 
 class _Search:
-    def __init__(self, counts: dict[int, int], capacity: int):
+    def __init__(self, counts: dict[int, int], capacity: int, nexts: int | None, wasteful: int | None, tries: int | None, fewer: bool):
         self.capacity = capacity
         self.counts = dict(counts)
+        self.nexts, self.wasteful, self.tries, self.fewer = nexts, wasteful, tries, fewer
         self.effort = EFFORT
         self.lengths = sorted(k for k, n in counts.items() if n)
 
@@ -113,49 +119,62 @@ class _Search:
         at = bisect_right(self.lengths, room)
         return self.lengths[at - 1] if at else 0
 
-    def _dominated(self, filling: list[int], slack: int) -> bool:
+    def _dominated(self, first: int, filling: list[int], slack: int) -> bool:
         """Whether one longer document could stand for one or two of the filling, so that another filling is at least as good."""
-        for i, a in enumerate(filling):
-            if (x := self._below(a + slack)) > a and x not in filling:
+        kinds = sorted(set(filling))
+        self.effort -= len(kinds) ** 2 // 64
+        spare = lambda k: k and self.counts[k] > filling.count(k) + (k == first)
+        for i, a in enumerate(kinds):
+            if (x := self._below(a + slack)) > a and spare(x):
                 return True
-            for b in filling[i + 1 :]:
-                if (x := self._below(a + b + slack)) >= a + b and x not in filling:
+            for b in kinds[i if filling.count(a) > 1 else i + 1 :]:
+                if (x := self._below(a + b + slack)) >= a + b and spare(x):
                     return True
         return False
 
-    def fillings(self) -> Iterator[Pattern]:
-        """Bins around the largest length left: those without waste as they are found, then undominated others by waste."""
+    def fillings(self) -> Iterator[tuple[Pattern, int]]:
+        """Bins around the largest length left and their uses: those without waste as they are found, then undominated others by waste."""
         first = self.lengths[-1]
         others: list[tuple[int, Pattern]] = []
         tries = 0
+        found = False
         stack: list[tuple[int, int, list[int]]] = [(self.capacity - first, first, [])]
-        if self._below(stack[0][0]) == 0 or (self.counts[first] == 1 and self._below(self.capacity - first) == first and len(self.lengths) == 1):
-            yield ((first, 1),)
-            return
-        while stack and tries < TRIES and self.effort > 0:
+        while stack and (self.tries is None or tries < self.tries) and self.effort > 0:
             room, most, chosen = stack.pop()
             tries += 1
             self.effort -= 1
             used = lambda k: chosen.count(k) + (k == first)  # noqa: B023, E731
-            if room <= most and self.counts.get(room, 0) > used(room):
-                filling = [*chosen, room]
-                if not self._dominated(filling, 0) or len(filling) == 1:
-                    yield self._pattern(first, filling)
-                continue
+            if room == 0 or (room <= most and self.counts.get(room, 0) > used(room)):
+                filling = [*chosen, room] if room else chosen
+                if not self._dominated(first, filling, 0):
+                    found = True
+                    yield from self._uses(self._pattern(first, filling))
+                if not room or self.nexts is not None:
+                    continue
+                most = room - 1
             at = bisect_right(self.lengths, min(room, most)) - 1
             more = []
-            while at >= 0 and len(more) < 24:
+            while at >= 0 and (self.nexts is None or len(more) < self.nexts):
                 k = self.lengths[at]
                 if self.counts[k] > used(k):
                     more.append((room - k, k, [*chosen, k]))
                 at -= 1
-            if more:
-                stack += reversed(more)
-            elif not self._dominated(chosen, room):
+            self.effort -= (len(more) + len(chosen)) // 8
+            stack += reversed(more)
+            if not more and not self._fits(first, room, chosen) and not self._dominated(first, chosen, room):
                 others.append((room, self._pattern(first, chosen)))
-        if not others:
+        if not others and not found:
             others.append((0, self._greedy(first)))
-        yield from (p for _, p in sorted(others)[:8])
+        for _, p in sorted(others)[: self.wasteful]:
+            yield from self._uses(p)
+
+    def _fits(self, first: int, room: int, chosen: list[int]) -> bool:
+        """Whether a length that is left still fits."""
+        return any(self.counts[k] > chosen.count(k) + (k == first) for k in self.lengths[: bisect_right(self.lengths, room)])
+
+    def _uses(self, pattern: Pattern) -> Iterator[tuple[Pattern, int]]:
+        most = min(self.counts[k] // n for k, n in pattern)
+        yield from ((pattern, n) for n in range(most, 0 if self.fewer else most - 1, -1))
 
     def _greedy(self, first: int) -> Pattern:
         """The filling that takes the longest that fits, again and again."""
@@ -181,16 +200,21 @@ def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
         return []
     if max(counts) > capacity or min(counts) < 1:
         raise ValueError("lengths must be between 1 and the capacity")
-    best = best_fit_decreasing(counts, capacity)
-    bins, bound, total = sum(best.values()), least_bins(counts, capacity), sum(k * n for k, n in counts.items())
-    if bins == bound:
-        return list(best.items())
-    search = _Search(counts, capacity)
+    best, bound = best_fit_decreasing(counts, capacity), least_bins(counts, capacity)
+    for limits in ROUNDS:
+        if sum(best.values()) > bound:
+            best = _better(_Search(counts, capacity, *limits), best, bound)
+    return list(best.items())
+
+
+def _better(search: _Search, best: dict[Pattern, int], bound: int) -> dict[Pattern, int]:
+    """The best packing that a round finds, or ``best`` if it finds none with fewer bins."""
+    capacity, bins, total = search.capacity, sum(best.values()), sum(k * n for k, n in search.counts.items())
     path: list[tuple[Pattern, int, int]] = []
     options = [search.fillings()]
     wasted, full = 0, False
     while options and (search.effort > 0 or not full):
-        pattern = next(options[-1], None)
+        pattern, uses = next(options[-1], (None, 0))
         if pattern is None:
             options.pop()
             if path:
@@ -198,7 +222,6 @@ def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
                 search.give(last, uses)
                 wasted -= waste
             continue
-        uses = min(search.counts[k] // n for k, n in pattern)
         waste = uses * (capacity - sum(k * n for k, n in pattern))
         if wasted + waste > (bins - 1) * capacity - total:
             full = full or search.effort <= 0  # no packing this way is better than the incumbent
@@ -215,7 +238,7 @@ def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
         if bins == bound:
             break
         options.append(iter(()))  # goes back over the last choice
-    return list(best.items())
+    return best
 
 
 class Plan:

@@ -53,6 +53,29 @@ def test_search_finds_the_fewest_bins():
         assert sum(u for _, u in got) == fewest(items, 20), items
 
 
+def test_last_round_proves_the_fewest():
+    """Cases where best-fit decreasing is not the best, and where no packing meets the lower bound."""
+    random.seed(4)
+    unmet = better = 0
+    for _ in range(400):
+        capacity = random.choice((12, 30, 100))
+        items = [random.randint(1, capacity // 2 + 2) for _ in range(random.randint(6, 11))]
+        counts = Counter(items)
+        got, want = packing.pack_lengths(counts, capacity), fewest(items, capacity)
+        assert unpacked(got) == counts and sum(u for _, u in got) == want, items
+        unmet += want > packing.least_bins(counts, capacity)
+        better += want < sum(packing.best_fit_decreasing(counts, capacity).values())
+    assert unmet and better
+
+
+def test_search_of_many_lengths_ends():
+    for lengths in (range(1, 2049), range(600, 1100), range(1, 60), [1, 2, 3] * 5000, [683] * 3001 + [682] * 2999 + [1025] * 7):
+        counts = Counter(lengths)
+        got = packing.pack_lengths(counts)
+        assert unpacked(got) == counts and all(sum(k * n for k, n in p) <= 2048 for p, _ in got)
+        assert sum(u for _, u in got) <= sum(packing.best_fit_decreasing(counts, 2048).values())
+
+
 def test_search_at_scale_meets_the_bound():
     rng = np.random.default_rng(2)
     counts = dict(Counter(np.minimum(2048, rng.lognormal(6, 1, 300_000).astype(int) + 1).tolist()))
