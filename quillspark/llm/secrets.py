@@ -38,15 +38,18 @@ CLASSES = (
     ("both cases, joined", r"^[A-Za-z/_=+-]+$", 20, 3.6),
     ("mixed", r"^.+$", 20, 3.7),
 )
+_SAMPLE = "(?:example|placeholder|changeme|abcdefghij|0123456789)"
+_FREE = f"(?:(?!{_SAMPLE}).){{0,19}}+"
 #: Candidates that are known not to be secrets. Each rule covers a whole candidate: a sample word suppresses one only if no window
 #: stands free of it (fewer than 20 characters before, between and after), a leading // (an address behind its scheme) only if no
-#: part of the path is as long as a window.
+#: part of the path is as long as a window. Repeated groups are possessive: Java takes those in a loop, and others by recursion,
+#: which a candidate of some thousand parts overflows.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)^.{0,19}(?:(?:example|placeholder|changeme|abcdefghij|0123456789).{0,19})+$",
-    r"^//[A-Za-z0-9_-]{0,63}(?:/[A-Za-z0-9_=+-]{0,19})*$",
-    r"^/?[a-z0-9_-]+(/[a-z0-9_-]+){2,}/?$",
-    r"^[a-z0-9]{1,15}([-_][a-z0-9]{1,15}){3,}$",
+    rf"(?i)^{_FREE}(?:{_SAMPLE}{_FREE})++$",
+    r"^//[A-Za-z0-9_-]{0,63}+(?:/[A-Za-z0-9_=+-]{0,19}+)*+$",
+    r"^/?[a-z0-9_-]++(?:/[a-z0-9_-]++){2,}+/?$",
+    r"^[a-z0-9]{1,15}+(?:[-_][a-z0-9]{1,15}+){3,}+$",
 )
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -102,3 +103,17 @@ def test_allowed_parts_suppress_only_themselves(spark):
     assert all(sum(b - a for a, b in spans) >= 0.75 * len(text) - 20 for text, spans in zip(joined, found, strict=True))
     allowed = ["an_Example_of_A_key_91", "Placeholder_Key_0a1B2c3D", "ABCDEFGHIJ0123456789klmnopqrst", "http://localhost-7Q/Zx81kWq/Ab92Lm_Op/x", "YourExampleKey0a1Example9Z"]
     assert entropy_spans(spark, allowed) == [[]] * len(allowed)
+
+
+def test_candidates_of_a_million_parts(spark):
+    """No rule recurses once a part, so long paths and compounds take no stack, and end in seconds."""
+    began = time.time()
+    texts = ["/a1" * 1_000_000, "ab-" * 1_000_000, "//x" + "/a1" * 1_000_000, "example-" * 200_000, "ab_" * 1_000_000 + "A", "/a1" * 1_000_000 + "//"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    allowed = [df.where(df.text.rlike(p)).select("doc_id").collect() for p in secrets.ALLOWED]
+    assert [sorted(r.doc_id for r in rows) for rows in allowed] == [[], [3], [2], [0], []]
+    assert time.time() - began < 60
+
+
+def test_scan_of_many_parts(spark):
+    check(spark, ["/a1" * 5_000, "ab-" * 5_000 + "ab", "see //x" + "/a1" * 5_000 + " there", "example-" * 5_000, "key=" + "ab-" * 3_000 + "q"])
