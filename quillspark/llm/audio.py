@@ -218,14 +218,14 @@ def _id3v1(tag: bytes, tags: dict[str, str]) -> None:
         tags.setdefault("track", str(tag[126]))
 
 
-def _ape(data: bytes, end: int, tags: dict[str, str]) -> int:
-    """Where the APE tag that ends at ``end`` begins; ``end`` if there is none."""
+def _ape(data: bytes, end: int, tags: dict[str, str], least: int) -> int:
+    """Where the APE tag that ends at ``end`` begins; ``end`` if there is none that begins at ``least`` or later."""
     foot = data[end - 32 : end] if end >= 32 else b""
     if foot[:8] != b"APETAGEX":
         return end
     size, items, flags = struct.unpack("<III", foot[12:24])
     start = end - size
-    if size < 32 or start < 0:
+    if size < 32 or start < least:
         return end
     at = start
     for _ in range(items):
@@ -238,7 +238,7 @@ def _ape(data: bytes, end: int, tags: dict[str, str]) -> int:
         if kind >> 1 & 3 == 0:
             tags.setdefault(data[at + 8 : stop].decode("latin-1"), data[stop + 1 : stop + 1 + n].decode("utf-8", "replace"))
         at = stop + 1 + n
-    return start - 32 if flags >> 31 and data[max(0, start - 32) : start][:8] == b"APETAGEX" else start
+    return start - 32 if flags >> 31 and start - 32 >= least and data[start - 32 : start][:8] == b"APETAGEX" else start
 
 
 def _table(frame: bytes, h: Header) -> dict:
@@ -267,15 +267,23 @@ def _table(frame: bytes, h: Header) -> dict:
     return {}
 
 
+def _stated_end(data: bytes, at: int, end: int) -> int:
+    """Where the audio ends by the count of bytes in the table of its first frame, or ``at``. What lies before is no tag, whatever it looks like."""
+    h = header(data[at : at + 4])
+    size = _table(data[at : at + h.size], h).get("bytes", 0) if h and at + h.size <= end else 0
+    return at + size if at + size <= end else at
+
+
 def parse(data: bytes) -> Audio:
     tags: dict[str, str] = {}
     at, end = 0, len(data)
     while (after := _id3v2(data, tags, at)) > at:
         at = after
-    if data[-128:-125] == b"TAG" and end - at >= 128:
+    stated = _stated_end(data, at, end)
+    if data[-128:-125] == b"TAG" and end - stated >= 128:
         end -= 128
         _id3v1(data[end:], tags)
-    end = max(at, _ape(data, end, tags))
+    end = max(at, _ape(data, end, tags, stated))
     offsets, sizes, headers = [], [], []
     samples: dict[int, int] = {}
     checked = bad = skipped = 0

@@ -30,6 +30,26 @@ def test_long_payload_with_sync_words():
     assert audio.payload_of(audio.store(payload)) == payload
 
 
+TAGS = (b"APETAGEX" + struct.pack("<III", 80, 64, 0) + bytes(12), b"APETAGEX" + struct.pack("<IIII", 2000, 32, 0, 1 << 31) + bytes(8), b"TAG" + b"t" * 125, b"ID3\4\0\0\0\0\0\x7f" + bytes(40), b"Xing" + struct.pack(">III", 3, 1, 99), bytes(36) + b"VBRI" + bytes(40))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(TAGS), st.integers(0, 3), st.sampled_from(audio._ROOM), st.integers(-2, 2), st.booleans())
+def test_payload_is_never_a_tag(tag, frames, room, off, repeat):
+    """What looks like a tag stands at the end of any frame, of any size, or near it."""
+    size = max(0, frames * audio._ROOM[-1][0] + room[0] + off - len(tag))
+    payload = (b"a" * size + tag) * (1 + repeat)
+    data = audio.store(payload)
+    got = audio.parse(data)
+    assert audio.payload_of(data, got) == payload and got.skipped == got.bad == 0 and set(got.tags) == {"payload_bytes", "payload_crc32"}
+
+
+def test_text_that_ends_like_a_tag(spark):
+    text = "a" * 21_664 + "APETAGEX" + struct.pack("<III", 80, 64, 0).decode() + "\0" * 12
+    row = audio.media_digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_bytes, row.payload_sha256) == (21_696, hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_resynchronises_after_junk():
     got = audio.parse(b"junk\xff\xfbmore" + FRAME * 3 + b"\xff\xff noise \xff" + FRAME * 2)
     assert len(got.offsets) == 5 and got.skipped > 0 and got.bad == 0
