@@ -14,8 +14,8 @@ meet there first, sets only of rows that have a candidate, and only a forest of
 allow are confirmed on full sets, unless their classes are in one component already. So a hot group of copies or near copies costs a
 number of comparisons in proportion to its size.
 
-Sets are compared by 64-bit hashes of their shingles, and equal sets are known by two more 64-bit sums; these disagree with the words
-themselves only by chance, whatever the words' structure.
+Sets are compared by 64-bit hashes of their shingles, and equal sets are known by two more 64-bit sums. Hashes are keyed, with keys
+drawn for each run: two unlike shingles have one hash under about one in 2^62 keys, whatever their words are.
 
 Nulls and edge cases: a text without words, empty or null, has an empty set, is linked with nothing and is kept; a text of fewer words than a shingle
 has its whole sequence of words as one; ids may be null or repeated: each row counts for itself, a component's id is its smallest
@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from .chunks import chunk_table
 from .graph import components, forest_roots
-from .words import mixed, word_hashes
+from .words import Hashing, mixed, word_hashes
 from .workspace import Workspace
 
 PERCENT = 80
@@ -54,20 +54,20 @@ _MULTIPLY = _rng.integers(0, 1 << 63, VALUES, np.uint64) * np.uint64(2) + np.uin
 _ADD = _rng.integers(0, 1 << 63, VALUES, np.uint64)
 
 
-def shingle_hashes(texts: list[bytes | None], width: int = SHINGLE) -> list[np.ndarray]:
+def shingle_hashes(texts: list[bytes | None], hashing: Hashing, width: int = SHINGLE) -> list[np.ndarray]:
     """Each text's distinct shingles as sorted 64-bit hashes. A-Z count as a-z."""
-    words, counts = word_hashes([(t or b"").lower() for t in texts])
+    words, counts = word_hashes([(t or b"").lower() for t in texts], hashing)
     ends = np.cumsum(counts)
     shingles = words
     for k in range(1, width):
-        shingles = mixed(shingles[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[k:])
+        shingles = mixed(shingles[:-1] * hashing.shingle[k] + words[k:])
     out = []
     for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
         if n >= width:
             out.append(np.unique(shingles[end - n : end - width + 1]))
         elif n:
             h = words[end - n : end]
-            out.append(mixed(reduce(lambda a, b: a * np.uint64(0x9E3779B97F4A7C15) + b, (h[i : i + 1] for i in range(n))) + np.uint64(n)))
+            out.append(mixed(reduce(lambda a, b: mixed(a * hashing.shingle[n]) + b, (h[i : i + 1] for i in range(n))) + np.uint64(n)))
         else:
             out.append(words[:0])
     return out
@@ -96,15 +96,15 @@ def keys_of(signature: np.ndarray) -> np.ndarray:
     return np.concatenate(keys, axis=1).view(np.int64)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int, hashing: Hashing) -> Iterator[pa.RecordBatch]:
     """row, doc_id, chunk, number of shingles, two hashes of the set, signature."""
     for batch in batches:
         for i in range(0, len(batch), 512):
             some = batch.slice(i, 512)
-            sets = shingle_hashes(some.column(2).to_pylist(), width)
+            sets = shingle_hashes(some.column(2).to_pylist(), hashing, width)
             full = [s for s in sets if len(s)]
             rows = iter(signatures(full)) if full else iter(())
-            one, two = (pa.array([int(mixed(s + np.uint64(c)).sum().view(np.int64)) if len(s) else None for s in sets], pa.int64()) for c in (1, 2))
+            one, two = (pa.array([int(mixed(s + c).sum().view(np.int64)) if len(s) else None for s in sets], pa.int64()) for c in hashing.sets)
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(3), pa.array([len(s) for s in sets], pa.int64()), one, two, pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())], ["row", "doc_id", "chunk", "n", "h1", "h2", "signature"])
 
 
@@ -122,14 +122,14 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a != b).sum(axis=1).astype(np.int32)), batch.column(4)], ["a", "b", "d", "sizes"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch], width: int, hashing: Hashing) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets are similar enough."""
     for batch in batches:
         for i in range(0, len(batch), 256):
             some = batch.slice(i, 256)
             a, b, text_a, text_b = (c.to_pylist() for c in some.columns)
             texts = dict(zip([*a, *b], [*text_a, *text_b], strict=True))
-            sets = dict(zip(texts, shingle_hashes(list(texts.values()), width), strict=True))
+            sets = dict(zip(texts, shingle_hashes(list(texts.values()), hashing, width), strict=True))
             good = []
             for x, y in zip(a, b, strict=True):
                 both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
@@ -142,9 +142,9 @@ def _chosen(key: tuple, texts: pa.Table, rows: pa.Table) -> pa.Table:
     return texts.select(["row", "text"]).filter(pa.array([r in wanted for r in texts.column("row").to_pylist()], pa.bool_()))
 
 
-def _chosen_sets(key: tuple, texts: pa.Table, rows: pa.Table, width: int) -> pa.Table:
+def _chosen_sets(key: tuple, texts: pa.Table, rows: pa.Table, width: int, hashing: Hashing) -> pa.Table:
     some = _chosen(key, texts, rows)
-    sets = shingle_hashes(some.column("text").to_pylist(), width) if some.num_rows else []
+    sets = shingle_hashes(some.column("text").to_pylist(), hashing, width) if some.num_rows else []
     return pa.table({"row": some.column("row"), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
 
@@ -250,8 +250,8 @@ def _attached(key: tuple, kept: pa.Table, found: pa.Table) -> pa.Table:
 class _Join:
     """The steps on classes, each of which is named by the least row with its set."""
 
-    def __init__(self, ws: Workspace, chunks: DataFrame, classes: DataFrame, width: int):
-        self.ws, self.chunks, self.classes, self.width = ws, chunks, classes, width
+    def __init__(self, ws: Workspace, chunks: DataFrame, classes: DataFrame, width: int, hashing: Hashing):
+        self.ws, self.chunks, self.classes, self.width, self.hashing = ws, chunks, classes, width, hashing
 
     def with_distance(self, pairs: DataFrame) -> DataFrame:
         """a, b, their distance d, and whether their numbers of shingles allow a link."""
@@ -271,7 +271,7 @@ class _Join:
         texts = self.ws.save(self._per_chunk(rows, _chosen, "row long, text binary"), f"{name}-texts")
         side = lambda x: texts.select(F.col("row").alias(x), F.col("text").alias(f"t_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
-        return self.ws.save(both.mapInArrow(partial(_confirmed, width=self.width), "a long, b long"), f"{name}-links")
+        return self.ws.save(both.mapInArrow(partial(_confirmed, width=self.width, hashing=self.hashing), "a long, b long"), f"{name}-links")
 
     def links(self) -> DataFrame:
         """Links between classes that connect all that similar sets connect."""
@@ -306,10 +306,10 @@ class _Join:
         met = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         # signatures meet first; the sets follow only of rows that have a candidate there
         able = ws.save(met(dealt).mapInArrow(_block_candidates, "key long, i int, j int, row long"), "able")
-        width = self.width
+        width, hashing = self.width, self.hashing
 
         def chosen_sets(key: tuple, texts: pa.Table, rows: pa.Table) -> pa.Table:
-            return _chosen_sets(key, texts, rows, width)
+            return _chosen_sets(key, texts, rows, width, hashing)
 
         sets = ws.save(self._per_chunk(able.select("row").distinct(), chosen_sets, "row long, shingles binary"), "able-sets")
         full = dealt.join(able, ["key", "i", "j", "row"]).join(sets, "row")
@@ -324,14 +324,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``keep`` names further columns of ``docs`` to carry along; they come back under their own names with a leading ``in_``.
     """
     spark = docs.sparkSession
-    ws = Workspace(spark, "neardup")
+    ws, hashing = Workspace(spark, "neardup"), Hashing()
     chunks = chunk_table(docs, ws, {"doc_id": F.col(id_col), "text": F.col(text_col).cast("binary"), **{f"in_{c}": F.col(c) for c in keep if c != text_col}})
     kind = chunks.schema["doc_id"].dataType.simpleString()
-    sets = chunks.select("row", "doc_id", "text", "chunk").mapInArrow(partial(_sets, width=shingle), f"row long, doc_id {kind}, chunk long, n long, h1 long, h2 long, signature binary")
+    sets = chunks.select("row", "doc_id", "text", "chunk").mapInArrow(partial(_sets, width=shingle, hashing=hashing), f"row long, doc_id {kind}, chunk long, n long, h1 long, h2 long, signature binary")
     sets = ws.save(sets, "sets")
     named = sets.where("h1 is not null").groupBy("h1", "h2", "n").agg(F.expr("min(struct(row, chunk, signature))").alias("one"))
     classes = ws.save(named.select("h1", "h2", "n", "one.*"), "classes")
-    links = _Join(ws, chunks, classes.select("row", "n", "chunk", "signature"), shingle).links()
+    links = _Join(ws, chunks, classes.select("row", "n", "chunk", "signature"), shingle, hashing).links()
     roots = components(links, ws, "all")
 
     placed = sets.select("row", "doc_id", "chunk", "n", "h1", "h2").join(classes.select("h1", "h2", "n", F.col("row").alias("class")), ["h1", "h2", "n"], "left")

@@ -6,8 +6,8 @@ the distinct hashes of its windows, marked where they are blocks, to the partiti
 blocks and occur elsewhere too. Hits are then extended: the windows of 35 words around them are compared in the same manner,
 by 96-bit hashes of their words, and runs of windows that occur again are the maximal repeats. A passage that is in very many
 documents is one value a chunk, never a group of rows, and no pairs of documents are made. Words count as equal if their 64-bit
-hashes are: two unlike windows are taken for one another only if 96 bits, or the hashes of all words in which they differ, agree
-by chance; nothing in the structure of words or windows makes that likelier.
+hashes are. Hashes are keyed, with keys drawn for each run: two unlike words are taken for one another under one in 2^64 keys, two
+unlike windows of unlike words under one in 2^93, whatever the words are.
 
 Documents are kept once, in a table in buckets by chunk, so that later passes meet the answers without moving texts again. A
 chunk is part of an input partition.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import chunk_table
-from .words import windows, word_hashes
+from .words import Hashing, word_hashes
 from .workspace import Workspace, shuffle_partitions
 
 WINDOW = 35
@@ -70,9 +70,10 @@ def _bucket(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
 class _Chunk:
     """Word hashes of a chunk's documents, and which windows lie within one document."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, hashing: Hashing):
+        self.hashing = hashing
         self.texts = [t or b"" for t in table.column("text").to_pylist()]
-        self.words, self.counts = word_hashes(self.texts)
+        self.words, self.counts = word_hashes(self.texts, hashing)
         ends = np.cumsum(self.counts)
         self.starts = ends - self.counts
         self.left = np.repeat(ends, self.counts) - np.arange(len(self.words))  # words to the end of the document
@@ -81,7 +82,7 @@ class _Chunk:
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the windows within documents, and their hashes."""
         (at,) = np.nonzero(self.left >= length)
-        return at, windows(self.words, length)[at] if len(at) else np.zeros(0, np.uint64)
+        return at, self.hashing.windows(self.words, length)[at] if len(at) else np.zeros(0, np.uint64)
 
 
 def _questions(chunk: int, keys: np.ndarray, extra: np.ndarray, marked: np.ndarray, buckets: int, bits: int) -> pa.Table:
@@ -155,26 +156,27 @@ class _Passes:
 
     def __init__(self, window: int, buckets: int, bits: int):
         self.window, self.block, self.buckets, self.bits = window, (window + 1) // 2, buckets, bits
+        self.hashing = Hashing()
 
     def _blocks(self, chunk: _Chunk) -> tuple[np.ndarray, np.ndarray]:
         at, keys = chunk.windows(self.block)
         return at, keys >> np.uint64(64 - self.bits)
 
     def probe(self, key: tuple, table: pa.Table) -> pa.Table:
-        chunk = _Chunk(table)
+        chunk = _Chunk(table, self.hashing)
         at, keys = self._blocks(chunk)
         return _questions(key[0].as_py(), keys, np.zeros(len(keys), np.uint32), chunk.place[at] % self.block == 0, self.buckets, self.bits)
 
     def _long(self, chunk: _Chunk, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(at):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        first, second = (windows(chunk.words, self.window, salt)[at] for salt in (0, 1 << 32))
+        first, second = (self.hashing.windows(chunk.words, self.window, salt)[at] for salt in (0, 1))
         return first, (second >> np.uint64(32)).astype(np.uint32)
 
     def extend(self, key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "keys": pa.array([], pa.binary())})
-        chunk = _Chunk(table)
+        chunk = _Chunk(table, self.hashing)
         at, keys = self._blocks(chunk)
         hits = np.zeros(len(chunk.words) + 1, np.int64)
         hits[at + 1] = _among(keys, np.zeros(len(keys), np.uint32), _known(answers))
@@ -189,7 +191,7 @@ class _Passes:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.binary()]
         if not table.num_rows:
             return pa.table([pa.array([], table.schema.field("doc_id").type), *(pa.array([], k) for k in kinds)], ["doc_id", *names])
-        chunk = _Chunk(table)
+        chunk = _Chunk(table, self.hashing)
         known = _known(answers)
         gone = np.zeros(len(chunk.words) + 1, np.int64)
         if len(known[0]):

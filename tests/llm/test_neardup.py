@@ -124,6 +124,12 @@ def test_a_block_gives_a_forest():
     assert len(block.links()) == len(shared) - 1
 
 
+def test_words_that_were_made_to_collide(spark):
+    rows = [(1, "whseromw!!&!!(@@ x"), (2, "gcucezvb$!@c+^ji x")]
+    got = neardup.dedup_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1, True), (2, 1, 2, True)]
+
+
 def test_signature_agrees_with_similarity():
     sets = [np.sort(np.random.default_rng(i).integers(0, 1 << 63, 3000, np.uint64)) for i in range(2)]
     mixed = np.sort(np.concatenate([sets[0][:2700], sets[1][:300]]))

@@ -60,13 +60,34 @@ def test_words_that_polynomial_hashes_mistake(spark, n):
     assert sorted(tuple(r) for r in got) == [(i, *b) for i, b in enumerate(brute(texts, 35))]
 
 
+def test_words_that_were_made_to_collide(spark):
+    """Two words that one fixed, public way of hashing takes for one another; keys that differ from run to run tell them apart."""
+    tail = " ".join(f"w{i}" for i in range(34))
+    texts = [f"{w} {tail}" for w in ("whseromw!!&!!(@@", "gcucezvb$!@c+^ji")]
+    got = repeats.removal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(i, *b) for i, b in enumerate(brute(texts, 35))]
+
+
+def test_keys_of_a_run():
+    """One run gives one hash, whichever task takes a word; another run gives another; every pair of close words differs."""
+    close = [bytes([a, b]) + b"x" * n for n in (0, 6, 7, 14, 62, 63, 100) for a in range(97, 107) for b in range(97, 107)]
+    one, other = words.Hashing(), words.Hashing()
+    first, again, second = (words.word_hashes(close, h)[0] for h in (one, words.Hashing(one.seed), other))
+    assert first.tolist() == again.tolist() and not (first == second).any() and len(set(first.tolist())) == len(close)
+    for length in (1, 2, 18, 35):
+        plain = {}
+        for at, h in enumerate(one.windows(first, length).tolist()):
+            assert plain.setdefault(tuple(close[at : at + length]), h) == h
+        assert len(set(plain.values())) == len(plain)
+
+
 def test_empty_table(spark):
     assert repeats.removal(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_word_hashes():
     texts = [b"", b" a b  a\n", b"b", "é ".encode() * 3, b"x" * 5_000_000 + b" a", b"a b " * 700_000]
-    hashes, counts = words.word_hashes(texts)
+    hashes, counts = words.word_hashes(texts, words.Hashing())
     assert counts.tolist() == [len(t.split()) for t in texts]
     flat = [w for t in texts for w in t.split()]
     assert len(set(hashes.tolist())) == len(set(flat)) and len(set(zip(flat, hashes.tolist(), strict=True))) == len(set(flat))
