@@ -11,8 +11,8 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def strip(text: Column) -> Column:
-    """Without white space at both ends, Unicode white space included."""
-    return F.regexp_replace(text, rf"^[{BLANK}]+|[{BLANK}]+$", "")
+    """Without white space at both ends, Unicode white space included. A run of blanks inside is passed once, not once a blank."""
+    return F.regexp_replace(text, rf"^[{BLANK}]++|(?<![{BLANK}])[{BLANK}]++$", "")
 
 
 def universal_newlines(text: Column) -> Column:

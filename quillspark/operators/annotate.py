@@ -20,13 +20,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BLANK
 
-SENTENCE_END = rf"[.!?…][.!?…)»”\x22]*[{BLANK}]+"
-WORD = r"[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*"
-TOKEN = rf"(?:{WORD}|[^{BLANK}\p{{L}}\p{{M}}\p{{N}}]) ?|[{BLANK}]+"
+MARK, CLOSING = r"[.!?…]", r"[.!?…)»”\x22]"
 DIGITS = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]+"
-_PUNCT = r"(?:\p{P} ?)*"
-SENTENCE = rf"(?s).*?{SENTENCE_END}|.+\z"
-TIDY_SENTENCE = rf"(?s).*?{SENTENCE_END}{_PUNCT}|.+\z"
+# Repeated groups are possessive: Java takes those in a loop, where it would recurse once a repeat. None has to give back what it took.
+WORD = r"[\p{L}\p{M}\p{N}]++(?:['’\-][\p{L}\p{M}\p{N}]++)*+"
+TOKEN = rf"(?:{WORD}|[^{BLANK}\p{{L}}\p{{M}}\p{{N}}]) ?|[{BLANK}]+"
+_PUNCT = r"(?:\p{P} ?)*+"
+# Marks that no white space follows end nothing; each run of them is passed as a whole.
+_WITHIN = rf"(?:[^.!?…]++|{MARK}{CLOSING}*+(?![{BLANK}]))*+{MARK}{CLOSING}*+[{BLANK}]++"
+SENTENCE = rf"(?s){_WITHIN}|.+\z"
+TIDY_SENTENCE = rf"(?s){_WITHIN}{_PUNCT}|.+\z"
 TIDY_TOKEN = rf"(?:(?:{WORD}|[^{BLANK}\p{{L}}\p{{M}}\p{{N}}\p{{P}}]) ?|[{BLANK}]+){_PUNCT}|\p{{P}} ?"
 #: A table of tokens has these, and any keys of the book. ``head`` is the place of the governing token in the sentence, its own for the root.
 TOKEN_COLUMNS = ("line_no", "sent_no", "i", "token", "head")
@@ -79,11 +82,17 @@ def from_table(annotated: DataFrame) -> DataFrame:
 
 
 def sentences_of(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, line_no, sent_no, tokens, heads: a row a sentence of a table of tokens. A sentence must have just one root."""
+    """keys, line_no, sent_no, tokens, heads: a row a sentence of a table of tokens.
+
+    Places ``i`` must count from 0 without gaps or repeats, tokens must not be null, and just one token must be its own head; that
+    heads are tokens of the sentence and form a tree is left to those who follow them (``trees``).
+    """
     placed = F.struct(F.col("i").cast("int").alias("i"), "token", F.col("head").cast("int").alias("head"))
     each = tokens.groupBy(*keys, "line_no", "sent_no").agg(F.array_sort(F.collect_list(placed)).alias("_t"))
     roots = F.size(F.filter("_t", lambda t: t["head"] == t["i"]))
     checked = F.when(roots == 1, F.col("_t")).otherwise(F.raise_error(F.concat(F.lit("a sentence must have one root, not "), roots.cast("string"))).cast("array<struct<i:int,token:string,head:int>>"))
+    gaps = F.size(F.filter("_t", lambda t, k: ~t["i"].eqNullSafe(k) | t["token"].isNull()))
+    checked = F.when(gaps == 0, checked).otherwise(F.raise_error(F.lit("the places of a sentence's tokens must count from 0, and no token may be null")).cast("array<struct<i:int,token:string,head:int>>"))
     return each.select(*keys, "line_no", "sent_no", checked.alias("_t")).select(*keys, "line_no", "sent_no", F.col("_t.token").alias("tokens"), F.col("_t.head").alias("heads"))
 
 

@@ -1,203 +1,233 @@
 """Books cut into chunks no longer than a limit, along the grammar.
 
-Lines, sentences and tokens (with the punctuation behind them) are arrays made by native expressions; the cutting is a fold over one
-book's arrays in an Arrow UDF. Books are rows, so nothing is shuffled; books that come as a table of tokens with heads are gathered
-first. Without heads a rule stands in for the parse: clauses behind marks hang on the root, so a depth never exceeds 3. The steps: within a sentence, tokens are joined along its tree, inner subtrees first; the
-spans of a line's sentences are joined; then those of neighbouring lines. A join takes neighbours as long as both fit.
+The steps: within a sentence, tokens are joined along its tree, inner subtrees first; the spans of a line's sentences are joined;
+then those of neighbouring lines. A join takes neighbours as long as both fit. Each step is a greedy fold over an array
+(``functions.folds``), so cutting the text of a book runs inside its scan, in the JVM, and shuffles nothing.
+
+Without heads a rule stands in for the parse: clauses behind marks hang on the root, so a depth never exceeds 3, and the tree is two
+folds more. Trees that are given as a table of tokens with their heads are joined by a kernel over flat buffers (``trees``), which
+gets lengths and heads of a batch of sentences, whatever book they are of.
+
+A book may come in parts, each a row of some of its lines in order. Then parts are folded apart: a part says how long the chunk is
+that is open at its end for each length that may be open at its start; these are put together in order, a few numbers a part, and
+each part is cut from what it starts with. No task ever has more than one part of a book's text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
-from unicodedata import category
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
-from . import annotate
-
-Span = tuple[int, int, str]
-_CLAUSE = frozenset(",;:()[]")
-
-
-def consolidate(spans: list[Span], most: int | None) -> list[Span]:
-    """From the left, joins each span to the last if it begins where that ends and both fit; a longer span stays whole."""
-    out: list[Span] = []
-    for span in spans:
-        if out and out[-1][0] < span[0] and out[-1][1] == span[0] and not (most and len(out[-1][2]) + len(span[2]) > most):
-            out[-1] = (out[-1][0], span[1], out[-1][2] + span[2])
-        else:
-            out.append(span)
-    return out
-
-
-@lru_cache(1 << 16)
-def _kind(token: str) -> tuple[bool, bool, bool]:
-    """Whether a token has a letter or digit, is a clause's mark alone, and ends a clause: has a mark in the punctuation at its end."""
-    bare = token.rstrip(" ")
-    end = len(bare)
-    while end and category(bare[end - 1])[0] == "P":
-        end -= 1
-    return any(category(c)[0] in "LN" for c in bare), bare in _CLAUSE, not _CLAUSE.isdisjoint(bare[end:])
-
-
-def clause_heads(tokens: list[str]) -> list[int]:
-    """A stand-in for a parse: the first word of a sentence is its root, the first of each later clause hangs on it, others on their clause's."""
-    kinds = [_kind(t) for t in tokens]
-    root = next((i for i, k in enumerate(kinds) if k[0]), 0)
-    heads, clause, fresh = [], root, False
-    for i, (word, mark, ends) in enumerate(kinds):
-        if i == root:
-            heads.append(root)
-        elif fresh and not mark:
-            clause, fresh = i, False
-            heads.append(root)
-        else:
-            heads.append(clause)
-        if ends and (i > root or (i == root and word)):
-            fresh = True
-    return heads
-
-
-def _children(heads: list[int]) -> tuple[list[list[int]], list[int]]:
-    """Children of each token, and all tokens with parents before children."""
-    children: list[list[int]] = [[] for _ in heads]
-    order = []
-    for i, h in enumerate(heads):
-        if h == i:
-            order.append(i)
-        else:
-            children[h].append(i)
-    for i in order:
-        order += children[i]
-    return children, order
-
-
-def tree_height(heads: list[int]) -> int:
-    """Tokens on the longest path from the root down; 0 for no token."""
-    children, order = _children(heads)
-    height = [1] * len(heads)
-    for i in reversed(order):
-        height[i] = 1 + max((height[c] for c in children[i]), default=0)
-    return max((height[i] for i, h in enumerate(heads) if h == i), default=0)
-
-
-def tree_spans(tokens: list[str], heads: list[int], most: int | None) -> list[Span]:
-    """Spans of a sentence, in places of tokens: each subtree is consolidated before its parent is added."""
-    children, order = _children(heads)
-    spans: list[list[Span]] = [[] for _ in heads]
-    for i in reversed(order):
-        mine = sorted([(i, i + 1, tokens[i]), *(s for c in children[i] for s in spans[c])])
-        spans[i] = consolidate(mine, most)
-        for c in children[i]:
-            spans[c] = []
-    return sorted(s for i, h in enumerate(heads) if h == i for s in spans[i])
-
-
-def line_spans(sentences: list[list[str]], most: int | None, parsed: bool, heads: list[list[int]] | None = None) -> list[Span]:
-    """Spans of a line, in places of its tokens. Trees are given by ``heads``, or stood in for."""
-    if most and sum(len(t) for s in sentences for t in s) <= most:
-        # whatever fits as a whole is joined as a whole
-        return [(0, sum(map(len, sentences)), "".join(t for s in sentences for t in s))] if any(map(len, sentences)) else []
-    out, base = [], 0
-    for k, tokens in enumerate(sentences):
-        spans = tree_spans(tokens, heads[k] if heads else clause_heads(tokens), most) if parsed else consolidate([(i, i + 1, t) for i, t in enumerate(tokens)], most)
-        out += [(base + a, base + b, t) for a, b, t in spans]
-        base += len(tokens)
-    return consolidate(out, most)
-
-
-def _end(start: int, text: str, last: str) -> int:
-    """Where a span ends without the space that belongs to its last token."""
-    return start + len(text) - (last.endswith(" ") and not last.isspace())
-
-
-def book_spans(lines: list[list[list[str]]], most: int | None, parsed: bool, across: bool, heads: list[list[list[int]]] | None = None) -> list[Span]:
-    """Spans of a book, in characters of its text."""
-    out, base = [], 0
-    for k, sentences in enumerate(lines):
-        tokens = [t for s in sentences for t in s]
-        at = base
-        for _, b, text in line_spans(sentences, most, parsed, heads[k] if heads else None):
-            out.append((at, _end(at, text, tokens[b - 1]), text))
-            at += len(text)
-        base = at
-    return consolidate(out, most) if across else out
-
-
-def nested_tokens(text: Column) -> Column:
-    """Lines with their ends, as sentences, as tokens."""
-    parts = F.split(text, "\n", -1)
-    n = F.size(parts)
-    lines = F.filter(F.transform(parts, lambda p, i: F.when(i < n - 1, F.concat(p, F.lit("\n"))).otherwise(p)), lambda p: p != "")
-    return F.transform(lines, lambda line: F.transform(annotate.sentences(line, tidy=True), annotate.tidy_tokens))
-
-
-def _spread(spans: list[Span]) -> list[dict]:
-    return [{"start": a, "end": b, "text": t} for a, b, t in spans]
-
-
-_SPANS = "array<struct<start:long,end:long,text:string>>"
+from ..functions.folds import ANY, PIECES, fold, joined_items, last_open, let, pieces
+from ..functions.text import BLANK, strip
+from ..storage import kept
+from . import annotate, trees
 
+#: Lines of a table of tokens that make a part.
+PART_LINES = 2_000
+_CLAUSE = r",;:()\[\]"
+#: Heights of borders: before tokens of a clause, before clauses, sentences and lines, and where neighbouring lines can't be joined.
+_TOKEN, _CLAUSES, _SENTENCES, _LINES, _CLOSED = range(5)
 
-def chunks_of_tokens(tokens: DataFrame, keys: list[str], most: int | None = 70, across: bool = True) -> DataFrame:
-    """As ``chunks``, of a table of tokens with their heads (see ``annotate``). Books are put together by sentence, then by line."""
 
-    @F.pandas_udf(_SPANS)
-    def spans(lines: pd.Series, heads: pd.Series) -> pd.Series:
-        return pd.Series([_spread(book_spans([[list(s) for s in line] for line in a], most, True, across, [[list(s) for s in line] for line in b])) for a, b in zip(lines, heads, strict=True)])
+def _ends_open(text: Column) -> Column:
+    """Whether a span's last token has a space behind it, which is no part of the span, so that nothing follows right behind the span."""
+    return text.rlike(rf"[^{BLANK}] \z")
 
-    row = lambda at, *names: F.array_sort(F.collect_list(F.struct(at, *names)))
-    lines = annotate.sentences_of(tokens, keys).groupBy(*keys, "line_no").agg(row("sent_no", "tokens", "heads").alias("_s"))
-    lines = lines.select(*keys, "line_no", F.col("_s.tokens").alias("tokens"), F.col("_s.heads").alias("heads"))
-    books = lines.groupBy(*keys).agg(row("line_no", "tokens", "heads").alias("_l"))
-    found = books.select(*keys, spans(F.col("_l.tokens"), F.col("_l.heads")).alias("_spans"))
-    return found.select(*keys, F.posexplode("_spans").alias("ord", "_s")).select(*keys, F.col("ord").cast("long").alias("ord"), "_s.start", "_s.end", "_s.text")
 
+def _clause_cuts(tokens: Column) -> Column:
+    """The border before each token of a sentence, by the rule.
 
-def depths_of_tokens(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """A row a sentence of a table of tokens with their heads: keys, line_no, sent_no, depth."""
+    The first token with a letter or digit is the root. Behind a mark of a clause that comes after the root (or in the punctuation at the
+    root's end) the next token that is no mark alone begins a clause. Tokens before the first of these clauses hang on the root each.
+    """
+    ends = rf"[{_CLAUSE}]\p{{P}}* *\z"
 
-    @F.pandas_udf("int")
-    def heights(heads: pd.Series) -> pd.Series:
-        return pd.Series([tree_height(list(h)) for h in heads])
+    def kind(t: Column) -> Column:
+        word = F.when(t.rlike(ends), "C").otherwise("a")
+        return F.when(t.rlike(rf"^[{_CLAUSE}] ?\z"), "m").when(t.rlike(r"[\p{L}\p{N}]"), word).when(t.rlike(ends), "c").otherwise("x")
+
+    def of_kinds(kinds: Column) -> Column:
+        root = F.greatest(F.instr(F.translate(F.array_join(kinds, ""), "C", "a"), "a"), F.lit(1)) - 1
+
+        def begins(k: Column, i: Column, root: Column) -> Column:
+            before = F.get(kinds, i - 1)
+            return F.coalesce((i > root) & (k != "m") & ((before == "C") | (before.isin("m", "c") & (i - 1 > root))), F.lit(False))
+
+        flags = let(root, lambda r: F.transform(kinds, lambda k, i: begins(k, i, r)))
+        return let(flags, lambda f: let(F.array_position(f, True), lambda first: F.transform(f, lambda x, i: F.when(i == 0, _SENTENCES).when(x | (first == 0) | (i + 1 < first), _CLAUSES).otherwise(_TOKEN))))
+
+    return let(F.transform(tokens, kind), of_kinds)
+
+
+def _each(frame: DataFrame, column: str, body: Callable[[Column], Column]) -> DataFrame:
+    """``body`` of each item of an array column. Steps are columns of their own, as Spark resolves a few levels of nested functions in a pass and gives up at a hundred passes."""
+    return frame.withColumn(column, F.transform(column, body))
+
+
+def _folded(frame: DataFrame, column: str, most: int, level: int) -> DataFrame:
+    """``ps`` of each item of an array column, folded."""
+    return _each(frame, column, lambda x: F.struct(x["line"].alias("line"), x["tokens"].alias("tokens"), fold(x["ps"], most, level).alias("ps")))
+
+
+def _texts(books: DataFrame, most: int, parsed: bool) -> DataFrame:
+    """``books`` with ``_texts``, the texts of the spans of all lines, in the place of text. A line that fits is one span, and is not even cut into tokens."""
+    parts = F.split("text", "\n", -1)
+    frame = books.withColumn("_x", parts).drop("text")
+    frame = frame.withColumn("_x", F.transform("_x", lambda p, i: F.when(i < F.size("_x") - 1, F.concat(p, F.lit("\n"))).otherwise(p)))
+    frame = frame.withColumn("_x", F.filter("_x", lambda p: p != ""))
+    cut = lambda line: F.transform(annotate.sentences(line, tidy=True), annotate.tidy_tokens)
+    frame = _each(frame, "_x", lambda line: F.struct(line.alias("line"), F.when(F.length(line) > most, cut(line)).otherwise(F.array().cast("array<array<string>>")).alias("sentences")))
+    plain = lambda s: F.transform(s, lambda t, i: F.when(i == 0, _SENTENCES).otherwise(_TOKEN))
+    frame = _each(frame, "_x", lambda x: F.struct(x["line"].alias("line"), F.flatten(x["sentences"]).alias("tokens"), F.flatten(F.transform(x["sentences"], _clause_cuts if parsed else plain)).alias("cuts")))
+    frame = _each(frame, "_x", lambda x: F.struct(x["line"].alias("line"), x["tokens"].alias("tokens"), x["cuts"].alias("cuts"), F.transform(x["tokens"], F.length).alias("n")))
+    frame = _each(frame, "_x", lambda x: F.struct(x["line"].alias("line"), x["tokens"].alias("tokens"), pieces(x["n"], x["cuts"]).alias("ps")))
+    for level in (_CLAUSES, _SENTENCES, _LINES) if parsed else (_SENTENCES, _LINES):
+        frame = _folded(frame, "_x", most, level)
+    frame = _each(frame, "_x", lambda x: F.when(F.size(x["tokens"]) == 0, F.array(x["line"])).otherwise(joined_items(x["tokens"], x["ps"])))
+    return frame.withColumn("_texts", F.flatten("_x")).drop("_x")
+
+
+def _text_pieces(frame: DataFrame, first: int) -> DataFrame:
+    """``frame`` with ``_p``, pieces of ``_texts``, the spans of lines; ``first`` is the border before all of them."""
+    frame = frame.withColumn("_p", F.transform("_texts", lambda t, i: F.struct(F.length(t).alias("n"), _ends_open(t).alias("open"))))
+    cuts = F.transform("_p", lambda x, i: F.when(i == 0, first).when(F.get("_p", i - 1)["open"], _CLOSED).otherwise(_LINES))
+    return frame.withColumn("_cuts", cuts).withColumn("_p", pieces(F.col("_p.n"), F.col("_cuts"))).drop("_cuts")
 
-    return annotate.sentences_of(tokens, keys).select(*keys, "line_no", "sent_no", heights("heads").alias("depth"))
+
+def _cut(texts: DataFrame, rest: list[str], most: int, across: bool) -> DataFrame:
+    """A row a chunk, of whole books: ``rest``, ord, start, end, text."""
+    frame = _text_pieces(texts, _CLOSED)
+    if across:
+        frame = frame.withColumn("_p", fold(F.col("_p"), most, _CLOSED)).withColumn("_texts", joined_items(F.col("_texts"), F.col("_p")))
+    spans = F.zip_with("_p", "_texts", lambda x, t: F.struct(x["at"].cast("bigint").alias("start"), (x["end"] - F.when(_ends_open(t), 1).otherwise(0)).cast("bigint").alias("end"), t.alias("text")))
+    each = frame.select(*rest, F.posexplode(spans).alias("ord", "_s"))
+    return each.select(*rest, F.col("ord").cast("long").alias("ord"), "_s.start", "_s.end", "_s.text")
 
 
 def chunks(books: DataFrame, most: int | None = 70, parsed: bool = True, across: bool = True) -> DataFrame:
-    """A row a chunk: the columns of ``books`` but text, with ord (from 0), start, end, text. Joined in order, the texts are the book."""
+    """A row a chunk: the columns of ``books`` but text, with ord (from 0), start, end, text. Joined in order, the texts are the book.
 
-    @F.pandas_udf(_SPANS)
-    def spans(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for books_of_batch in column:
-            yield pd.Series([_spread(book_spans(lines, most, parsed, across)) for lines in books_of_batch])
+    A null or empty text has no chunks.
+    """
+    rest = [c for c in books.columns if c != "text"]
+    return _cut(_texts(books.where(F.length("text") > 0), most or ANY, parsed), rest, most or ANY, across)
 
+
+def parts_of(books: DataFrame, lines: int) -> DataFrame:
+    """``books`` in parts of so many lines: a row a part, with its number from 0."""
     rest = [c for c in books.columns if c != "text"]
-    # a book without text has no chunks; a batch of nothing but empty nested arrays would crash the Arrow conversion
-    found = books.where(F.length("text") > 0).select(*rest, spans(nested_tokens(F.col("text"))).alias("_spans"))
-    return found.select(*rest, F.posexplode("_spans").alias("ord", "_s")).select(*rest, F.col("ord").cast("long").alias("ord"), "_s.start", "_s.end", "_s.text")
+
+    def of_lines(x: Column) -> Column:
+        last = F.floor((F.size(x) - 1) / lines).cast("int")
+        # what ends a part's last line stays with it
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.concat(F.array_join(F.slice(x, k * lines + 1, F.lit(lines)), "\n"), F.when(k < last, F.lit("\n")).otherwise(F.lit(""))))
+
+    return books.select(*rest, F.posexplode(let(F.split("text", "\n", -1), of_lines)).alias("part", "text")).where("text <> ''")
+
+
+def chunks_of_parts(parts: DataFrame, keys: list[str], most: int = 70, parsed: bool = True) -> DataFrame:
+    """As ``chunks``, of books that come in parts: ``keys`` name a book, ``part`` orders its parts, and ``text`` has some whole lines."""
+    return _chunks_of_texts(_texts(parts.where(F.length("text") > 0).select(*keys, "part", "text"), most, parsed), keys, most)
+
+
+def _chunks_of_texts(texts: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Chunks of books from the spans of their lines (``_texts``), by part."""
+    parts = kept(texts.where(F.size("_texts") > 0))
+    same = lambda a, b, *more: [a[k].eqNullSafe(b[k]) for k in (*keys, *more)]
+    closed = F.lit(-1 << 40)
+    size = lambda p: F.coalesce(F.element_at(p, -1)["end"], F.lit(0)).cast("bigint")
+
+    # how long the open chunk is at the end of a part, for each length that was open before it; 0 for none
+    ends_open = _ends_open(F.element_at("_texts", -1))
+
+    def after(p: Column, opened: Column) -> Column:
+        long = size(p) - last_open(p, most, _CLOSED, F.when(opened > 0, -opened).otherwise(closed).cast("bigint"))
+        return let(long, lambda n: F.when(ends_open | (n > most), F.lit(0)).otherwise(n).cast("int"))
+
+    fixed = lambda p: F.exists(p, lambda x: x["cut"] >= _CLOSED)
+    exits = lambda p: F.when(fixed(p), F.array(after(p, F.lit(0)))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda e: after(p, e)))
+    facts = _text_pieces(parts, _LINES).select(*keys, "part", size(F.col("_p")).alias("_n"), exits(F.col("_p")).alias("_exits"))
+
+    # what each part starts with
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).cast("bigint").alias("base"), F.array().cast("array<struct<part:int,open:int,base:bigint>>").alias("out"))
+    entry = lambda acc, x: F.struct(x["part"].cast("int").alias("part"), acc["open"].alias("open"), acc["base"].alias("base"))
+    following = lambda acc, x: F.struct(F.get(x["_exits"], F.least(acc["open"], F.size(x["_exits"]) - 1)).alias("open"), (acc["base"] + x["_n"]).alias("base"), F.concat(acc["out"], F.array(entry(acc, x))).alias("out"))
+    ordered = facts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", "_n", "_exits"))).alias("_f"))
+    entries = ordered.select(*keys, F.explode(F.aggregate("_f", start, following, lambda acc: acc["out"])).alias("_e"))
+    begun = kept(entries.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_e.part").alias("_part"), F.col("_e.open").alias("_open"), F.col("_e.base").alias("_base")))
+
+    placed = parts.join(begun, [*(parts[k].eqNullSafe(begun[f"_{k}"]) for k in keys), parts["part"] == begun["_part"]]).select(*keys, "part", "_open", "_base", "_texts")
+    opened = F.when(F.col("_open") > 0, -F.col("_open")).otherwise(closed).cast("bigint")
+    spans = _text_pieces(placed, _LINES).withColumn("_s", fold(F.col("_p"), most, _CLOSED, opened)).drop("_p")
+    counts = spans.groupBy(*keys, "part").agg(F.sum(F.size("_s")).alias("_c"))
+    before = counts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("part").alias("_part"), F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+
+    # a chunk that began in an earlier part is known by where it began; only such pieces and each part's last chunk are put together
+    first = F.coalesce(F.get("_s", F.lit(0))["i"], F.size("_texts"))
+    head = F.struct((F.col("_base") - F.col("_open")).alias("start"), F.array_join(F.slice("_texts", F.lit(1), first), "").alias("text"), F.lit(-1).cast("bigint").alias("ord"), F.lit(True).alias("edge"))
+    spans = spans.withColumn("_own", joined_items(F.col("_texts"), F.col("_s")))
+    own = F.zip_with("_s", "_own", lambda x, t: F.struct((F.col("_base") + x["at"]).alias("start"), t.alias("text")))
+    own = F.transform(own, lambda x, i: F.struct(x["start"].alias("start"), x["text"].alias("text"), (i + F.col("_first")).cast("bigint").alias("ord"), (i == F.size("_s") - 1).alias("edge")))
+    numbered = spans.join(before, [*(spans[k].eqNullSafe(before[f"_{k}"]) for k in keys), spans["part"] == before["_part"]])
+    each = numbered.select(*keys, "part", F.explode(F.concat(F.when(first > 0, F.array(head)).otherwise(F.array()), own)).alias("_c")).select(*keys, "part", "_c.*")
+    edges = each.where("edge").groupBy(*keys, "start").agg(F.max("ord").alias("ord"), F.array_sort(F.collect_list(F.struct("part", "text"))).alias("_t"))
+    edges = edges.select(*keys, "ord", "start", F.array_join("_t.text", "").alias("text"))
+    every = each.where("not edge").select(*keys, "ord", "start", "text").unionByName(edges)
+    return every.select(*keys, "ord", "start", (F.col("start") + F.length("text") - F.when(_ends_open(F.col("text")), 1).otherwise(0)).alias("end"), "text")
+
+
+def chunks_of_tokens(tokens: DataFrame, keys: list[str], most: int | None = 70, across: bool = True) -> DataFrame:
+    """As ``chunks``, of a table of tokens with their heads (see ``annotate``). Sentences are put together by parts of ``PART_LINES`` lines."""
+
+    @F.arrow_udf("array<int>")
+    def begins(lengths: pa.Array, heads: pa.Array) -> pa.Array:
+        return trees.begins_of(lengths, heads, most)
+
+    sentences = annotate.sentences_of(tokens, keys)
+    found = sentences.withColumn("_b", begins(F.transform("tokens", F.length), F.col("heads")))
+    place = F.transform("_b", lambda i: F.struct(i.alias("i"), F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit(0).alias("cut"))).cast(PIECES)
+    found = found.select(*keys, "line_no", "sent_no", joined_items(F.col("tokens"), place).alias("_t"))
+    in_parts = bool(most) and across
+    part = F.floor(F.col("line_no") / PART_LINES).cast("int") if in_parts else F.lit(0)
+    gathered = found.groupBy(*keys, part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("line_no", "sent_no", "_t"))).alias("_s"))
+
+    new = lambda i: F.coalesce(F.get("_s", i - 1)["line_no"] != F.get("_s", i)["line_no"], F.lit(True))
+    gathered = gathered.withColumn("_cuts", F.flatten(F.transform("_s", lambda x, i: F.transform(x["_t"], lambda t, j: F.when((j == 0) & new(i), _LINES).otherwise(_TOKEN)))))
+    gathered = gathered.withColumn("_items", F.flatten("_s._t")).withColumn("_n", F.transform("_items", F.length))
+    gathered = gathered.withColumn("_p", pieces(F.col("_n"), F.col("_cuts"))).withColumn("_p", fold(F.col("_p"), most or ANY, _LINES))
+    texts = gathered.select(*keys, "part", joined_items(F.col("_items"), F.col("_p")).alias("_texts"))
+    return _chunks_of_texts(texts, keys, most) if in_parts else _cut(texts, keys, most or ANY, across)
+
+
+def depths_of_tokens(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """A row a sentence of a table of tokens with their heads: keys, line_no, sent_no, depth."""
+
+    @F.arrow_udf("int")
+    def heights(heads: pa.Array) -> pa.Array:
+        return trees.heights_of(heads)
+
+    return annotate.sentences_of(tokens, keys).select(*keys, "line_no", "sent_no", heights("heads").alias("depth"))
 
 
 def line_offsets(lines_with_ends: DataFrame, *book: str) -> DataFrame:
     """The first character of each line in its book: the sum of the lines before it."""
-    from pyspark.sql import Window
-
     before = Window.partitionBy(*book).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     return lines_with_ends.withColumn("start", F.coalesce(F.sum(F.length("line")).over(before), F.lit(0)).cast("long"))
 
 
 def clause_depth(tokens: Column) -> Column:
-    """The height of the tree that ``clause_heads`` stands for, from the kinds of a sentence's tokens: marks of clauses (m), tokens with a letter or digit (a), others (x).
+    """The height of the rule's tree, from the kinds of a sentence's tokens: marks of clauses (m), tokens with a letter or digit (a), others (x).
 
-    A clause behind a mark after the root has a height of its own if it has more than its first token.
+    A clause behind a mark after the root (the first a, or else the first token) has a height of its own if it has more than its first token.
     """
-    kind = lambda t: F.when(t.rlike(rf"^[,;:()\[\]] ?$"), "m").when(t.rlike(r"[\p{L}\p{N}]"), "a").otherwise("x")
+    kind = lambda t: F.when(t.rlike(r"^[,;:()\[\]] ?$"), "m").when(t.rlike(r"[\p{L}\p{N}]"), "a").otherwise("x")
     kinds = F.array_join(F.transform(tokens, kind), "")
-    return F.when(kinds.rlike("^[mx]*a.*m[ax].|^[mx][mx]*m[x][mx][mx]*$"), 3).when(F.size(tokens) > 1, 2).otherwise(F.size(tokens))
+    behind = F.call_function("substring", kinds, F.greatest(F.instr(kinds, "a"), F.lit(1)) + 1)
+    return F.when(behind.rlike("m[ax]."), 3).when(F.size(tokens) > 1, 2).otherwise(F.size(tokens))
 
 
 def depths(lines: DataFrame) -> DataFrame:

@@ -197,10 +197,15 @@ def _filled(template: str):
 _IS_WORD = _filled("not regexp_matches(@, " + _q(rf"^(?:\p{{P}}+|{annotate.DIGITS}|[{f.BLANK}]*) ?$") + ")")
 _IS_DIGIT = _filled("regexp_matches(@, " + _q(rf"^{annotate.DIGITS} ?$") + ")")
 _IS_PUNCT = _filled("regexp_matches(@, " + _q(r"^\p{P}+ ?$") + ")")
-_SENTENCES = _filled("regexp_extract_all(@, " + _q(annotate.SENTENCE) + ")")
-_TOKENS = _filled("regexp_extract_all(@, " + _q(annotate.TOKEN) + ")")
-_TIDY_SENTENCES = _filled("regexp_extract_all(@, " + _q(annotate.TIDY_SENTENCE) + ")")
-_TIDY_TOKENS = _filled("regexp_extract_all(@, " + _q(annotate.TIDY_TOKEN) + ")")
+# DuckDB's patterns know no possessive repeats and no looking ahead, and need none
+_SENTENCE_END = rf"{annotate.MARK}{annotate.CLOSING}*[{f.BLANK}]+"
+_WORD = r"[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*"
+_MARKS = r"(?:\p{P} ?)*"
+_extracted = lambda pattern: _filled("regexp_extract_all(@, " + _q(pattern) + ")")
+_SENTENCES = _extracted(rf"(?s).*?{_SENTENCE_END}|.+\z")
+_TOKENS = _extracted(rf"(?:{_WORD}|[^{f.BLANK}\p{{L}}\p{{M}}\p{{N}}]) ?|[{f.BLANK}]+")
+_TIDY_SENTENCES = _extracted(rf"(?s).*?{_SENTENCE_END}{_MARKS}|.+\z")
+_TIDY_TOKENS = _extracted(rf"(?:(?:{_WORD}|[^{f.BLANK}\p{{L}}\p{{M}}\p{{N}}\p{{P}}]) ?|[{f.BLANK}]+){_MARKS}|\p{{P}} ?")
 
 
 def _lines_sql(source: str, name: str) -> str:

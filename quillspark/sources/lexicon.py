@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import numbered
+
 
 def read_known_words(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
     """word: the second column of every row, without repeats; rows of one column have none."""
@@ -22,8 +22,8 @@ def read_frequencies(spark: SparkSession, path: str, skip_rows: int = 2) -> Data
     rows = spark.read.schema("lemma string, word string").csv(path).withColumn("at", F.monotonically_increasing_id())
     rows = rows.withColumns({"part": F.shiftright("at", 33), "inside": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))})
     starts = rows.groupBy("part").agg((F.max("inside") + 1).alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    numbered = rows.join(starts, "part").select("word", (F.col("start") + F.col("inside")).alias("rank"))
-    return last_rank(numbered.where(F.col("rank") >= skip_rows))
+    placed = rows.join(starts, "part").select("word", (F.col("start") + F.col("inside")).alias("rank"))
+    return last_rank(placed.where(F.col("rank") >= skip_rows))
 
 
 def last_rank(ranked: DataFrame) -> DataFrame:
@@ -31,17 +31,6 @@ def last_rank(ranked: DataFrame) -> DataFrame:
 
 
 def rank_words(counts: DataFrame, skip_rows: int = 2) -> DataFrame:
-    """word, rank from word, n: the most frequent word first, ties by word; numbers begin at ``skip_rows``.
-
-    Range partitions by (n, word) keep the order, and rows are numbered in them; one row a partition is in the window over all.
-    They are checkpointed, as limits that were drawn again for a lost executor could differ.
-    """
-    context = counts.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
-    dealt = counts.repartitionByRange(F.desc("n"), "word").withColumn("part", F.spark_partition_id()).checkpoint()
-    starts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("c")).select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("part").orderBy(F.desc("n"), "word")
-    return dealt.withColumn("i", F.row_number().over(inside)).join(starts, "part").select("word", (F.col("start") + F.col("i") + skip_rows - 1).cast("long").alias("rank"))
+    """word, rank from word, n: the most frequent word first, ties by word; numbers begin at ``skip_rows``."""
+    ordered = numbered(counts.select("word", (-F.col("n")).alias("down")), ["down", "word"])
+    return ordered.select("word", (F.col("number") + skip_rows).cast("long").alias("rank"))
