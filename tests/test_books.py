@@ -229,8 +229,26 @@ def test_anki_package(spark, tmp_path):
     db = sqlite3.connect(tmp_path / "collection.anki2")
     assert [r[0].split("\x1f")[4:7] for r in db.execute("select flds from notes order by id")] == [["", "x", "y"], ["x", "y", ""], ["", "z", ""]]
     assert db.execute("select count(distinct did) from cards").fetchone() == (2,) and "a&lt;" in db.execute("select decks from col").fetchone()[0]
+    (tmp_path / "d.apkg").mkdir()
     with pytest.raises(IsADirectoryError):
-        anki.write_anki(df, str(tmp_path))
+        anki.write_anki(df, str(tmp_path / "d.apkg"))
+    many = card_rows(spark, *((a, "t", i, i, i + 1, f"x{i}") for a in ("a", "b/c") for i in range(25)))
+    assert anki.write_anki(many, str(tmp_path / "decks"), most=10) == anki.write_anki(many, str(tmp_path / "all.apkg"), most=30) == 50
+    assert sorted(x.name for x in (tmp_path / "decks").iterdir()) == sorted(f"books::{a}::t{n}.apkg" for a in ("a", "b_c") for n in ("", "-2", "-3"))
+    found = []
+    for name in ("all.apkg", "all-2.apkg"):
+        zipfile.ZipFile(tmp_path / name).extract("collection.anki2", tmp_path)
+        found += sqlite3.connect(tmp_path / "collection.anki2").execute("select flds, guid from notes order by id").fetchall()
+    assert [x[0].split("\x1f")[5] for x in found] == [f"x{i}" for i in range(25)] * 2 and len({x[1] for x in found}) == 50
+
+
+def test_guid_of_packages():
+    digest = "00000000000000ff" + "0" * 48
+    assert anki.base91(digest) == "c." and anki.base91("ffffffffffffffff") != anki.base91("fffffffffffffffe") and len(set(anki.DIGITS)) == 91
+    value = 0
+    for c in anki.base91("fedcba9876543210"):
+        value = value * 91 + anki.DIGITS.index(c)
+    assert value == 0xFEDCBA9876543210
 
 
 def test_pipeline_and_side_by_side(spark, tmp_path):
