@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .operators import annotate
 from .operators.metrics import complexity
+from .operators.translate import Limits
 from .plans.pipeline import Pipeline
 from .sinks import jsonl
 from .sources.books import lines_of, read_books
@@ -29,7 +30,7 @@ STEPS = {
     "skip-first-line-if-author": ([], {}),
     "remove-title-crap-after": ([], {"--sep": str}),
     "pipeline": ([], {"--maxfieldlen": int, "--model": str}),
-    "translate": ([], {"--lang": str, "--translator": str, "--key": str}),
+    "translate": ([], {"--lang": str, "--translator": str, "--key": str, "--store": str, "--characters": int}),
     "dummy-translate": ([], {}),
     "to-jsonl": (["path"], {"--trim": str}),
     "to-anki": (["path"], {"--fontsize": int}),
@@ -66,7 +67,7 @@ def flashcards(spark: SparkSession, words: list[str]) -> None:
         given = vars(args)
         places = [given.pop(p) for p in STEPS[name][0]]
         if name == "translate":
-            places, given = [translator(given["translator"], given.get("key")), given["lang"]], {}
+            places, given = [translator(given["translator"], given.get("key")), given["lang"], given.get("store"), Limits(characters=given.get("characters"))], {}
         chain = getattr(chain, name.replace("-", "_"))(*places, **given)
 
 
@@ -74,7 +75,7 @@ def profile(spark: SparkSession, words: list[str]) -> None:
     parser = argparse.ArgumentParser(prog="complexity")
     parser.add_argument("input")
     parser.add_argument("--lang", default="")
-    parser.add_argument("--pipeline", help="a spaCy model, whose tokens, sentences and trees then take the place of the rule's")
+    parser.add_argument("--pipeline", help="an annotator (rule, table:PATH, spacy:MODEL or just a MODEL), whose tokens, sentences and trees then take the place of the rule's")
     parser.add_argument("--knownmorphs")
     parser.add_argument("--frequencycsv")
     parser.add_argument("--outputfilename")
@@ -83,7 +84,7 @@ def profile(spark: SparkSession, words: list[str]) -> None:
     known = read_known_words(spark, args.knownmorphs) if args.knownmorphs else None
     frequencies = read_frequencies(spark, args.frequencycsv) if args.frequencycsv else None
     lines = lines_of(books)
-    tokens = annotate.spacy_tokens(lines, args.pipeline) if args.pipeline else None
+    tokens = annotate.annotator(args.pipeline)(lines, False) if args.pipeline else None
     rows = complexity(books, lines, ["title", "author"], known, frequencies, tokens=tokens).select(F.lit(args.lang).alias("lang"), "*").orderBy("author", "title")
     if args.outputfilename:
         jsonl.append_rows(rows, args.outputfilename)

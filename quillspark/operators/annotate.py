@@ -13,13 +13,15 @@ was annotated before, or spaCy, where it is installed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANK
 
+Annotate = Callable[[DataFrame, bool], DataFrame]
+
 MARK, CLOSING = r"[.!?…]", r"[.!?…)»”\x22]"
 DIGITS = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]+"
 # Repeated groups are possessive: Java takes those in a loop, where it would recurse once a repeat. None has to give back what it took.
@@ -96,16 +98,45 @@ def sentences_of(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return each.select(*keys, "line_no", "sent_no", checked.alias("_t")).select(*keys, "line_no", "sent_no", F.col("_t.token").alias("tokens"), F.col("_t.head").alias("heads"))
 
 
-def spacy_tokens(lines: DataFrame, model: str, tidy: bool = False) -> DataFrame:
-    """A table of tokens by a spaCy pipeline, with heads; the model is loaded once a task. ``tidy`` as above; a joined token has the head of its first part outside of itself."""
+def rule_tokens(lines: DataFrame, tidy: bool = False) -> DataFrame:
+    """A table of tokens by the rule, with the heads that it stands for."""
+    from .chunking import clause_heads
+
+    rest = [c for c in lines.columns if c != "line"]
+    cut = tidy_tokens if tidy else tokens
+    each = lines.select(*rest, F.posexplode(sentences(F.col("line"), tidy)).alias("sent_no", "_s")).withColumn("_t", cut(F.col("_s")))
+    each = each.select(*rest, "sent_no", "_t", clause_heads(F.col("_t")).alias("_h"))
+    return each.select(*rest, "sent_no", F.posexplode(F.arrays_zip(F.col("_t").alias("token"), F.col("_h").alias("head"))).alias("i", "_x")).select(*rest, "sent_no", "i", "_x.token", "_x.head")
+
+
+def table_tokens(path: str) -> Annotate:
+    """Tokens of a table that was annotated before: those of the lines that are asked for, by all their columns but line."""
+
+    def run(lines: DataFrame, tidy: bool = False) -> DataFrame:
+        names = [c for c in lines.columns if c != "line"]
+        table = lines.sparkSession.read.parquet(path)
+        missing = {*names, *TOKEN_COLUMNS} - set(table.columns)
+        if missing:
+            raise ValueError(f"{path} has no columns {sorted(missing)}")
+        keys = lines.select(*(F.col(c).alias(f"_{c}") for c in names)).distinct()
+        same = [table[c].eqNullSafe(keys[f"_{c}"]) for c in names]
+        return table.join(keys, same, "left_semi").select(*names, *(c for c in TOKEN_COLUMNS if c not in names))
+
+    return run
+
+
+def model_tokens(lines: DataFrame, load: Callable[[], object], tidy: bool = False) -> DataFrame:
+    """A table of tokens by a model as spaCy's are (``load()`` has ``pipe``; texts have ``sents`` and ``retokenize``), with heads; it is loaded once a task.
+
+    ``tidy`` as above; a joined token has the head of its first part outside of itself.
+    """
     rest = [c for c in lines.columns if c != "line"]
     kinds = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in rest)
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
-        import spacy
 
-        nlp = spacy.load(model, exclude=["lemmatizer", "ner", "attribute_ruler"])
+        nlp = load()
         for batch in batches:
             rows = []
             for keys, doc in zip(batch[rest].itertuples(index=False), nlp.pipe(batch["line"]), strict=True):
@@ -126,6 +157,26 @@ def spacy_tokens(lines: DataFrame, model: str, tidy: bool = False) -> DataFrame:
     return lines.mapInPandas(run, f"{kinds}, sent_no int, i int, token string, head int")
 
 
+def spacy_tokens(model: str) -> Annotate:
+    def load() -> object:
+        import spacy
+
+        return spacy.load(model, exclude=["lemmatizer", "ner", "attribute_ruler"])
+
+    return lambda lines, tidy=False: model_tokens(lines, load, tidy)
+
+
+#: What makes an annotator, by the name before the colon, from what is behind it. An annotator takes lines (keys, line_no, line) and
+#: whether tokens are tidy, and gives a table of tokens: the same keys and ``TOKEN_COLUMNS``, lossless, a tree a sentence.
+ANNOTATORS: dict[str, Callable[[str], Annotate]] = {"rule": lambda _: rule_tokens, "table": table_tokens, "spacy": spacy_tokens}
+
+
+def annotator(name: str) -> Annotate:
+    """``rule``, ``table:PATH``, ``spacy:MODEL``, any other that was added to ``ANNOTATORS``, or just the name of a spaCy model."""
+    kind, _, what = name.partition(":")
+    return ANNOTATORS[kind](what) if kind in ANNOTATORS else spacy_tokens(name)
+
+
 def tidy(line_tokens: Column) -> Column:
     """Each token that is no punctuation takes the run of punctuation right behind it; leading punctuation stays alone.
 

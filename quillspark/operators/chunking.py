@@ -38,11 +38,11 @@ def _ends_open(text: Column) -> Column:
     return text.rlike(rf"[^{BLANK}] \z")
 
 
-def _clause_cuts(tokens: Column) -> Column:
-    """The border before each token of a sentence, by the rule.
+def _with_clauses(tokens: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the place of a sentence's root and, for each token, whether it begins a clause, by the rule.
 
     The first token with a letter or digit is the root. Behind a mark of a clause that comes after the root (or in the punctuation at the
-    root's end) the next token that is no mark alone begins a clause. Tokens before the first of these clauses hang on the root each.
+    root's end) the next token that is no mark alone begins a clause.
     """
     ends = rf"[{_CLAUSE}]\p{{P}}* *\z"
 
@@ -57,12 +57,31 @@ def _clause_cuts(tokens: Column) -> Column:
             before = F.get(kinds, i - 1)
             return F.coalesce((i > root) & (k != "m") & ((before == "C") | (before.isin("m", "c") & (i - 1 > root))), F.lit(False))
 
-        flags = let(root, lambda r: F.transform(kinds, lambda k, i: begins(k, i, r)))
-        return let(flags, lambda f: let(F.array_position(f, True), lambda first: F.transform(f, lambda x, i: F.when(i == 0, _SENTENCES).when(x | (first == 0) | (i + 1 < first), _CLAUSES).otherwise(_TOKEN))))
+        return let(root, lambda r: let(F.transform(kinds, lambda k, i: begins(k, i, r)), lambda flags: body(r, flags)))
 
     return let(F.transform(tokens, kind), of_kinds)
 
 
+def _clause_cuts(tokens: Column) -> Column:
+    """The border before each token of a sentence, by the rule. Tokens before the first clause behind a mark hang on the root each."""
+
+    def cuts(root: Column, flags: Column) -> Column:
+        return let(F.array_position(flags, True), lambda first: F.transform(flags, lambda x, i: F.when(i == 0, _SENTENCES).when(x | (first == 0) | (i + 1 < first), _CLAUSES).otherwise(_TOKEN)))
+
+    return _with_clauses(tokens, cuts)
+
+
+def clause_heads(tokens: Column) -> Column:
+    """The place of each token's head, by the rule: clauses hang on the root, other tokens on the first of their clause."""
+
+    def heads(root: Column, flags: Column) -> Column:
+        begun = F.filter(F.transform(flags, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+        last = lambda b, i: F.coalesce(F.array_max(F.filter(b, lambda x: x <= i)), root)
+        return let(begun, lambda b: F.transform(flags, lambda x, i: F.when(x, root).otherwise(last(b, i))))
+
+    return _with_clauses(tokens, heads)
+
+
 def _each(frame: DataFrame, column: str, body: Callable[[Column], Column]) -> DataFrame:
     """``body`` of each item of an array column. Steps are columns of their own, as Spark resolves a few levels of nested functions in a pass and gives up at a hundred passes."""
     return frame.withColumn(column, F.transform(column, body))

@@ -13,6 +13,7 @@ from ..operators import translate as t
 from ..sinks import anki, html, jsonl
 from ..sources.books import lines_of, read_books
 from ..sources.cards import read_cards
+from ..storage import kept
 
 
 class Pipeline:
@@ -45,12 +46,12 @@ class Pipeline:
         return self._with(self.frame.transform(step))
 
     def pipeline(self, maxfieldlen: int = 70, parsed: bool = True, model: str | None = None) -> Pipeline:
-        """Cards of books. ``model`` names a spaCy pipeline, whose parse then takes the place of the rule's."""
+        """Cards of books. ``model`` names an annotator (see ``annotate.annotator``), whose parse then takes the place of the rule's."""
         if maxfieldlen < 30:
             raise ValueError("maxfieldlen must be at least 30")
         if model:
             lines = lines_of(self.frame.select("author", "title", "text"), keep_ends=True)
-            return self._with(c.cards_of_tokens(annotate.spacy_tokens(lines, model, tidy=True), maxfieldlen))
+            return self._with(c.cards_of_tokens(annotate.annotator(model)(lines, True), maxfieldlen))
         return self._with(c.cards_of(self.frame, maxfieldlen, parsed))
 
     def observed(self, name: str, *metrics: Column) -> Pipeline:
@@ -66,15 +67,16 @@ class Pipeline:
     def dummy_translate(self) -> Pipeline:
         return self._with(t.dummy_translate(self.frame))
 
-    def translate(self, make_translator: Callable[[], object], lang: str) -> Pipeline:
-        """Translations are kept at once, so that a sink that reads them twice, or fails, does not ask for them again."""
-        return self._with(t.translate(self.frame, make_translator, lang).persist().drop("error"))
+    def translate(self, make_translator: Callable[[], object], lang: str, store: str | None = None, limits: t.Limits | None = None) -> Pipeline:
+        """Asks at once, and once, whatever sinks follow. With ``store``, a folder, every batch is kept there as soon as it is translated, and later runs ask for the rest only."""
+        found = t.translate_into(store, self.frame, make_translator, lang, limits) if store else kept(t.translate(self.frame, make_translator, lang, limits=limits))
+        return self._with(found.drop("error"))
 
-    def to_jsonl(self, path: str, layout: str = "auto", trim: str = "") -> None:
-        jsonl.write_cards(self.frame, path, layout, trim)
+    def to_jsonl(self, path: str, layout: str = "auto", trim: str = "", tell: Callable[[int], None] | None = None) -> None:
+        jsonl.write_cards(self.frame, path, layout, trim, tell)
 
-    def to_anki(self, path: str, structure: bool = True, fontsize: int = 30) -> int:
-        return anki.write_anki(self.frame, path, structure, fontsize)
+    def to_anki(self, path: str, structure: bool = True, fontsize: int = 30, tell: Callable[[int], None] | None = None) -> int:
+        return anki.write_anki(self.frame, path, structure, fontsize, tell=tell)
 
     def to_sidebyside(self, path: str, fontsize: int = 30) -> None:
         html.write_side_by_side(self.frame, path, fontsize)

@@ -114,6 +114,18 @@ def chunk_text(spark, sf_dir):
     return chunking.chunks(_books(spark, sf_dir), MOST, parsed=False)
 
 
+def chunk_text_in_parts(spark, sf_dir):
+    """As ``tree_chunks``, of books that come in parts of a few lines each, which are folded apart."""
+    parts = chunking.parts_of(_books(spark, sf_dir), 5)
+    return chunking.chunks_of_parts(parts, ["author", "title", "lang"], MOST)
+
+
+def chunk_annotated(spark, sf_dir):
+    """As ``tree_chunks``, of the rule's own table of tokens with heads, along whose trees the kernel joins."""
+    lines = b.lines_of(_books(spark, sf_dir), keep_ends=True)
+    return chunking.chunks_of_tokens(annotate.annotator("rule")(lines, True), ["author", "title", "lang"], MOST)
+
+
 def tree_chunks(spark, sf_dir):
     return chunking.chunks(_books(spark, sf_dir), MOST)
 
@@ -308,6 +320,8 @@ ORACLE_SQL: dict[str, str] = {
     "chunk_lines": _SPANS + " select author, title, lang, ord, start, \"end\", text from spans",
     "chunk_text": _SPANS + _ACROSS + " select * from chunks",
     "tree_chunks": _TREE_SPANS + _ACROSS + " select * from chunks",
+    "chunk_text_in_parts": _TREE_SPANS + _ACROSS + " select * from chunks",
+    "chunk_annotated": _TREE_SPANS + _ACROSS + " select * from chunks",
     "cards_from_books": _TREE_SPANS + _ACROSS + ' select author, title, ord, start, "end", text, \'\' as translation from chunks',
     "grammar_depth": f"with {_DOCS}, k as (select title, author, lang, {_KINDS(_TOKENS('sentence'))} as kinds from d_sentences) select title, author, lang, sum({_DEPTH('kinds')})::bigint as grammar_depth from k group by all",
     "complexity_full": f"""with {_DOCS}, {_KNOWN}, {_RANKS}, {_LEVELS},
@@ -346,6 +360,6 @@ select title, author, lang, line_no, i, array_to_string(tokens[starts[i + 1]:coa
 QUERIES = {
     name: globals()[name]
     for name in (
-        "token_counts", "complexity_by_document", "complexity_by_author", "complexity_by_lang", "complexity_full", "words_known", "frequency_ranks", "vocab_histogram", "vocab_level", "vocab_level_strict", "grammar_depth", "tidy_punctuation", "line_offsets", "chunk_lines", "chunk_text", "tree_chunks", "cards_from_books", "cards_prev_next", "cards_skip_author_line", "title_trim", "deck_ids", "note_fields_escaped", "note_guid", "card_notes", "dummy_translate", "translate_missing_only", "translate_in_batches", "cards_as_json", "side_by_side_html", "union_books"
+        "token_counts", "complexity_by_document", "complexity_by_author", "complexity_by_lang", "complexity_full", "words_known", "frequency_ranks", "vocab_histogram", "vocab_level", "vocab_level_strict", "grammar_depth", "tidy_punctuation", "line_offsets", "chunk_lines", "chunk_text", "tree_chunks", "chunk_text_in_parts", "chunk_annotated", "cards_from_books", "cards_prev_next", "cards_skip_author_line", "title_trim", "deck_ids", "note_fields_escaped", "note_guid", "card_notes", "dummy_translate", "translate_missing_only", "translate_in_batches", "cards_as_json", "side_by_side_html", "union_books"
     )
 }

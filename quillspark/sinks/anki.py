@@ -8,14 +8,14 @@ import json
 import sqlite3
 import string
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.cards import notes, with_context
-from ..storage import folder_url, is_folder, numbered, write_file
+from ..storage import folder_url, is_folder, numbered, progress, write_file
 
 #: Notes of one package.
 MOST_NOTES = 50_000
@@ -79,12 +79,12 @@ def package(rows: Iterable[tuple], font_size: int) -> bytes:
 _COLUMNS = ("deck_id", "deck_name", "guid", "author", "title", "start", "end", "prev", "text", "next", "translation")
 
 
-def write_anki(cards: DataFrame, path: str, structure: bool = True, font_size: int = 30, most: int = MOST_NOTES) -> int:
+def write_anki(cards: DataFrame, path: str, structure: bool = True, font_size: int = 30, most: int = MOST_NOTES, tell: Callable[[int], None] | None = None) -> int:
     """Packages of all cards, a deck a book, written by tasks, and the number of notes.
 
     A path that ends in ``.apkg`` is one file with all decks; with more than ``most`` notes, others follow it (name-2.apkg, ...), in the order
     of decks and cards. Any other path is a folder with a package for each deck, or several for a large one. No note passes through the
-    driver. A task has one package at a time in memory; it writes a package under a draft name, so a task that runs again leaves the same files.
+    driver. ``tell`` hears how many packages are finished. A task has one package at a time in memory; it writes a package under a draft name, so a task that runs again leaves the same files.
     """
     spark = cards.sparkSession
     single = path.endswith(".apkg")
@@ -101,6 +101,7 @@ def write_anki(cards: DataFrame, path: str, structure: bool = True, font_size: i
         def finish() -> int:
             name = stem or now[0].translate({ord("/"): "_", 0: "_"})
             write_file(root, f"{name}-{now[1] + 1}.apkg" if now[1] else f"{name}.apkg", package(rows, font_size))
+            finished()
             return len(rows)
 
         for batch in batches:
@@ -115,7 +116,8 @@ def write_anki(cards: DataFrame, path: str, structure: bool = True, font_size: i
         yield pa.RecordBatch.from_pydict({"n": pa.array([total], pa.int64())})
 
     together = placed.repartition("_package", "_shard").sortWithinPartitions("_package", "_shard", "number")
-    n = together.select("_package", "_shard", *_COLUMNS).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    with progress(spark, tell) as finished:
+        n = together.select("_package", "_shard", *_COLUMNS).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not n and single:
         write_file(root, f"{stem}.apkg", package([], font_size))
     return n

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import accumulate
 
 import pyarrow as pa
@@ -165,11 +167,42 @@ def _join_parts(spark: SparkSession, system, folder: str, names: list[str], draf
         out.close()
 
 
-def write_books(rows: DataFrame, folder: str, suffix: str) -> int:
+@contextmanager
+def progress(spark: SparkSession, tell: Callable[[int], None] | None) -> Iterator[Callable[[], None]]:
+    """What tasks call for each thing (a book, a package) that they have finished. ``tell`` hears the number while the job runs, as tasks end, and at the end.
+
+    A task that runs again counts again, so the number is for people to look at.
+    """
+    if not tell:
+        yield lambda: None
+        return
+    done, over = spark.sparkContext.accumulator(0), threading.Event()
+    told = [0]
+
+    def look() -> None:
+        if done.value > told[0]:
+            told[0] = done.value
+            tell(told[0])
+
+    def watch() -> None:
+        while not over.wait(0.2):
+            look()
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        yield lambda: done.add(1)
+    finally:
+        over.set()
+        watcher.join()
+        look()
+
+
+def write_books(rows: DataFrame, folder: str, suffix: str, tell: Callable[[int], None] | None = None) -> int:
     """A file <author>/<title><suffix> for each book of ``rows`` (author, title, ord, value), and how many there are. Other files stay.
 
     A book is written by one task as a stream, under a draft name until it is whole, so a task that runs again leaves the same files.
-    Null names are empty ones; names that fall together ('/' becomes '_') share a file.
+    Null names are empty ones; names that fall together ('/' becomes '_') share a file. ``tell`` hears how many are finished (``progress``).
     """
     spark = rows.sparkSession
     root = folder_url(spark, folder)
@@ -187,6 +220,7 @@ def write_books(rows: DataFrame, folder: str, suffix: str) -> int:
         def finish() -> None:
             out.close()
             system.move(draft(now), f"{base}/{now[0]}/{now[1]}{suffix}")
+            finished()
 
         mark = uuid.uuid4().hex
 
@@ -212,4 +246,5 @@ def write_books(rows: DataFrame, folder: str, suffix: str) -> int:
             raise
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    return sorted_.select("_folder", "_file", "value").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    with progress(spark, tell) as finished:
+        return sorted_.select("_folder", "_file", "value").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

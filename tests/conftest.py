@@ -1,10 +1,13 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path[:0] = [str(Path(__file__).parents[1]), str(Path(__file__).parent)]
+sys.path[:0] = HERE = [str(Path(__file__).parents[1]), str(Path(__file__).parent)]
+# workers import from here too: stand-ins of tests are found by name
+os.environ["PYTHONPATH"] = os.pathsep.join([*HERE, os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")
