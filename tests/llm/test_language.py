@@ -99,3 +99,47 @@ def test_long_words_are_scored_whole():
             arcs = [(start, model.ids.get(string[start:end], len(pieces) if end - start == 1 else None)) for start in range(max(0, end - 3), end)]
             want.append([np.logaddexp.reduce([want[start][j] + np.log(model.p[i, j]) for start, i in arcs if i is not None]) for j in range(2)])
         assert np.allclose(language.Scorer(model).log_likelihoods([word])[0], want[-1])
+
+
+def test_whole_texts_against_a_plain_scorer(spark):
+    """lang_pred and score of whole documents, by adding up every segmentation of every word in every language."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text")
+    made = [(-1, None, None), (-2, "xx", ""), (-3, None, "123 !?"), (-4, None, "é"), (-5, None, "one word " * 3)]
+    docs = docs.unionByName(spark.createDataFrame(made, docs.schema))
+    model = language.learn(docs)
+    got = {r.in_doc_id: (r.lang_pred, r.score) for r in language.predict(docs, model).collect()}
+    unknown, known = len(model.p) - 1, {}
+
+    def sums(word):
+        """Over all segmentations, one prefix after the other."""
+        if word not in known:
+            total = [np.ones(len(model.languages))]
+            for end in range(1, len(word) + 1):
+                here = np.zeros(len(model.languages))
+                for start in range(max(0, end - model.longest), end):
+                    piece = model.ids.get(word[start:end], unknown if end == start + 1 else None)
+                    if piece is not None:
+                        here = here + total[start] * model.p[piece]
+                total.append(here)
+            known[word] = np.log(total[-1])
+        return known[word]
+
+    for r in docs.collect():
+        text = r.text or ""
+        if not any(c.isalpha() for c in text):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        logs = sum((sums(f"^{w}") for w in words), np.zeros(len(model.languages)))
+        best = int(logs.argmax())
+        assert got[r.doc_id][0] == model.languages[best] and abs(got[r.doc_id][1] - 1 / np.exp(logs - logs[best]).sum()) < 1e-9
+
+
+def test_ties_and_clashing_columns(spark):
+    """Equal likelihoods go to the first language by code point; other columns change nothing."""
+    rows = [(i, lang, "same words here") for i in range(40) for lang in ("b", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = language.identify(docs).collect()
+    assert {r.lang_pred for r in got} == {"a"} and all(abs(r.score - 0.5) < 1e-6 for r in got)
+    more = docs.selectExpr("*", "'z' as n", "'z' as word", "'z' as lang_pred", "'z' as score", "'z' as _text", "'z' as held_out")
+    assert sorted(map(tuple, language.identify(more).collect())) == sorted(map(tuple, got))

@@ -62,3 +62,47 @@ def test_packing_holds_every_document_once(steps):
     for r in rows:
         used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
     assert max(used.values()) <= 2048
+
+
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHES = ("row", "chunk", "tie", "_take", "lang_pred", "spans", "key", "_text", "in_text", "score", "kept_row", "component_id")
+
+
+def hard_rows():
+    prose = "the old house stands by the river and nobody knows who built it or why it was left so long ago "
+    texts = [None, "", "   ", "12 34", "word", prose * 3, prose * 3, prose * 3 + "again", f"password = hunter2hunter2 {prose}", prose * 4000, "été " * 20, "x" * 300_000]
+    rows = [(i, t, "en" if i % 3 else None, ("web", None, "book")[i % 3], len(t or "")) for i, t in enumerate(texts)]
+    return rows + rows[5:7] + [(None, "no id at all, but some words of prose", None, None, None)] * 2 + [(None, None, None, None, None)]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_nulls_repeats_long_texts_and_clashing_columns(spark, stage):
+    rows = hard_rows()
+    docs = spark.createDataFrame(rows, SHAPE)
+    name, step = corpus_pipeline.STAGES[stage]
+    plain = step(spark, docs, SF)
+    clash = step(spark, docs.withColumns({c: F.lit("z") for c in CLASHES}), SF)
+    if stage == 4:
+        ends = plain.groupBy("doc_id", "row").agg(F.sum("length").alias("n")).collect()
+        assert len(ends) == len(rows) == clash.select("row").distinct().count() and plain.agg(F.max("length")).first()[0] == 2048
+        return
+    assert plain.columns == docs.columns and clash.columns == [*docs.columns, *CLASHES]
+    got = plain.collect()
+    assert sorted(map(str, got)) == sorted(map(str, clash.select(*docs.columns).collect()))
+    before = Counter(rows)
+    if stage == 0:  # what has no letter goes, the rest is as it was
+        assert all(any(map(str.isalpha, r.text or "")) for r in got) and not Counter(map(tuple, got)) - before
+    if stage == 1:
+        assert not Counter(map(tuple, got)) - before and sum(r.text is not None and r.text.startswith("the old house") for r in got) == 1
+        assert sum(not (r.text or "").strip() for r in got) == sum(not (r[1] or "").strip() for r in rows)
+    if stage == 2:
+        assert len(got) == len(rows) and not any("hunter2" in (r.text or "") for r in got) and sum(r.text is None for r in got) == sum(r[1] is None for r in rows)
+    if stage == 3:
+        assert all((r.text or "").split() for r in got) and {r.source for r in got} <= {"web", "book", None}
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_an_empty_table(spark, stage):
+    docs = spark.createDataFrame([], SHAPE)
+    found = corpus_pipeline.STAGES[stage][1](spark, docs, SF)
+    assert found.count() == 0 and (stage == 4 or found.columns == docs.columns)
