@@ -149,7 +149,7 @@ def parts_of(books: DataFrame, lines: int) -> DataFrame:
 
 
 def chunks_of_parts(parts: DataFrame, keys: list[str], most: int = 70, parsed: bool = True) -> DataFrame:
-    """As ``chunks``, of books that come in parts: ``keys`` name a book, ``part`` orders its parts, and ``text`` has some whole lines."""
+    """As ``chunks``, of books that come in parts: ``keys`` name a book, ``part``, a whole number, orders its parts, and ``text`` has some whole lines."""
     return _chunks_of_texts(_texts(parts.where(F.length("text") > 0).select(*keys, "part", "text"), most, parsed), keys, most)
 
 
@@ -172,8 +172,8 @@ def _chunks_of_texts(texts: DataFrame, keys: list[str], most: int) -> DataFrame:
     facts = _text_pieces(parts, _LINES).select(*keys, "part", size(F.col("_p")).alias("_n"), exits(F.col("_p")).alias("_exits"))
 
     # what each part starts with
-    start = F.struct(F.lit(0).alias("open"), F.lit(0).cast("bigint").alias("base"), F.array().cast("array<struct<part:int,open:int,base:bigint>>").alias("out"))
-    entry = lambda acc, x: F.struct(x["part"].cast("int").alias("part"), acc["open"].alias("open"), acc["base"].alias("base"))
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).cast("bigint").alias("base"), F.array().cast("array<struct<part:bigint,open:int,base:bigint>>").alias("out"))
+    entry = lambda acc, x: F.struct(x["part"].cast("bigint").alias("part"), acc["open"].alias("open"), acc["base"].alias("base"))
     following = lambda acc, x: F.struct(F.get(x["_exits"], F.least(acc["open"], F.size(x["_exits"]) - 1)).alias("open"), (acc["base"] + x["_n"]).alias("base"), F.concat(acc["out"], F.array(entry(acc, x))).alias("out"))
     ordered = facts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", "_n", "_exits"))).alias("_f"))
     entries = ordered.select(*keys, F.explode(F.aggregate("_f", start, following, lambda acc: acc["out"])).alias("_e"))

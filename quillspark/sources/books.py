@@ -28,6 +28,27 @@ def read_books(spark: SparkSession, path: str, author_mode: str = "stem", stream
     return reader.load(path).select(author.alias("author"), title.alias("title"), universal_newlines(F.col("value")).alias("text"))
 
 
+def read_book_parts(spark: SparkSession, path: str, author_mode: str = "stem", lines: int = 20_000) -> DataFrame:
+    """Books of any size: author, title, part, text, a row for so many lines of a book at most; ``chunking.chunks_of_parts`` takes them.
+
+    Files are read by splits, so a task never has a whole book. Parts are numbered by their split's place in the file and their place in
+    the split. The texts of a book's parts, joined, are what ``read_books`` has: line ends are ``\\n``, and the last line has one if it has one there.
+    """
+    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True)
+    if not is_file(spark, path):
+        reader = reader.option("pathGlobFilter", "*.txt")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), place.alias("at"))
+    part = F.shiftleft(F.col("block").cast("long"), 20) + F.floor(F.col("at") / lines)
+    ended = F.regexp_replace(F.regexp_replace("value", r"\r\z", ""), r"\r", "\n")
+    parts = rows.groupBy("file", "size", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("at", ended.alias("line")))).alias("_l"), F.sum(F.octet_length("value").cast("long") + 1).alias("bytes"))
+    files = rows.groupBy("file").agg(F.max(part).alias("last"), F.sum(F.octet_length("value").cast("long") + 1).alias("total"))
+    joined = parts.join(files, "file").withColumn("open", (F.col("part") == F.col("last")) & (F.col("total") > F.col("size")))
+    author, title = path_properties(F.col("file"), author_mode)
+    text = F.concat(F.array_join("_l.line", "\n"), F.when(F.col("open"), F.lit("")).otherwise(F.lit("\n")))
+    return joined.select(author.alias("author"), title.alias("title"), "part", text.alias("text"))
+
+
 def spread(books: DataFrame) -> DataFrame:
     """``books``, a plain scan, dealt to all cores where its files have fewer parts with rows than there are cores.
 

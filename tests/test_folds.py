@@ -162,3 +162,25 @@ def test_hard_texts_are_cut_in_seconds(spark):
     counts = metrics.complexity(hard, b.lines_of(hard), ["author", "title"], known=hard.select(F.lit("a").alias("word"))).collect()
     assert len(counts) == len(HARD) and Pipeline(spark).from_books(hard).pipeline(70).frame.count() > len(HARD)
     assert time.time() - began < 150
+
+
+def test_files_are_read_in_parts(spark, tmp_path):
+    """Splits of a few hundred bytes; files with all line ends, with and without a last one."""
+    rng = random.Random(9)
+    (tmp_path / "ann").mkdir()
+    texts = {"long": random_text(rng, 120), "ended": random_text(rng, 30) + "\n", "dos": "a b\r\nc\rd\r\n\r\ne. f\r\n", "one": "x", "blank": "\n"}
+    for name, text in texts.items():
+        (tmp_path / "ann" / f"{name}.txt").write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        parts = b.read_book_parts(spark, str(tmp_path), lines=4)
+        whole = {r.title: r.text for r in b.read_books(spark, str(tmp_path)).collect()}
+        joined = {}
+        for r in sorted(parts.collect(), key=lambda r: (r.title, r.part)):
+            joined[r.title] = joined.get(r.title, "") + r.text
+        assert joined == whole and parts.count() > 30
+        cut = lambda frame: sorted((r.title, r.ord, r.start, r.end, r.text) for r in frame.collect())
+        assert cut(chunking.chunks_of_parts(parts, ["author", "title"], 30)) == cut(chunking.chunks(b.read_books(spark, str(tmp_path)), 30))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
