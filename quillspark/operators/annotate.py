@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANK
+from ..functions.text import SPACE
 
 Annotate = Callable[[DataFrame, bool], DataFrame]
 
@@ -26,13 +26,13 @@ MARK, CLOSING = r"[.!?…]", r"[.!?…)»”\x22]"
 DIGITS = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]+"
 # Repeated groups are possessive: Java takes those in a loop, where it would recurse once a repeat. None has to give back what it took.
 WORD = r"[\p{L}\p{M}\p{N}]++(?:['’\-][\p{L}\p{M}\p{N}]++)*+"
-TOKEN = rf"(?:{WORD}|[^{BLANK}\p{{L}}\p{{M}}\p{{N}}]) ?|[{BLANK}]+"
+TOKEN = rf"(?:{WORD}|[^{SPACE}\p{{L}}\p{{M}}\p{{N}}]) ?|[{SPACE}]+"
 _PUNCT = r"(?:\p{P} ?)*+"
 # Marks that no white space follows end nothing; each run of them is passed as a whole.
-_WITHIN = rf"(?:[^.!?…]++|{MARK}{CLOSING}*+(?![{BLANK}]))*+{MARK}{CLOSING}*+[{BLANK}]++"
+_WITHIN = rf"(?:[^.!?…]++|{MARK}{CLOSING}*+(?![{SPACE}]))*+{MARK}{CLOSING}*+[{SPACE}]++"
 SENTENCE = rf"(?s){_WITHIN}|.+\z"
 TIDY_SENTENCE = rf"(?s){_WITHIN}{_PUNCT}|.+\z"
-TIDY_TOKEN = rf"(?:(?:{WORD}|[^{BLANK}\p{{L}}\p{{M}}\p{{N}}\p{{P}}]) ?|[{BLANK}]+){_PUNCT}|\p{{P}} ?"
+TIDY_TOKEN = rf"(?:(?:{WORD}|[^{SPACE}\p{{L}}\p{{M}}\p{{N}}\p{{P}}]) ?|[{SPACE}]+){_PUNCT}|\p{{P}} ?"
 #: A table of tokens has these, and any keys of the book. ``head`` is the place of the governing token in the sentence, its own for the root.
 TOKEN_COLUMNS = ("line_no", "sent_no", "i", "token", "head")
 
@@ -59,11 +59,11 @@ def is_digit(token: Column) -> Column:
 
 
 def is_space(token: Column) -> Column:
-    return token.rlike(rf"^[{BLANK}]+$")
+    return token.rlike(rf"^[{SPACE}]+$")
 
 
 def is_word(token: Column) -> Column:
-    return ~token.rlike(rf"^(?:\p{{P}}+|{DIGITS}|[{BLANK}]*) ?$")
+    return ~token.rlike(rf"^(?:\p{{P}}+|{DIGITS}|[{SPACE}]*) ?$")
 
 
 def bare(token: Column) -> Column:

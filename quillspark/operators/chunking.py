@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folds import ANY, PIECES, fold, joined_items, last_open, let, pieces
-from ..functions.text import BLANK, strip
+from ..functions.text import SPACE, strip
 from ..storage import kept
 from . import annotate, trees
 
@@ -35,7 +35,7 @@ _TOKEN, _CLAUSES, _SENTENCES, _LINES, _CLOSED = range(5)
 
 def _ends_open(text: Column) -> Column:
     """Whether a span's last token has a space behind it, which is no part of the span, so that nothing follows right behind the span."""
-    return text.rlike(rf"[^{BLANK}] \z")
+    return text.rlike(rf"[^{SPACE}] \z")
 
 
 def _with_clauses(tokens: Column, body: Callable[[Column, Column], Column]) -> Column:

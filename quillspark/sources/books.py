@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.folds import let
 from ..functions.text import strip, universal_newlines
 from ..storage import is_file
 
@@ -73,7 +74,11 @@ def union_books(*books: DataFrame) -> DataFrame:
 def lines_of(books: DataFrame, keep_ends: bool = False) -> DataFrame:
     """A row a line: the columns of ``books`` but text, line_no (from 0), line. Stripped, or with its line end as it is."""
     rest = [c for c in books.columns if c != "text"]
-    lines = books.select(*rest, F.posexplode(F.split(F.col("text"), "\n", -1)).alias("line_no", "line"), F.length("text").alias("_n"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("_ends"))
-    lines = lines.where((F.col("line_no") < F.col("_ends")) | (F.col("line") != ""))  # what follows a last line end is no line
-    line = F.when(F.col("line_no") < F.col("_ends"), F.concat("line", F.lit("\n"))).otherwise(F.col("line")) if keep_ends else strip(F.col("line"))
-    return lines.select(*rest, "line_no", line.alias("line"))
+
+    def of(parts: Column) -> Column:  # what follows a last line end is no line
+        if keep_ends:
+            return F.filter(F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, F.lit("\n"))).otherwise(p)), lambda p: p != "")
+        return F.transform(F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts), strip)
+
+    # all within the array: what a line needs of its whole text is found once a text, not once a line
+    return books.select(*rest, F.posexplode(let(F.split("text", "\n", -1), of)).alias("line_no", "line"))
