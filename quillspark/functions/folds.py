@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WORD, _RUN = 32, 256
+_WORD, _RUN, _SUMS = 32, 256, 16
 #: No limit: nothing is longer.
 ANY = (1 << 31) - 1
 PIECES = "array<struct<i:int,at:int,end:int,cut:int>>"
@@ -44,14 +44,17 @@ def _each(items: Column, state: Column, step: Callable[[Column, Column], tuple[C
 
 
 def starts_before(lengths: Column) -> Column:
-    """The sum of all earlier lengths, for each."""
+    """The sum of all earlier lengths, for each. Sums are gathered in short runs, as an array that grows is copied for each item."""
 
-    def of_runs(runs: Column) -> Column:
+    def of_runs(runs: Column, inner: Callable[[Column], Column]) -> Column:
         sums = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda a, n: a + n))
-        begins = _each(sums, F.lit(0), lambda at, n: (at + n, at), "int")["out"]
-        return F.flatten(F.zip_with(runs, begins, lambda r, b: _each(r, b, lambda at, n: (at + n, at), "int")["out"]))
+        return F.flatten(F.zip_with(runs, inner(sums), lambda r, b: _each(r, b, lambda at, n: (at + n, at), "int")["out"]))
 
-    return F.coalesce(let(_groups(lengths, _RUN), of_runs), F.array().cast("array<int>"))
+    inner = lambda sums: _each(sums, F.lit(0), lambda at, n: (at + n, at), "int")["out"]
+    for _ in range(2):
+        inner = lambda x, rest=inner: let(_groups(x, _SUMS), lambda runs: of_runs(runs, rest))
+    short = _each(lengths, F.lit(0), lambda at, n: (at + n, at), "int")["out"]
+    return F.coalesce(F.when(F.size(lengths) <= _SUMS, short).otherwise(inner(lengths)), F.array().cast("array<int>"))
 
 
 def pieces(lengths: Column, cuts: Column) -> Column:

@@ -33,6 +33,28 @@ _WITHIN = rf"(?:[^.!?…]++|{MARK}{CLOSING}*+(?![{SPACE}]))*+{MARK}{CLOSING}*+[{
 SENTENCE = rf"(?s){_WITHIN}|.+\z"
 TIDY_SENTENCE = rf"(?s){_WITHIN}{_PUNCT}|.+\z"
 TIDY_TOKEN = rf"(?:(?:{WORD}|[^{SPACE}\p{{L}}\p{{M}}\p{{N}}\p{{P}}]) ?|[{SPACE}]+){_PUNCT}|\p{{P}} ?"
+# Parts of a sentence's tidy tokens, as patterns. Whether a token ends, or ends a clause, is seen in the characters beside that place, so
+# tokens need not be cut out to be joined. Only punctuation that leads a sentence is a token by itself.
+_CLAUSE = r",;:()\[\]"
+# Java looks behind by code points, and not by halves of a pair, only where the pattern itself has a character beyond 16 bits; this one is a letter.
+_LETTERS = "[\\p{L}\\p{M}\\p{N}\U00010000]"
+_BASE = rf"(?:(?:{WORD}|[^{SPACE}\p{{L}}\p{{M}}\p{{N}}\p{{P}}]) ?+|[{SPACE}]++)"
+_MARKED = rf"(?:\p{{P}}++ (?=\p{{P}}))*+[\p{{P}}&&[^{_CLAUSE}]]*+[{_CLAUSE}]\p{{P}}*+ ?+"  # punctuation whose last run has a mark
+_ENDS = rf"(?:(?:[{_CLAUSE}] ?+)++|{_BASE}{_MARKED})"
+_GOES_ON = rf"(?:(?!{_ENDS})(?:\p{{P}} ?+|{_BASE}{_PUNCT}))"
+_ROOT = rf"(?:[^\p{{L}}\p{{N}}]*+(?:{WORD} ?+{_MARKED}|{WORD} ?+{_PUNCT}{_GOES_ON}*+{_ENDS}?+)|(?:\p{{P}} ?+|{_BASE}{_PUNCT}){_GOES_ON}*+{_ENDS}?+)"
+#: A sentence's clauses, the first with all before and around the root; each of the others begins behind a mark that comes after the root.
+CLAUSE = rf"\A{_ROOT}|{_GOES_ON}*+{_ENDS}|{_GOES_ON}++"
+_BORDER = rf"(?:\z|(?<!{_LETTERS})(?<!{_LETTERS}['’\-])(?={_LETTERS})|(?=[^{SPACE}\p{{L}}\p{{M}}\p{{N}}\p{{P}}])|(?<=[^{SPACE}])(?! )(?=[{SPACE}])|(?<=[^{SPACE}] )(?=[{SPACE}]))"
+# Parts of a sentence's plain tokens.
+_PLAIN = rf"(?:(?:{WORD}|[^{SPACE}\p{{L}}\p{{M}}\p{{N}}]) ?+|[{SPACE}]++)"
+#: A token without the space behind it, as a group.
+BARE = rf"({WORD}|[^{SPACE}\p{{L}}\p{{M}}\p{{N}}]|[{SPACE}]++) ?"
+#: The next word as a group, behind all that is none; the group is empty at the end.
+NEXT_WORD = rf"(?:{DIGITS}+(?!{_LETTERS}|['’\-]{_LETTERS})|\p{{P}}|[{SPACE}]++)*+({WORD}|[^{SPACE}\p{{L}}\p{{M}}\p{{N}}\p{{P}}]|\z)"
+#: A sentence behind whose root (the first token with a letter or digit, or else the first) comes a mark, a token that is none, and another.
+BRANCHED = rf"\A(?:[^\p{{L}}\p{{N}}]*+{WORD} ?+|(?=[^\p{{L}}\p{{N}}]++\z){_PLAIN})(?s:.*?)[{_CLAUSE}] ?+(?![{_CLAUSE}]){_PLAIN}(?s:.)"
+SOME_TOKENS = rf"\A{_PLAIN}(?s:.)"
 #: A table of tokens has these, and any keys of the book. ``head`` is the place of the governing token in the sentence, its own for the root.
 TOKEN_COLUMNS = ("line_no", "sent_no", "i", "token", "head")
 
@@ -46,10 +68,31 @@ def tokens(sentence: Column) -> Column:
     return F.regexp_extract_all(sentence, F.lit(TOKEN), F.lit(0))
 
 
+def bare_tokens(text: Column) -> Column:
+    """Tokens of a line or sentence without the space behind them."""
+    return F.regexp_extract_all(text, F.lit(BARE), F.lit(1))
+
+
+def words(text: Column) -> Column:
+    """Those of ``bare_tokens`` that ``is_word`` says are words."""
+    return F.array_remove(F.regexp_extract_all(text, F.lit(NEXT_WORD), F.lit(1)), "")
+
+
 def tidy_tokens(sentence: Column) -> Column:
     return F.regexp_extract_all(sentence, F.lit(TIDY_TOKEN), F.lit(0))
 
 
+def clauses(sentence: Column) -> Column:
+    """The clauses of a tidy sentence, by the rule."""
+    return F.regexp_extract_all(sentence, F.lit(CLAUSE), F.lit(0))
+
+
+def greedy(text: Column, most: int) -> Column:
+    """``text``, some whole tidy tokens of a sentence, as spans of as many tokens as are no longer than ``most`` together; longer tokens stand alone."""
+    some = rf"(?s:.{{1,{most}}})"
+    return F.regexp_extract_all(text, F.lit(rf"{some}{_BORDER}|(?=\p{{P}}){some}(?=\p{{P}})|{TIDY_TOKEN}"), F.lit(0))
+
+
 def is_punct(token: Column) -> Column:
     return token.rlike(r"^\p{P}+ ?$")
 

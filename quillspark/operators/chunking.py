@@ -62,15 +62,6 @@ def _with_clauses(tokens: Column, body: Callable[[Column, Column], Column]) -> C
     return let(F.transform(tokens, kind), of_kinds)
 
 
-def _clause_cuts(tokens: Column) -> Column:
-    """The border before each token of a sentence, by the rule. Tokens before the first clause behind a mark hang on the root each."""
-
-    def cuts(root: Column, flags: Column) -> Column:
-        return let(F.array_position(flags, True), lambda first: F.transform(flags, lambda x, i: F.when(i == 0, _SENTENCES).when(x | (first == 0) | (i + 1 < first), _CLAUSES).otherwise(_TOKEN)))
-
-    return _with_clauses(tokens, cuts)
-
-
 def clause_heads(tokens: Column) -> Column:
     """The place of each token's head, by the rule: clauses hang on the root, other tokens on the first of their clause."""
 
@@ -98,13 +89,16 @@ def _texts(books: DataFrame, most: int, parsed: bool) -> DataFrame:
     frame = books.withColumn("_x", parts).drop("text")
     frame = frame.withColumn("_x", F.transform("_x", lambda p, i: F.when(i < F.size("_x") - 1, F.concat(p, F.lit("\n"))).otherwise(p)))
     frame = frame.withColumn("_x", F.filter("_x", lambda p: p != ""))
-    cut = lambda line: F.transform(annotate.sentences(line, tidy=True), annotate.tidy_tokens)
+    # a sentence that fits is one span; of others, the spans of each clause, found by a pattern, are the items that are joined
+    spans = lambda s: F.flatten(F.transform(annotate.clauses(s), lambda c: annotate.greedy(c, most))) if parsed else annotate.greedy(s, most)
+    items = lambda s: F.when(F.length(s) <= most, F.array(s)).otherwise(spans(s))
+    cut = lambda line: F.transform(annotate.sentences(line, tidy=True), items)
     frame = _each(frame, "_x", lambda line: F.struct(line.alias("line"), F.when(F.length(line) > most, cut(line)).otherwise(F.array().cast("array<array<string>>")).alias("sentences")))
-    plain = lambda s: F.transform(s, lambda t, i: F.when(i == 0, _SENTENCES).otherwise(_TOKEN))
-    frame = _each(frame, "_x", lambda x: F.struct(x["line"].alias("line"), F.flatten(x["sentences"]).alias("tokens"), F.flatten(F.transform(x["sentences"], _clause_cuts if parsed else plain)).alias("cuts")))
+    borders = lambda s: F.transform(s, lambda t, i: F.when(i == 0, _SENTENCES).otherwise(_CLAUSES))
+    frame = _each(frame, "_x", lambda x: F.struct(x["line"].alias("line"), F.flatten(x["sentences"]).alias("tokens"), F.flatten(F.transform(x["sentences"], borders)).alias("cuts")))
     frame = _each(frame, "_x", lambda x: F.struct(x["line"].alias("line"), x["tokens"].alias("tokens"), x["cuts"].alias("cuts"), F.transform(x["tokens"], F.length).alias("n")))
     frame = _each(frame, "_x", lambda x: F.struct(x["line"].alias("line"), x["tokens"].alias("tokens"), pieces(x["n"], x["cuts"]).alias("ps")))
-    for level in (_CLAUSES, _SENTENCES, _LINES) if parsed else (_SENTENCES, _LINES):
+    for level in (_SENTENCES, _LINES) if parsed else (_LINES,):
         frame = _folded(frame, "_x", most, level)
     frame = _each(frame, "_x", lambda x: F.when(F.size(x["tokens"]) == 0, F.array(x["line"])).otherwise(joined_items(x["tokens"], x["ps"])))
     return frame.withColumn("_texts", F.flatten("_x")).drop("_x")
@@ -249,8 +243,13 @@ def clause_depth(tokens: Column) -> Column:
     return F.when(behind.rlike("m[ax]."), 3).when(F.size(tokens) > 1, 2).otherwise(F.size(tokens))
 
 
+def sentence_depth(sentence: Column) -> Column:
+    """``clause_depth`` of a sentence's text."""
+    return F.when(sentence.rlike(annotate.BRANCHED), 3).when(sentence.rlike(annotate.SOME_TOKENS), 2).otherwise(F.least(F.length(sentence), F.lit(1)))
+
+
 def depths(lines: DataFrame) -> DataFrame:
     """A row a sentence of stripped lines: the columns of ``lines`` but line, sent_no, depth (by the stand-in for a parse, 1 to 3)."""
     rest = [c for c in lines.columns if c != "line"]
     found = lines.select(*rest, F.posexplode(annotate.sentences(strip(F.col("line")))).alias("sent_no", "_sentence"))
-    return found.select(*rest, "sent_no", clause_depth(annotate.tokens(F.col("_sentence"))).alias("depth"))
+    return found.select(*rest, "sent_no", sentence_depth(F.col("_sentence")).alias("depth"))
