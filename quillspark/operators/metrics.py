@@ -23,7 +23,7 @@ from . import annotate
 
 @dataclass(frozen=True)
 class Metric:
-    """A value of each sentence: ``of_token`` (a number for a token, summed), ``of_words`` (for its words) or ``of_sentence`` (for all its tokens).
+    """A value of each sentence: ``of_token`` (a number for a token, summed), ``of_words`` (for its words), ``of_sentence`` (for all its tokens) or ``of_text`` (for its text).
 
     ``combine`` joins the values of sentences, by default as a sum; any aggregate will do, and values may be of any type, maps too.
     ``zero`` is the value of a book without sentences. The result is finished by ``finish``. Hidden metrics only serve ratios.
@@ -37,10 +37,11 @@ class Metric:
     of_words: Callable[[Column], Column] | None = None
     combine: Callable[[Column], Column] = F.sum
     zero: Callable[[], Column] = lambda: F.lit(0)
+    of_text: Callable[[Column], Column] | None = None
 
-    def in_sentence(self, tokens: Column, words: Column) -> Column:
-        if self.of_sentence or self.of_words:
-            value = self.of_sentence(tokens) if self.of_sentence else self.of_words(words)
+    def in_sentence(self, tokens: Column, words: Column, text: Column) -> Column:
+        if self.of_sentence or self.of_words or self.of_text:
+            value = self.of_sentence(tokens) if self.of_sentence else self.of_words(words) if self.of_words else self.of_text(text)
             return value.cast("long") if self.combine is F.sum else value
         return F.aggregate(tokens, F.lit(0).cast("long"), lambda total, t: total + self.of_token(t).cast("long"))
 
@@ -87,25 +88,29 @@ def standard_metrics() -> Metrics:
 
 
 def by_sentence(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """A row a sentence: keys, its tokens, and its words without the space behind them."""
-    each = lines.select(*keys, F.explode(annotate.sentences(F.col("line"))).alias("_sentence")).select(*keys, annotate.tokens(F.col("_sentence")).alias("_tokens"))
-    return each.select(*keys, "_tokens", F.transform(F.filter("_tokens", annotate.is_word), lambda t: F.rtrim(t)).alias("_words"))
+    """A row a sentence: keys, its text, its tokens, and its words without the space behind them. What no metric asks for is not made."""
+    each = lines.select(*keys, F.explode(annotate.sentences(F.col("line"))).alias("_sentence"))
+    return each.select(*keys, "_sentence", annotate.tokens(F.col("_sentence")).alias("_tokens"), annotate.words(F.col("_sentence")).alias("_words"))
 
 
 def totals(lines: DataFrame, keys: list[str], metrics: Metrics, tokens: DataFrame | None = None) -> DataFrame:
     """All metrics by ``keys``, in one pass: of lines, or of a table of tokens."""
     if tokens is not None:
-        sentences = annotate.sentences_of(tokens, keys).select(*keys, F.col("tokens").alias("_tokens"), F.transform(F.filter("tokens", annotate.is_word), lambda t: F.rtrim(t)).alias("_words"))
+        each = annotate.sentences_of(tokens, keys)
+        sentences = each.select(*keys, F.array_join("tokens", "").alias("_sentence"), F.col("tokens").alias("_tokens"), F.transform(F.filter("tokens", annotate.is_word), lambda t: F.rtrim(t)).alias("_words"))
     else:
         sentences = by_sentence(lines, keys)
-    values = sentences.select(*keys, *(m.in_sentence(F.col("_tokens"), F.col("_words")).alias(m.name) for m in metrics.metrics))
+    values = sentences.select(*keys, *(m.in_sentence(F.col("_tokens"), F.col("_words"), F.col("_sentence")).alias(m.name) for m in metrics.metrics))
     return values.groupBy(*keys).agg(*(m.combine(F.col(m.name)).alias(m.name) for m in metrics.metrics))
 
 
 def token_counts(lines: DataFrame, keys: list[str], tokens: DataFrame | None = None) -> DataFrame:
     """keys, word (a token's text), n."""
-    every = annotate.annotate(lines.select(*keys, "line")) if tokens is None else tokens
-    return every.groupBy(*keys, annotate.bare(F.col("token")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    if tokens is None:
+        every = lines.select(*keys, F.explode(annotate.bare_tokens(F.col("line"))).alias("word"))
+    else:
+        every = tokens.select(*keys, annotate.bare(F.col("token")).alias("word"))
+    return every.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def words_known(counts: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
@@ -132,12 +137,12 @@ def complexity(books: DataFrame, lines: DataFrame, keys: list[str], known: DataF
 
     ``tokens``, a table of tokens with their heads (see ``annotate``), takes the place of the rule's tokens and trees.
     """
-    from .chunking import clause_depth, depths_of_tokens
+    from .chunking import depths_of_tokens, sentence_depth
 
     metrics = metrics or standard_metrics()
     every = Metrics([*metrics.metrics], [*metrics.ratios])
     if depth and tokens is None:
-        every.add(Metric("grammar_depth", of_sentence=clause_depth, hidden=True)).add_ratio(Ratio("mean_grammar_depth", "grammar_depth", "sentence_count"))
+        every.add(Metric("grammar_depth", of_text=sentence_depth, hidden=True)).add_ratio(Ratio("mean_grammar_depth", "grammar_depth", "sentence_count"))
     shown = [m.name for m in every.metrics if not m.hidden]
     parts = [totals(lines, keys, every, tokens)]
     if depth and tokens is not None:
