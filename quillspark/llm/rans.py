@@ -206,16 +206,15 @@ def _tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end
             return out
 
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                some = batch.slice(i, 256)
-                for d, got in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
-                    n = len(got) // encoder.dtype.itemsize + 1
-                    doc_ids.append(d)
-                    lengths.append(n)
-                    ids.append(got + end)
-                    total += n
-                    if total >= file_ids:
-                        yield row()
+            texts = (t for i in range(0, len(batch), 256) for t in batch.column(1).slice(i, 256).to_pylist())
+            for d, got in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
+                n = len(got) // encoder.dtype.itemsize + 1
+                doc_ids.append(d)
+                lengths.append(n)
+                ids.append(got + end)
+                total += n
+                if total >= file_ids:
+                    yield row()
         if doc_ids:
             yield row()
 
