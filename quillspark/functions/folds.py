@@ -72,7 +72,8 @@ def _new(piece_runs: Column, most: Column, level: int, opened: Column) -> Column
     def step(acc: Column, p: Column) -> Column:
         joins = (p["cut"] < level) & (p["end"] - acc["open"] <= most)
         bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), acc["i"])
-        return F.struct(F.when(joins, acc["open"]).otherwise(p["at"].cast("bigint")).alias("open"), F.when(joins, acc["bits"]).otherwise(acc["bits"].bitwiseOR(bit)).alias("bits"), (acc["i"] + 1).alias("i"))
+        after = lambda at, bits: F.struct(at.cast("bigint").alias("open"), bits.alias("bits"), (acc["i"] + 1).alias("i"))
+        return F.when(joins, after(acc["open"], acc["bits"])).otherwise(after(p["at"], acc["bits"].bitwiseOR(bit)))
 
     def words(opened: Column, items: Column) -> Column:
         start = F.struct(opened.alias("state"), F.array().cast("array<bigint>").alias("out"))
@@ -110,11 +111,6 @@ def fold(ps: Column, most: int, level: int, opened: Column | None = None) -> Col
     return let(ps, lambda p: F.when(F.size(p) > 0, of(p)).otherwise(none))
 
 
-def last_open(ps: Column, most: int, level: int, opened: Column) -> Column:
-    """Where the span begins that is open after the last piece of a fold."""
-    return let(ps, lambda p: F.when(F.size(p) > 0, let(let(_groups(p, _WORD), lambda g: _groups(g, _RUN)), lambda r: _new(r, F.lit(most).cast("bigint"), level, opened)["state"])).otherwise(opened.cast("bigint")))
-
-
 def joined_items(items: Column, spans: Column) -> Column:
     """The text of each span: its items one behind the other."""
 
@@ -122,4 +118,5 @@ def joined_items(items: Column, spans: Column) -> Column:
         end = lambda j: F.coalesce(F.get(spans, j + 1)["i"], F.size(items))
         return F.transform(spans, lambda x, j: F.array_join(F.slice(items, x["i"] + 1, end(j) - x["i"]), ""))
 
-    return let(items, lambda t: let(spans, lambda s: of(t, s)))
+    # spans may come from a Python function, which Spark does not find within a function of items
+    return let(spans, lambda s: let(items, lambda t: of(t, s)))

@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import let, starts_before
 from ..functions.text import SPACE
 
 Annotate = Callable[[DataFrame, bool], DataFrame]
@@ -133,7 +134,7 @@ def sentences_of(tokens: DataFrame, keys: list[str]) -> DataFrame:
     heads are tokens of the sentence and form a tree is left to those who follow them (``trees``).
     """
     placed = F.struct(F.col("i").cast("int").alias("i"), "token", F.col("head").cast("int").alias("head"))
-    each = tokens.groupBy(*keys, "line_no", "sent_no").agg(F.array_sort(F.collect_list(placed)).alias("_t"))
+    each = tokens.groupBy(*keys, "line_no", "sent_no").agg(F.sort_array(F.collect_list(placed)).alias("_t"))
     roots = F.size(F.filter("_t", lambda t: t["head"] == t["i"]))
     checked = F.when(roots == 1, F.col("_t")).otherwise(F.raise_error(F.concat(F.lit("a sentence must have one root, not "), roots.cast("string"))).cast("array<struct<i:int,token:string,head:int>>"))
     gaps = F.size(F.filter("_t", lambda t, k: ~t["i"].eqNullSafe(k) | t["token"].isNull()))
@@ -141,15 +142,40 @@ def sentences_of(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return each.select(*keys, "line_no", "sent_no", checked.alias("_t")).select(*keys, "line_no", "sent_no", F.col("_t.token").alias("tokens"), F.col("_t.head").alias("heads"))
 
 
-def rule_tokens(lines: DataFrame, tidy: bool = False) -> DataFrame:
-    """A table of tokens by the rule, with the heads that it stands for."""
+def rule_sentences(lines: DataFrame, tidy: bool = False) -> DataFrame:
+    """A table of sentences by the rule, as ``sentences_of`` makes it of ``rule_tokens``: the columns of ``lines`` but line, sent_no, tokens, heads. Nothing is gathered."""
     from .chunking import clause_heads
 
     rest = [c for c in lines.columns if c != "line"]
-    cut = tidy_tokens if tidy else tokens
-    each = lines.select(*rest, F.posexplode(sentences(F.col("line"), tidy)).alias("sent_no", "_s")).withColumn("_t", cut(F.col("_s")))
-    each = each.select(*rest, "sent_no", "_t", clause_heads(F.col("_t")).alias("_h"))
-    return each.select(*rest, "sent_no", F.posexplode(F.arrays_zip(F.col("_t").alias("token"), F.col("_h").alias("head"))).alias("i", "_x")).select(*rest, "sent_no", "i", "_x.token", "_x.head")
+    each = lines.select(*rest, F.posexplode(sentences(F.col("line"), tidy)).alias("sent_no", "_s"))
+    if not tidy:
+        return each.withColumn("tokens", tokens(F.col("_s"))).select(*rest, "sent_no", "tokens", clause_heads(F.col("tokens")).alias("heads"))
+    # a sentence without a mark is one clause
+    parts = F.when(F.col("_s").rlike(f"[{_CLAUSE}]"), clauses(F.col("_s"))).otherwise(F.array("_s"))
+    each = each.withColumn("_c", F.transform(parts, tidy_tokens))
+    return each.select(*rest, "sent_no", F.flatten("_c").alias("tokens"), heads_of_clauses(F.col("_c")).alias("heads"))
+
+
+def heads_of_clauses(clause_tokens: Column) -> Column:
+    """The place of each token's head, by the rule, of the tokens of each clause of a sentence (see ``CLAUSE``): those of the first clause
+    and the first of each other hang on the root, the others on the first of their clause."""
+    lettered = lambda t: t.rlike(r"[\p{L}\p{N}]")
+
+    def of(c: Column) -> Column:
+        first = F.get(c, F.lit(0))
+        root = F.when(lettered(F.get(first, F.lit(0))), 0).otherwise(F.greatest(F.array_position(F.transform(first, lettered), True).cast("int"), F.lit(1)) - 1)
+        below = lambda x, k, at, r: F.when(k == 0, F.array_repeat(r, F.size(x))).otherwise(F.concat(F.array(r), F.array_repeat(F.get(at, k), F.size(x) - 1)))
+        heads = lambda at, r: F.flatten(F.transform(c, lambda x, k: below(x, k, at, r)))
+        return let(starts_before(F.transform(c, F.size)), lambda at: let(root, lambda r: heads(at, r)))
+
+    return let(clause_tokens, of)
+
+
+def rule_tokens(lines: DataFrame, tidy: bool = False) -> DataFrame:
+    """A table of tokens by the rule, with the heads that it stands for."""
+    rest = [c for c in lines.columns if c != "line"]
+    each = rule_sentences(lines, tidy)
+    return each.select(*rest, "sent_no", F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), F.col("heads").alias("head"))).alias("i", "_x")).select(*rest, "sent_no", "i", "_x.token", "_x.head")
 
 
 def table_tokens(path: str) -> Annotate:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.folds import ANY, PIECES, fold, joined_items, last_open, let, pieces
+from ..functions.folds import ANY, PIECES, fold, joined_items, let, pieces
 from ..functions.text import SPACE, strip
 from ..storage import kept
 from . import annotate, trees
@@ -35,7 +35,7 @@ _TOKEN, _CLAUSES, _SENTENCES, _LINES, _CLOSED = range(5)
 
 def _ends_open(text: Column) -> Column:
     """Whether a span's last token has a space behind it, which is no part of the span, so that nothing follows right behind the span."""
-    return text.rlike(rf"[^{SPACE}] \z")
+    return F.right(text, F.lit(2)).rlike(rf"[^{SPACE}] \z")
 
 
 def _with_clauses(tokens: Column, body: Callable[[Column, Column], Column]) -> Column:
@@ -148,70 +148,77 @@ def chunks_of_parts(parts: DataFrame, keys: list[str], most: int = 70, parsed: b
 
 
 def _chunks_of_texts(texts: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Chunks of books from the spans of their lines (``_texts``), by part."""
-    parts = kept(texts.where(F.size("_texts") > 0))
-    same = lambda a, b, *more: [a[k].eqNullSafe(b[k]) for k in (*keys, *more)]
-    closed = F.lit(-1 << 40)
-    size = lambda p: F.coalesce(F.element_at(p, -1)["end"], F.lit(0)).cast("bigint")
-
-    # how long the open chunk is at the end of a part, for each length that was open before it; 0 for none
-    ends_open = _ends_open(F.element_at("_texts", -1))
-
-    def after(p: Column, opened: Column) -> Column:
-        long = size(p) - last_open(p, most, _CLOSED, F.when(opened > 0, -opened).otherwise(closed).cast("bigint"))
-        return let(long, lambda n: F.when(ends_open | (n > most), F.lit(0)).otherwise(n).cast("int"))
-
-    fixed = lambda p: F.exists(p, lambda x: x["cut"] >= _CLOSED)
-    exits = lambda p: F.when(fixed(p), F.array(after(p, F.lit(0)))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda e: after(p, e)))
-    facts = _text_pieces(parts, _LINES).select(*keys, "part", size(F.col("_p")).alias("_n"), exits(F.col("_p")).alias("_exits"))
-
-    # what each part starts with
-    start = F.struct(F.lit(0).alias("open"), F.lit(0).cast("bigint").alias("base"), F.array().cast("array<struct<part:bigint,open:int,base:bigint>>").alias("out"))
-    entry = lambda acc, x: F.struct(x["part"].cast("bigint").alias("part"), acc["open"].alias("open"), acc["base"].alias("base"))
-    following = lambda acc, x: F.struct(F.get(x["_exits"], F.least(acc["open"], F.size(x["_exits"]) - 1)).alias("open"), (acc["base"] + x["_n"]).alias("base"), F.concat(acc["out"], F.array(entry(acc, x))).alias("out"))
-    ordered = facts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", "_n", "_exits"))).alias("_f"))
-    entries = ordered.select(*keys, F.explode(F.aggregate("_f", start, following, lambda acc: acc["out"])).alias("_e"))
-    begun = kept(entries.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_e.part").alias("_part"), F.col("_e.open").alias("_open"), F.col("_e.base").alias("_base")))
-
-    placed = parts.join(begun, [*(parts[k].eqNullSafe(begun[f"_{k}"]) for k in keys), parts["part"] == begun["_part"]]).select(*keys, "part", "_open", "_base", "_texts")
-    opened = F.when(F.col("_open") > 0, -F.col("_open")).otherwise(closed).cast("bigint")
-    spans = _text_pieces(placed, _LINES).withColumn("_s", fold(F.col("_p"), most, _CLOSED, opened)).drop("_p")
-    counts = spans.groupBy(*keys, "part").agg(F.sum(F.size("_s")).alias("_c"))
-    before = counts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("part").alias("_part"), F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-
-    # a chunk that began in an earlier part is known by where it began; only such pieces and each part's last chunk are put together
+    """Chunks of books from the spans of their lines (``_texts``), by part. Lengths are folded by kernels (``trees``), texts stay in the JVM."""
+
+    @F.arrow_udf("array<struct<open:int,n:int>>")
+    def ends(lengths: pa.Array, first: pa.Array) -> pa.Array:
+        return trees.ends_of(lengths, first, most)
+
+    @F.arrow_udf(PIECES)
+    def spans_of(lengths: pa.Array, opened: pa.Array) -> pa.Array:
+        return trees.spans_of(lengths, opened, most)
+
+    lengths = F.transform("_texts", lambda t: F.when(_ends_open(t), F.bitwise_not(F.length(t))).otherwise(F.length(t)))
+    parts = kept(texts.select(*keys, "part", "_texts", lengths.alias("_lengths")))
+    # nothing is open before a part with the least number of all, which is the first of its book
+    least = parts.agg(F.min("part")).first()[0] or 0
+    size = F.aggregate("_lengths", F.lit(0).cast("bigint"), lambda a, n: a + F.when(n < 0, F.bitwise_not(n)).otherwise(n))
+    facts = parts.select(*keys, "part", size.alias("_n"), ends("_lengths", F.col("part") == least).alias("_ends"))
+
+    # what each part starts with: an open chunk's length, the place in the book, the number of its first chunk, and whether its last chunk is open when the next begins
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).cast("bigint").alias("base"), F.lit(0).cast("bigint").alias("first"), F.array().cast("array<struct<part:bigint,open:int,base:bigint,first:bigint>>").alias("out"))
+    entry = lambda acc, x: F.struct(x["part"].cast("bigint").alias("part"), acc["open"].alias("open"), acc["base"].alias("base"), acc["first"].alias("first"))
+    end = lambda acc, x: F.get(x["_ends"], acc["open"])
+    following = lambda acc, x: F.struct(end(acc, x)["open"].alias("open"), (acc["base"] + x["_n"]).alias("base"), (acc["first"] + end(acc, x)["n"]).alias("first"), F.concat(acc["out"], F.array(entry(acc, x))).alias("out"))
+    ordered = facts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", "_n", "_ends"))).alias("_f"))
+    entries = ordered.select(*keys, F.aggregate("_f", start, following, lambda acc: acc["out"]).alias("_e"))
+    entries = entries.select(*keys, F.explode(F.transform("_e", lambda x, i: F.struct(x.alias("of"), F.coalesce(F.get("_e", i + 1)["open"] > 0, F.lit(False)).alias("goes_on")))).alias("_e"))
+    begun = kept(entries.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_e.of.part").alias("_part"), F.col("_e.of.open").alias("_open"), F.col("_e.of.base").alias("_base"), F.col("_e.of.first").alias("_first"), F.col("_e.goes_on").alias("_goes_on")))
+
+    def cut(begun: DataFrame) -> DataFrame:
+        same = [*(parts[k].eqNullSafe(begun[f"_{k}"]) for k in keys), parts["part"] == begun["_part"]]
+        placed = parts.join(begun, same).select(*keys, "part", "_open", "_base", "_first", "_goes_on", "_texts", "_lengths")
+        spans = placed.withColumn("_s", spans_of("_lengths", "_open"))
+        own = F.zip_with("_s", joined_items(F.col("_texts"), F.col("_s")), lambda x, t: F.struct((F.col("_base") + x["at"]).alias("start"), t.alias("text")))
+        return spans.withColumn("_own", F.transform(own, lambda x, i: F.struct((F.col("_first") + i).alias("ord"), x["start"].alias("start"), x["text"].alias("text"))))
+
+    whole = F.size("_own") - F.when(F.col("_goes_on"), 1).otherwise(0)
+    every = cut(begun).select(*keys, F.explode(F.slice("_own", F.lit(1), F.greatest(whole, F.lit(0)))).alias("_c")).select(*keys, "_c.*")
+    # a chunk that goes over the end of a part is known by where it began; only parts that have one are looked at again
+    edges = cut(begun.where("_open > 0 or _goes_on"))
     first = F.coalesce(F.get("_s", F.lit(0))["i"], F.size("_texts"))
-    head = F.struct((F.col("_base") - F.col("_open")).alias("start"), F.array_join(F.slice("_texts", F.lit(1), first), "").alias("text"), F.lit(-1).cast("bigint").alias("ord"), F.lit(True).alias("edge"))
-    spans = spans.withColumn("_own", joined_items(F.col("_texts"), F.col("_s")))
-    own = F.zip_with("_s", "_own", lambda x, t: F.struct((F.col("_base") + x["at"]).alias("start"), t.alias("text")))
-    own = F.transform(own, lambda x, i: F.struct(x["start"].alias("start"), x["text"].alias("text"), (i + F.col("_first")).cast("bigint").alias("ord"), (i == F.size("_s") - 1).alias("edge")))
-    numbered = spans.join(before, [*(spans[k].eqNullSafe(before[f"_{k}"]) for k in keys), spans["part"] == before["_part"]])
-    each = numbered.select(*keys, "part", F.explode(F.concat(F.when(first > 0, F.array(head)).otherwise(F.array()), own)).alias("_c")).select(*keys, "part", "_c.*")
-    edges = each.where("edge").groupBy(*keys, "start").agg(F.max("ord").alias("ord"), F.array_sort(F.collect_list(F.struct("part", "text"))).alias("_t"))
-    edges = edges.select(*keys, "ord", "start", F.array_join("_t.text", "").alias("text"))
-    every = each.where("not edge").select(*keys, "ord", "start", "text").unionByName(edges)
+    head = F.struct(F.lit(-1).cast("bigint").alias("ord"), (F.col("_base") - F.col("_open")).alias("start"), F.array_join(F.slice("_texts", F.lit(1), first), "").alias("text"))
+    none = F.slice("_own", F.lit(1), F.lit(0))
+    edges = edges.select(*keys, "part", F.explode(F.concat(F.when(first > 0, F.array(head)).otherwise(none), F.when(F.col("_goes_on"), F.slice("_own", F.lit(-1), F.lit(1))).otherwise(none))).alias("_c")).select(*keys, "part", "_c.*")
+    edges = edges.groupBy(*keys, "start").agg(F.max("ord").alias("ord"), F.sort_array(F.collect_list(F.struct("part", "text"))).alias("_t"))
+    every = every.unionByName(edges.select(*keys, "ord", "start", F.array_join("_t.text", "").alias("text")))
     return every.select(*keys, "ord", "start", (F.col("start") + F.length("text") - F.when(_ends_open(F.col("text")), 1).otherwise(0)).alias("end"), "text")
 
 
 def chunks_of_tokens(tokens: DataFrame, keys: list[str], most: int | None = 70, across: bool = True) -> DataFrame:
-    """As ``chunks``, of a table of tokens with their heads (see ``annotate``). Sentences are put together by parts of ``PART_LINES`` lines."""
+    """As ``chunks``, of a table of tokens with their heads (see ``annotate``)."""
+    return chunks_of_sentences(annotate.sentences_of(tokens, keys), keys, most, across)
+
+
+def chunks_of_sentences(sentences: DataFrame, keys: list[str], most: int | None = 70, across: bool = True) -> DataFrame:
+    """As ``chunks``, of a table of sentences: keys, line_no, sent_no, tokens, heads. They are put together by parts of ``PART_LINES`` lines."""
 
     @F.arrow_udf("array<int>")
     def begins(lengths: pa.Array, heads: pa.Array) -> pa.Array:
         return trees.begins_of(lengths, heads, most)
 
-    sentences = annotate.sentences_of(tokens, keys)
+    @F.arrow_udf(PIECES)
+    def spans_of(lengths: pa.Array, counts: pa.Array, lines: pa.Array) -> pa.Array:
+        return trees.spans_of_lines(lengths, counts, lines, most or ANY)
+
     found = sentences.withColumn("_b", begins(F.transform("tokens", F.length), F.col("heads")))
     place = F.transform("_b", lambda i: F.struct(i.alias("i"), F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit(0).alias("cut"))).cast(PIECES)
     found = found.select(*keys, "line_no", "sent_no", joined_items(F.col("tokens"), place).alias("_t"))
     in_parts = bool(most) and across
     part = F.floor(F.col("line_no") / PART_LINES).cast("int") if in_parts else F.lit(0)
-    gathered = found.groupBy(*keys, part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("line_no", "sent_no", "_t"))).alias("_s"))
+    gathered = found.groupBy(*keys, part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("line_no", "sent_no", "_t"))).alias("_s"))
 
-    new = lambda i: F.coalesce(F.get("_s", i - 1)["line_no"] != F.get("_s", i)["line_no"], F.lit(True))
-    gathered = gathered.withColumn("_cuts", F.flatten(F.transform("_s", lambda x, i: F.transform(x["_t"], lambda t, j: F.when((j == 0) & new(i), _LINES).otherwise(_TOKEN)))))
-    gathered = gathered.withColumn("_items", F.flatten("_s._t")).withColumn("_n", F.transform("_items", F.length))
-    gathered = gathered.withColumn("_p", pieces(F.col("_n"), F.col("_cuts"))).withColumn("_p", fold(F.col("_p"), most or ANY, _LINES))
+    gathered = gathered.select(*keys, "part", F.flatten("_s._t").alias("_items"), spans_of(F.transform(F.flatten("_s._t"), F.length), F.transform("_s._t", F.size), F.col("_s.line_no")).alias("_p"))
     texts = gathered.select(*keys, "part", joined_items(F.col("_items"), F.col("_p")).alias("_texts"))
     return _chunks_of_texts(texts, keys, most) if in_parts else _cut(texts, keys, most or ANY, across)
 

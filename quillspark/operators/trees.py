@@ -59,14 +59,19 @@ class Trees:
         """Whether a span begins with a token, spans being joined along the tree as long as both fit. ``lengths`` are those of the tokens."""
         n = len(lengths)
         new = np.ones(n, bool)
-        (right,) = np.nonzero(np.arange(n) != self.starts[self.sentence]) if n else (np.zeros(0, np.int64),)
+        # a sentence that fits is one span, whatever its tree
+        fits = np.ones(len(self.sizes), bool) if most is None else np.bincount(self.sentence, weights=lengths, minlength=len(self.sizes)) <= most
+        inner = np.arange(n) != self.starts[self.sentence] if n else np.zeros(0, bool)
+        whole = fits[self.sentence]
+        new[inner & whole] = False
+        (right,) = np.nonzero(inner & ~whole)
         order = np.lexsort((right, -self.depth[self._common(right - 1, right)]))
         at = np.concatenate([[0], np.cumsum(lengths)]).tolist()
         # of the span that ends, or begins, at a place: where it begins, or ends
         begin_of, end_of = list(range(-1, n)), list(range(1, n + 1))
         for p in right[order].tolist():
             begin, end = begin_of[p], end_of[p]
-            if most is None or at[end] - at[begin] <= most:
+            if at[end] - at[begin] <= most:
                 new[p] = False
                 end_of[begin], begin_of[end] = end, begin
         return new
@@ -92,3 +97,91 @@ def begins_of(lengths: pa.Array, heads: pa.Array, most: int | None) -> pa.Array:
 
 def heights_of(heads: pa.Array) -> pa.Array:
     return pa.array(Trees(*_lists(heads)).heights(), pa.int32())
+
+
+# Folds of texts in order, each given by its length, or by ``~`` of it where nothing can be joined to it from behind.
+
+
+def _sizes(lengths: np.ndarray) -> np.ndarray:
+    return np.where(lengths < 0, ~lengths, lengths)
+
+
+def _begins(lengths: list[int], most: int, opened: int) -> list[int]:
+    """The places of texts that are not joined to what is before them; ``opened`` is how long that is before the first (0: nothing)."""
+    out, long = [], opened or most + 1
+    for i, n in enumerate(lengths):
+        size = n if n >= 0 else ~n
+        long += size
+        if long > most:
+            out.append(i)
+            long = size
+        if n < 0:
+            long = most + 1
+    return out
+
+
+def spans_of(lengths: pa.Array, opened: pa.Array, most: int) -> pa.Array:
+    """For each list of ``lengths``, the spans of texts joined from the left as long as both fit, as ``folds.PIECES``."""
+    sizes, flat = _lists(lengths)
+    starts, found = np.cumsum(sizes) - sizes, []
+    for start, size, long in zip(starts.tolist(), sizes.tolist(), opened.to_pylist(), strict=True):
+        found.append(np.array(_begins(flat[start : start + size].tolist(), most, long), np.int64) + start)
+    first = np.concatenate([np.zeros(0, np.int64), *found])
+    row = np.repeat(np.arange(len(sizes)), [len(f) for f in found])
+    ends = np.concatenate([[0], np.cumsum(_sizes(flat), dtype=np.int64)])
+    base = ends[starts]
+    last = np.append(first[1:], 0)
+    closing = np.append(row[1:] != row[:-1], True)[: len(row)]
+    last = np.where(closing, (starts + sizes)[row], last[: len(row)])
+    as_int = lambda x: pa.array(x, pa.int32())
+    fields = [as_int(first - starts[row]), as_int(ends[first] - base[row]), as_int(ends[last] - base[row]), as_int(np.zeros(len(first), np.int32))]
+    return pa.ListArray.from_arrays(as_int(np.concatenate([[0], np.cumsum([len(f) for f in found], dtype=np.int64)])), pa.StructArray.from_arrays(fields, ["i", "at", "end", "cut"]))
+
+
+def spans_of_lines(lengths: pa.Array, counts: pa.Array, lines: pa.Array, most: int) -> pa.Array:
+    """As ``spans_of``, of spans of sentences in order: how many each has, and its line. Nothing is joined over a line's end."""
+    sizes, flat = _lists(lengths)
+    (n, counts_flat), (_, of_line) = _lists(counts), _lists(lines)
+    row = np.repeat(np.arange(len(n)), n)
+    closing = np.append((of_line[1:] != of_line[:-1]) | (row[1:] != row[:-1]), True)[: len(row)]
+    last = np.cumsum(counts_flat)[closing] - 1
+    flat = flat.astype(np.int32)
+    flat[np.unique(last[last >= 0])] ^= -1
+    places = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return spans_of(pa.ListArray.from_arrays(places, pa.array(flat)), pa.array(np.zeros(len(sizes), np.int32)), most)
+
+
+def _ends(lengths: list[int], most: int, opens: range) -> list[tuple[int, int]]:
+    places = _begins(lengths, most, 0)
+    count = {place: k for k, place in enumerate(places)}
+    whole = int(_sizes(np.array(lengths[places[-1] :])).sum()) if places else 0
+    open_at_end = 0 if not lengths or lengths[-1] < 0 or whole > most else whole
+    out = []
+    for long in opens:
+        n, long = 0, long or most + 1
+        for i, length in enumerate(lengths):
+            size = length if length >= 0 else ~length
+            long += size
+            if long > most:
+                if i in count:  # from here on it is as if nothing had been open
+                    n += len(places) - count[i]
+                    long = open_at_end
+                    break
+                n, long = n + 1, size
+            if length < 0:
+                long = most + 1
+        else:
+            long = 0 if long > most else long
+        out.append((long, n))
+    return out
+
+
+def ends_of(lengths: pa.Array, first: pa.Array, most: int) -> pa.Array:
+    """How such folds end, for each length from 0 to ``most`` that may be open before: ``open``, how long the last span is that is open (0: none), and ``n``, how many began.
+
+    Nothing is open before a list that is the ``first``. Folds that differ in what was open soon begin a span at the same text, and are the same from there.
+    """
+    found = [_ends(texts, most, range(1 if is_first else most + 1)) for texts, is_first in zip(lengths.to_pylist(), first.to_pylist(), strict=True)]
+    sizes = np.array([0, *map(len, found)]).cumsum()
+    flat = np.array([pair for pairs in found for pair in pairs], np.int32).reshape(-1, 2)
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["open", "n"]))
